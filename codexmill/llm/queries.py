@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .byte_bpe import round_trip
+from .common import shared_dir, table
 from .line_dedup import dedup_lines
 from .sharding import shard_by_bytes
+from .token_store import read_documents, write_tokens
 from .url_filter import Rule, judge_urls
 
 RULES = [
@@ -80,6 +85,19 @@ SELECT page_id, host, path, hit.r AS rule, coalesce(hit.v, v.v) AS verdict FROM
 """
 
 
+def op3_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written as directly addressable codes and read back."""
+    path = f"{shared_dir(spark)}/codexmill/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_documents(spark, path, with_ids=False)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded to ids and decoded from them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+
+
 def op6_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes."""
     return shard_by_bytes(table(spark, sf_dir, "documents"), 16)
@@ -108,6 +126,8 @@ FROM marked GROUP BY rid, doc_id
 
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
+    "op3_direct_codes": op3_direct_codes,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_shard_bytes": op6_shard_bytes,
     "op10_line_dedup": op10_line_dedup,
 }
