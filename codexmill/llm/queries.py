@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import round_trip
 from .common import shared_dir, table
+from .decontaminate import find_contamination
+from .language_id import held_out, predict, train
 from .line_dedup import dedup_lines
 from .sharding import shard_by_bytes
 from .token_store import read_documents, write_tokens
@@ -103,6 +105,47 @@ def op6_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 16)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), 4))
+    model = train(docs.where("not held_out"))
+    return predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all documents share with the benchmark."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
+
+
+OP9_SQL = r"""
+WITH low AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), items AS (
+  SELECT item_id::varchar AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), wins AS (
+  SELECT DISTINCT item, least(len(ws), 13) AS k, array_to_string(ws[i : i + least(len(ws), 13) - 1], ' ') AS win
+  FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM items WHERE len(ws) > 0)
+), docwins AS (
+  SELECT rid, k, i, array_to_string(ws[i : i + k - 1], ' ') AS win
+  FROM (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM low, (SELECT DISTINCT k FROM wins) WHERE len(ws) >= k)
+), hits AS (
+  SELECT d.rid, d.k, d.i, w.item FROM docwins d JOIN wins w ON w.k = d.k AND w.win = d.win
+), covered AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT rid, i, k FROM hits)) GROUP BY rid
+), named AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid
+)
+SELECT doc_id, len(ws)::bigint AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM low LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
+"""
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that at least 10 documents hold."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
@@ -129,9 +172,12 @@ QUERIES = {
     "op3_direct_codes": op3_direct_codes,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_shard_bytes": op6_shard_bytes,
+    "op8_language_id": op8_language_id,
+    "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL = {
     "op1_url_reputation": OP1_SQL,
+    "op9_decontaminate": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
 }
