@@ -1,6 +1,6 @@
 """Token ids in directly addressable codes.
 
-Encoded documents are stored in segments of about a million tokens. A segment
+Encoded documents are stored in segments of about a quarter million tokens. A segment
 splits every id into bytes, low byte first, and stores them by level: level 0
 has one byte of every id, level l one byte of each id of more than l bytes.
 A bitmap for each level says which of its ids continue on the next, and a
@@ -28,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SEGMENT_TOKENS = 1 << 20
+SEGMENT_TOKENS = 1 << 18
 BLOCK_BITS = 512
 #: Distinct words a worker remembers at most; then it starts anew.
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 350_000
 #: Characters of the texts that are encoded together, if there are several.
 GROUP_CHARS = 2_000_000
 
@@ -204,7 +204,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
             names = ["part", "local_start", "n_tokens", "doc_ids", "doc_tokens", "levels", "continues", "ranks"]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             encoded = words(tokenizer_path).encode(batch.column(1).to_pylist())
             for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 if held and n + len(ids) // 4 + 1 > segment_tokens:
@@ -258,7 +258,7 @@ def tokens_at(spark: SparkSession, path: str, positions: DataFrame, position: st
     """``positions`` with ``token_id``: random access, by one rank a level; null outside of the store.
 
     A position joins its segment by the segment's number in the sorted list of
-    starts, which has one row a segment (about a millionth of the tokens).
+    starts, which has one row a segment (about one for a quarter million tokens).
     """
     rows = segments(spark, path).withColumn("end", F.col("start") + F.col("n_tokens"))
     width = SEGMENT_TOKENS
