@@ -13,6 +13,7 @@ from .common import shared_dir, table
 from .decontaminate import find_contamination
 from .language_id import held_out, predict, train
 from .line_dedup import dedup_lines
+from .ppm_score import score
 from .sharding import shard_by_bytes
 from .token_store import read_documents, write_tokens
 from .url_filter import Rule, judge_urls
@@ -94,6 +95,12 @@ def op3_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path, with_ids=False)
 
 
+def op4_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents, learned from six sevenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), 7))
+    return score(docs, docs.where("not held_out")).drop("text")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded to ids and decoded from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -170,6 +177,7 @@ FROM marked GROUP BY rid, doc_id
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op3_direct_codes": op3_direct_codes,
+    "op4_ppm_score": op4_ppm_score,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_shard_bytes": op6_shard_bytes,
     "op8_language_id": op8_language_id,
