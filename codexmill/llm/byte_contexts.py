@@ -30,10 +30,10 @@ def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
 
 
 class Index:
-    """Position of a key in an array of distinct keys; open addressing, a quarter full at most."""
+    """Position of a key in an array of distinct keys; open addressing, half full at most."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
+        bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.at = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
         rest = np.arange(len(keys))

@@ -37,7 +37,7 @@ from .byte_contexts import Index, counted, grams
 from .common import written
 
 #: Bytes of context at most.
-ORDER = 4
+ORDER = 5
 #: Grams of the highest order in one block of the trie, about.
 BLOCK_GRAMS = 4_000_000
 #: Most frequent words that are broadcast, at most.
