@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import round_trip
 from .common import shared_dir, table
 from .decontaminate import find_contamination
+from .jaccard_join import jaccard_components
 from .language_id import held_out, predict, train
 from .line_dedup import dedup_lines
 from .ppm_score import score
@@ -112,6 +113,11 @@ def op6_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 16)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 3-word shingles are similar to 0.9."""
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned from three quarters of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), 4))
@@ -180,6 +186,7 @@ QUERIES = {
     "op4_ppm_score": op4_ppm_score,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_shard_bytes": op6_shard_bytes,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
