@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import round_trip
 from .common import shared_dir, table
 from .decontaminate import find_contamination
+from .image_copies import copy_groups, rendered
 from .jaccard_join import jaccard_components
 from .language_id import held_out, predict, train
 from .line_dedup import dedup_lines
@@ -89,6 +90,12 @@ SELECT page_id, host, path, hit.r AS rule, coalesce(hit.v, v.v) AS verdict FROM
 """
 
 
+def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of copies among the images made of all embeddings."""
+    images = rendered(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return copy_groups(images).withColumnRenamed("id", "vec_id")
+
+
 def op3_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written as directly addressable codes and read back."""
     path = f"{shared_dir(spark)}/codexmill/tokens-{uuid.uuid4().hex}"
@@ -182,6 +189,7 @@ FROM marked GROUP BY rid, doc_id
 
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
+    "op2_image_copies": op2_image_copies,
     "op3_direct_codes": op3_direct_codes,
     "op4_ppm_score": op4_ppm_score,
     "op5_byte_bpe": op5_byte_bpe,
