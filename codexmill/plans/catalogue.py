@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from . import star
+
+MODULES = [star]
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
