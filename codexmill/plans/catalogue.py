@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import star
+from . import retrieval, star
 
-MODULES = [star]
+MODULES = [star, retrieval]
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:
