@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval, star
+from . import retrieval, star, stateful
 
-MODULES = [star, retrieval]
+MODULES = [star, retrieval, stateful]
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:
