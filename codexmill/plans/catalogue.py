@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval, star, stateful
+from . import legal, retrieval, star, stateful
 
-MODULES = [star, retrieval, stateful]
+MODULES = [star, retrieval, stateful, legal]
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:
