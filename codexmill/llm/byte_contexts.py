@@ -35,16 +35,14 @@ class Index:
     def __init__(self, keys: np.ndarray):
         bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.at = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-        rest = np.arange(len(keys))
+        self.keys, self.at = (keys if len(keys) else np.zeros(1, np.uint64)), np.full(1 << bits, -1, np.int32)
+        rest = np.arange(len(keys), dtype=np.int32)
         slot = self._slot(keys)
         while len(rest):
-            free = np.flatnonzero(self.at[slot] < 0)
-            _, first = np.unique(slot[free], return_index=True)
-            won = free[first]
-            self.keys[slot[won]], self.at[slot[won]] = keys[rest[won]], rest[won]
-            left = np.ones(len(rest), bool)
-            left[won] = False
+            # Of the keys at a free slot the last one written has it.
+            free = self.at[slot] < 0
+            self.at[slot[free]] = rest[free]
+            left = self.at[slot] != rest
             rest, slot = rest[left], (slot[left] + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -54,14 +52,12 @@ class Index:
         """Positions, -1 for keys that aren't there."""
         slot = self._slot(keys)
         out = self.at[slot]
-        wrong = np.flatnonzero((self.keys[slot] != keys) & (out >= 0))
-        out[wrong] = -1
+        wrong = np.flatnonzero((self.keys[out] != keys) & (out >= 0))
         slot = slot[wrong]
         while len(wrong):
             slot = (slot + 1) & self.mask
             at = self.at[slot]
-            same = (self.keys[slot] == keys[wrong]) & (at >= 0)
-            out[wrong[same]] = at[same]
-            on = (at >= 0) & ~same
+            out[wrong] = at
+            on = (at >= 0) & (self.keys[at] != keys[wrong])
             wrong, slot = wrong[on], slot[on]
         return out

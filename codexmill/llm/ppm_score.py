@@ -43,7 +43,7 @@ BLOCK_GRAMS = 4_000_000
 #: Most frequent words that are broadcast, at most.
 HEAD_WORDS = 200_000
 #: Bytes counted or scored at once, and partial counts a task holds.
-CHUNK_BYTES, HELD = 1 << 20, 1_000_000
+CHUNK_BYTES, HELD = 1 << 20, 400_000
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END = b"\n"
@@ -194,15 +194,27 @@ def _block_column(gram, blocks: int):
 
 # ---- scoring
 
-def _score_pass(docs: DataFrame, text: str, trie: Trie, block: int, blocks: int, head: dict | None) -> DataFrame:
-    """Per row: its key, the log10 probability of its bytes in this block and, with ``head``, its word counts."""
+#: The trie in hand, one a worker, by its broadcast.
+_tries: dict[int, Trie] = {}
+
+
+def _score_pass(docs: DataFrame, counts: tuple, block: int, blocks: int, head: dict | None) -> DataFrame:
+    """Per row: its key, the log10 probability of its bytes in this block and, with ``head``, its word counts.
+
+    The block's counts are broadcast, and each worker makes its trie of them. The
+    result is written, so the broadcasts are freed.
+    """
     spark = docs.sparkSession
-    shared, shared_head = spark.sparkContext.broadcast(trie), spark.sparkContext.broadcast(head)
+    shared, shared_head = spark.sparkContext.broadcast(counts), spark.sparkContext.broadcast(head)
+    number = shared._jbroadcast.id()
     names = ["_k1", "_k2", "part", "n_tokens", "head_known", "head_log", "tail_words", "tail_counts"]
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = shared.value, shared_head.value
+        if number not in _tries:
+            _tries.clear()
+            _tries[number] = Trie(*shared.value)
+        own, known = _tries[number], shared_head.value
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             cols: list[list] = [[] for _ in names]
             held: list[bytes] = []
@@ -258,7 +270,10 @@ def _score_pass(docs: DataFrame, text: str, trie: Trie, block: int, blocks: int,
     schema = "_k1 long, _k2 long, part double"
     if head is not None:
         schema += ", n_tokens long, head_known long, head_log double, tail_words array<string>, tail_counts array<long>"
-    return docs.select("_k1", "_k2", "_text").mapInArrow(run, schema)
+    out = written(docs.select("_k1", "_k2", "_text").mapInArrow(run, schema), "ppm-scores")
+    shared.destroy()
+    shared_head.destroy()
+    return out
 
 
 def score(docs: DataFrame, training: DataFrame, text: str = "text", id_col: str = "doc_id", block_grams: int = BLOCK_GRAMS, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -300,8 +315,9 @@ def score(docs: DataFrame, training: DataFrame, text: str = "text", id_col: str
     parts = []
     for b in range(n_blocks):
         own = (trained if n_blocks == 1 else trained.where(_block_column(F.col("gram"), n_blocks) == b)).toArrow()
-        trie = Trie(column(own, "gram", np.uint64), column(own, "n", float), column(low, "gram", np.uint64), column(low, "n", float))
-        parts.append(written(_score_pass(keyed, "_text", trie, b, n_blocks, head if b == 0 else None), "ppm-scores"))
+        block = (column(own, "gram", np.uint64), column(own, "n", np.int64), column(low, "gram", np.uint64), column(low, "n", np.int64))
+        del own
+        parts.append(_score_pass(keyed, block, b, n_blocks, head if b == 0 else None))
 
     # Of equal rows one: their values are the same.
     first = parts[0]
