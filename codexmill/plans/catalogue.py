@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import legal, retrieval, star, stateful
+from . import legal, retrieval, star, stateful, streams
 
-MODULES = [star, retrieval, stateful, legal]
+MODULES = [star, retrieval, stateful, legal, streams]
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +21,20 @@ def session(name: str = "codexmill", master: str | None = None, **conf: str) ->
     for key, value in (fixed | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Only where that setting is absent (tests in one process) a temporary folder is
+    made and used as the checkpoint folder.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    own = "file://" + tempfile.mkdtemp(prefix="codexmill-")
+    spark.sparkContext.setCheckpointDir(own)
+    return own
