@@ -8,10 +8,13 @@ band of sizes, so that all members of a list may match in size.
 
 The join is exact in which documents hang together, without making all pairs of
 a list. First each group, and each list, verifies its members against one leader
-(as many pairs as members). Then come the pairs of a list that those links leave
-in different components: a cluster of copies is one component by then and makes
-none. Pairs are filtered by an upper bound of the overlap (bucket counts of the
-shingles' hashes), and verified on the whole sets.
+(as many pairs as members): the one whose shingles are the most frequent, so the
+common original of edited copies rather than one of them. Then come the pairs of a
+list that those links leave in different components: a cluster of copies is one
+component by then and makes none. These pairs must pass, inside the join, a bound
+on the difference of the sets (a difference of d shingles flips at most d of the
+parity bits). All pairs are filtered by an upper bound of the overlap (bucket
+counts of the shingles' hashes), and verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ FREQUENT = 500_000
 REPORTED = 4
 #: Buckets of a class's counts.
 BUCKETS = 128
+#: Words of 64 parity bits of a class.
+PARITY_WORDS = 8
 #: Word hashes a worker remembers at most.
 MEMO_ENTRIES = 300_000
 
@@ -141,15 +146,15 @@ class Order:
 
 
 def prefix_sets(docs: DataFrame, id_col: str, text: str, k: int, percent: int, order: Order) -> DataFrame:
-    """Per row: ``id``, ``row`` (hash of id and text), ``n``, ``c`` (class), ``g`` (group), ``keys`` and ``counts``."""
+    """Per row: ``id``, ``row`` (hash of id and text), ``n``, ``c`` (class), ``g`` (group), ``keys``, ``counts``, ``parity`` and ``rank`` (low where shingles are frequent)."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
     width = math.log(100 / percent) * 1.000001 + 1e-9  # of a band of sizes; a match is in the same band or the next
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.int32()]
         for batch in _slices(batches):
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(7)]
             for value in batch.column(2).to_pylist():
                 tokens = shingles(value, k)
                 n = len(tokens)
@@ -158,7 +163,8 @@ def prefix_sets(docs: DataFrame, id_col: str, text: str, k: int, percent: int, o
                     for c in cols[1:]:
                         c.append(None)
                     continue
-                prefix = own.ordered(tokens)[: n - -(-percent * n // 100) + 1]
+                ordered = own.ordered(tokens)
+                prefix = ordered[: n - -(-percent * n // 100) + 1]
                 band = int(math.log(n) / width)
                 keys = np.concatenate([mixed(prefix * ODD[1] + b) for b in np.array([band, band + 1], np.uint64) * ODD[2]])
                 counts = np.bincount((tokens % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
@@ -166,11 +172,14 @@ def prefix_sets(docs: DataFrame, id_col: str, text: str, k: int, percent: int, o
                 cols[2].append(xxhash.xxh64_intdigest(prefix.tobytes(), seed=n) - (1 << 63))
                 cols[3].append(keys.view(np.int64))
                 cols[4].append(counts.astype("<u4" if counts.max() > 65535 else "<u2").tobytes())
+                odd = np.bincount((tokens >> np.uint64(7) & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+                cols[5].append(np.packbits(odd.astype(bool)).view(np.int64))
+                cols[6].append(-int(1000 * (ordered >> LEVEL_SHIFT).mean()))
             arrays = [batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds[2:], strict=True)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "row", "n", "c", "g", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "row", "n", "c", "g", "keys", "counts", "parity", "rank"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`"))
-    return rows.mapInArrow(run, "id long, row long, n long, c long, g long, keys array<long>, counts binary")
+    return rows.mapInArrow(run, "id long, row long, n long, c long, g long, keys array<long>, counts binary, parity array<long>, rank int")
 
 
 def _may_match(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -232,14 +241,14 @@ def _resolved(docs: DataFrame, id_col: str, text: str, k: int, percent: int) ->
     order = Order(*frequent_shingles(docs, text, k))
     rows = written(prefix_sets(docs, id_col, text, k, percent, order), "prefix-sets")
     some = rows.where("n > 0")
-    classes = some.groupBy("c").agg(F.min("id").alias("least_id"), F.min("row").alias("row"), F.min("g").alias("g"), F.min("n").alias("n"))
-    classes = written(classes.join(some.select("row", "c", "counts").dropDuplicates(["row", "c"]), ["row", "c"]), "classes")
-    groups = classes.groupBy("g").agg(F.min("c").alias("lead"), F.count(F.lit(1)).alias("members"))
+    classes = some.groupBy("c").agg(F.min("id").alias("least_id"), F.min("row").alias("row"), F.min("g").alias("g"), F.min("n").alias("n"), F.min("rank").alias("rank"))
+    classes = written(classes.join(some.select("row", "c", "counts", "parity").dropDuplicates(["row", "c"]), ["row", "c"]), "classes")
+    groups = classes.groupBy("g").agg(F.min_by("c", F.struct("rank", "c")).alias("lead"), F.count(F.lit(1)).alias("members"))
 
-    # Lists of the prefix index with two groups at least, and their least group.
-    entries = some.dropDuplicates(["g"]).select("g", F.explode("keys").alias("key"))
-    lists = entries.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("key", "lo")
-    entries = written(entries.join(lists, "key"), "entries")
+    # Lists of the prefix index with two groups at least, and their leading group.
+    entries = some.dropDuplicates(["g"]).select("g", "rank", F.explode("keys").alias("key"))
+    lists = entries.groupBy("key").agg(F.min(F.struct("rank", "g")).alias("lo"), F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("key", F.col("lo.g").alias("lo"))
+    entries = written(entries.join(lists, "key").drop("rank"), "entries")
 
     # First round: leaders.
     inside = classes.join(groups.where("members > 1"), "g").select(F.col("lead").alias("a"), F.col("c").alias("b"))
@@ -256,9 +265,12 @@ def _resolved(docs: DataFrame, id_col: str, text: str, k: int, percent: int) ->
     member = classes.select("g", "c").join(known.withColumnRenamed("node", "c"), "c", "left").select("g", "c", F.coalesce("component", "c").alias("comp"))
     listed = entries.select("key", "g").unionByName(groups.where("members > 1").select(F.col("g").alias("key"), "g")).join(member, "g").select("key", "c", "comp")
     open_ = listed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    listed = written(listed.join(open_, "key", "left_semi"), "open-lists")
-    other = listed.select("key", F.col("c").alias("b"), F.col("comp").alias("comp_b"))
-    pairs = _normal(listed.withColumnRenamed("c", "a").join(other, "key").where("comp < comp_b").select("a", "b"))
+    parity = classes.select("c", "n", *[F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY_WORDS)])
+    listed = written(listed.join(open_, "key", "left_semi").join(parity, "c"), "open-lists")
+    x, y = listed.alias("x"), listed.alias("y")
+    differ = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(1, PARITY_WORDS)), F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))))
+    near = differ.cast("long") * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    pairs = _normal(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & near).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")))
     likely = written(_may_match(pairs.join(tried, ["a", "b"], "left_anti"), classes, percent), "likely2")
     if not likely.isEmpty():
         more = written(_sets_of(ends(likely), classes, docs, id_col, text, k), "sets2")
@@ -290,6 +302,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     rows = written(_resolved(docs, id_col, text, k, percent), "resolved")
     least = rows.where("n > 0").groupBy("component").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("row"))
     stay = least.select("row", F.lit(True).alias("_one")).unionByName(rows.where("n = 0").select("row", F.lit(False).alias("_one")).distinct())
-    kept = docs.withColumn("row", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`"))).join(stay, "row")
-    one = kept.where("_one").dropDuplicates(["row"])
+    stay = stay.withColumnRenamed("row", "_row")
+    kept = docs.withColumn("_row", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`"))).join(stay, "_row")
+    one = kept.where("_one").dropDuplicates(["_row"])
     return one.unionByName(kept.where("not _one")).select(*[f"`{c}`" for c in docs.columns])
