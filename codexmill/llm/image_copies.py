@@ -114,8 +114,11 @@ def corners(images: DataFrame, id_col: str, pixels: str, width: str, height: str
 
 def _matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of table entries of one key whose descriptors are near, once for each pair of corners."""
-    end = lambda df, s: df.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("img", "corner", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3")])
+    names = ["img", "corner", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3", *(["comp"] if "comp" in left.columns else [])]
+    end = lambda df, s: df.select("key", *[F.col(c).alias(f"{c}{s}") for c in names])
     both = end(left, "_a").join(end(right, "_b"), "key").where("img_a < img_b")
+    if "comp" in names:
+        both = both.where("comp_a <> comp_b")
     apart = sum((F.bit_count(F.col(f"d{i}_a").bitwiseXOR(F.col(f"d{i}_b"))) for i in range(1, 4)), F.bit_count(F.col("d0_a").bitwiseXOR(F.col("d0_b"))))
     return both.where(apart <= MOST_BITS)
 
@@ -165,10 +168,7 @@ def copy_groups(images: DataFrame, id_col: str = "id", pixels: str = "pixels", w
     placed = entries.join(known.withColumnRenamed("node", "img"), "img", "left").withColumn("comp", F.coalesce("component", "img")).drop("component")
     open_ = placed.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.countDistinct("img").alias("k")).where("p <> q and k > 2").select("key")
     placed = written(placed.join(open_, "key", "left_semi"), "image-open")
-    more = _matches(placed, placed).dropDuplicates(["img_a", "corner_a", "img_b", "corner_b"])
-    comp = known.withColumnRenamed("component", "comp")
-    apart = more.join(comp.toDF("img_a", "comp_a"), "img_a", "left").join(comp.toDF("img_b", "comp_b"), "img_b", "left").where("coalesce(comp_a, img_a) <> coalesce(comp_b, img_b)")
-    more = written(_agreeing(apart), "image-links2")
+    more = written(_agreeing(_matches(placed, placed).dropDuplicates(["img_a", "corner_a", "img_b", "corner_b"])), "image-links2")
     if not more.isEmpty():
         known = components(links.unionByName(more))
 
