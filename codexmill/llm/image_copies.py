@@ -154,9 +154,9 @@ def copy_groups(images: DataFrame, id_col: str = "id", pixels: str = "pixels", w
     rows = written(rows, "image-rows")
     some = rows.where("not none")
     classes = written(some.groupBy("c1", "c2").agg(F.min("id").alias("img")), "image-classes")
-    one = images.withColumns({"_c1": F.xxhash64(F.col(pixels), *shape), "_c2": F.xxhash64(F.lit(1), F.col(pixels), *shape)})
-    keyed = one.join(classes.where("img is not null"), (F.col("_c1") == F.col("c1")) & (F.col("_c2") == F.col("c2")) & (F.col(id_col) == F.col("img"))).dropDuplicates(["img"])
-    found = written(corners(keyed, "img", pixels, width, height), "corners")
+    one = images.select(F.col(id_col).cast("long").alias("img"), F.xxhash64(F.col(pixels), *shape).alias("c1"), F.xxhash64(F.lit(1), F.col(pixels), *shape).alias("c2"), F.col(pixels).alias("pixels"), shape[0].alias("w"), shape[1].alias("h"))
+    keyed = one.join(classes.where("img is not null"), ["c1", "c2", "img"]).dropDuplicates(["img", "c1", "c2"])
+    found = written(corners(keyed, "img", "pixels", "w", "h"), "corners")
 
     words = F.array(*[F.struct(F.lit(2 * i + j).alias("t"), F.shiftrightunsigned(F.col(f"d{i}"), 32 * j).bitwiseAND(F.lit(0xFFFFFFFF)).alias("v")) for i in range(4) for j in range(2)])
     entries = found.select("*", F.explode(words).alias("word")).withColumn("key", F.xxhash64("word.t", "word.v")).drop("word")
