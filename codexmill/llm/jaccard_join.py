@@ -3,8 +3,9 @@
 A document is the set of its distinct word shingles. Sets are ordered by one
 global order, rare shingles first; two sets of the wanted similarity share a
 shingle of their prefixes. Equal sets are one class, and classes of equal prefix
-and size one group: only groups enter the prefix index, keyed by shingle and
-band of sizes, so that all members of a list may match in size.
+and size one group: only groups enter the prefix index, keyed by shingle. Shingles
+of one group alone go; the lists of the others are cut into bands of sizes, so that
+all members of a list may match in size.
 
 The join is exact in which documents hang together, without making all pairs of
 a list. First each group, and each list, verifies its members against one leader
@@ -44,7 +45,7 @@ PARITY_WORDS = 8
 MEMO_ENTRIES = 300_000
 
 LEVEL_SHIFT = np.uint64(58)
-ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
@@ -79,7 +80,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
         return np.array([xxhash.xxh64_intdigest(own.tobytes(), seed=len(words))], np.uint64)
     out = np.zeros(len(words) - k + 1, np.uint64)
     for i in range(k):
-        out = mixed(out * ODD[0] + own[i : len(out) + i])
+        out = mixed(out * ODD + own[i : len(out) + i])
     return np.unique(out)
 
 
@@ -146,9 +147,8 @@ class Order:
 
 
 def prefix_sets(docs: DataFrame, id_col: str, text: str, k: int, percent: int, order: Order) -> DataFrame:
-    """Per row: ``id``, ``row`` (hash of id and text), ``n``, ``c`` (class), ``g`` (group), ``keys``, ``counts``, ``parity`` and ``rank`` (low where shingles are frequent)."""
+    """Per row: ``id``, ``row`` (hash of id and text), ``n``, ``c`` (class), ``g`` (group), ``keys`` (the prefix), ``counts``, ``parity`` and ``rank`` (low where shingles are frequent)."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    width = math.log(100 / percent) * 1.000001 + 1e-9  # of a band of sizes; a match is in the same band or the next
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -165,12 +165,10 @@ def prefix_sets(docs: DataFrame, id_col: str, text: str, k: int, percent: int, o
                     continue
                 ordered = own.ordered(tokens)
                 prefix = ordered[: n - -(-percent * n // 100) + 1]
-                band = int(math.log(n) / width)
-                keys = np.concatenate([mixed(prefix * ODD[1] + b) for b in np.array([band, band + 1], np.uint64) * ODD[2]])
                 counts = np.bincount((tokens % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
                 cols[1].append(xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63))
                 cols[2].append(xxhash.xxh64_intdigest(prefix.tobytes(), seed=n) - (1 << 63))
-                cols[3].append(keys.view(np.int64))
+                cols[3].append(prefix.view(np.int64))
                 cols[4].append(counts.astype("<u4" if counts.max() > 65535 else "<u2").tobytes())
                 odd = np.bincount((tokens >> np.uint64(7) & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
                 cols[5].append(np.packbits(odd.astype(bool)).view(np.int64))
@@ -243,10 +241,15 @@ def _resolved(docs: DataFrame, id_col: str, text: str, k: int, percent: int) ->
     some = rows.where("n > 0")
     classes = some.groupBy("c").agg(F.min("id").alias("least_id"), F.min("row").alias("row"), F.min("g").alias("g"), F.min("n").alias("n"), F.min("rank").alias("rank"))
     classes = written(classes.join(some.select("row", "c", "counts", "parity").dropDuplicates(["row", "c"]), ["row", "c"]), "classes")
-    groups = classes.groupBy("g").agg(F.min_by("c", F.struct("rank", "c")).alias("lead"), F.count(F.lit(1)).alias("members"))
-
-    # Lists of the prefix index with two groups at least, and their leading group.
-    entries = some.dropDuplicates(["g"]).select("g", "rank", F.explode("keys").alias("key"))
+    groups = classes.groupBy("g").agg(F.min_by("c", F.struct("rank", "c")).alias("lead"), F.count(F.lit(1)).alias("members"), F.min("n").alias("n"), F.min("rank").alias("rank"))
+
+    # Lists of the prefix index with two groups at least, by band of sizes, and their leading group.
+    entries = some.dropDuplicates(["g"]).select("g", F.explode("keys").alias("token"))
+    several = entries.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("token")
+    width = math.log(100 / percent) * 1.000001 + 1e-9  # of a band; a match is in the same band or the next
+    band = F.floor(F.log("n") / width)
+    entries = entries.join(several, "token").join(groups.select("g", "n", "rank"), "g")
+    entries = written(entries.select("g", "rank", F.explode(F.array(F.xxhash64("token", band), F.xxhash64("token", band + 1))).alias("key")), "prefix-index")
     lists = entries.groupBy("key").agg(F.min(F.struct("rank", "g")).alias("lo"), F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("key", F.col("lo.g").alias("lo"))
     entries = written(entries.join(lists, "key").drop("rank"), "entries")
 
