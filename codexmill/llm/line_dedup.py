@@ -29,17 +29,23 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(SPACE)))
+def line_keys(text: Column) -> Column:
+    """The key of every line. Lambdas are not compiled, so each step is its own transform and computed once a line."""
+    stripped = F.transform(lines_of(text), lambda line: F.btrim(line, F.lit(SPACE)))
+    # lower() has a fast way for ASCII, where it changes A-Z alone; other lines are translated.
+    return F.transform(stripped, lambda line: F.when(F.octet_length(line) == F.char_length(line), F.lower(line)).otherwise(ascii_lower(line)))
+
+
+def key_hash(key: Column) -> Column:
+    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
 
 
 def line_hashes(text: Column, min_chars: int) -> Column:
-    """One ``struct(h1, h2)`` per line; null where the key is too short."""
-    def one(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
+    """``struct(h1, h2)`` of each distinct key of at least ``min_chars`` characters.
 
-    return F.transform(lines_of(text), one)
+    Keys are made distinct as strings, by a hash set; structs would be compared in pairs.
+    """
+    return F.transform(F.array_distinct(F.filter(line_keys(text), lambda key: F.char_length(key) >= min_chars)), key_hash)
 
 
 class LineRuns:
@@ -59,7 +65,7 @@ class LineRuns:
 
     def count(self, docs: DataFrame, text: str = "text", by: str | None = None) -> DataFrame:
         """``(h1, h2, n)`` of the documents, one count a row and key (``by``: kept apart by that column)."""
-        hashes = F.array_distinct(F.filter(line_hashes(F.col(f"`{text}`"), self.min_chars), lambda h: h.isNotNull()))
+        hashes = line_hashes(F.col(f"`{text}`"), self.min_chars)
         kept = [F.col(by)] if by else []
         exploded = docs.select(*kept, F.explode(hashes).alias("h")).select(*kept, "h.h1", "h.h2")
         return exploded.groupBy(*kept, "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
@@ -114,13 +120,12 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", id_col:
     Columns of the input stay as they are.
     """
     key = [F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`")).alias("_k1"), F.xxhash64(F.lit(1), F.col(f"`{text}`")).alias("_k2")]
-    hashes = line_hashes(F.col(f"`{text}`"), min_chars)
-    asked = docs.select(*key, F.explode(F.array_distinct(F.filter(hashes, lambda h: h.isNotNull()))).alias("h")).select("_k1", "_k2", "h.h1", "h.h2")
+    asked = docs.select(*key, F.explode(line_hashes(F.col(f"`{text}`"), min_chars)).alias("h")).select("_k1", "_k2", "h.h1", "h.h2")
     hot = asked.join(frequent, ["h1", "h2"], "left_semi").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("h1", "h2")).alias("_hot"))
     joined = docs.select("*", *key).join(hot, ["_k1", "_k2"], "left")
     lines = lines_of(F.col(f"`{text}`"))
     kept = F.transform(
-        F.filter(F.arrays_zip(lines.alias("line"), hashes.alias("h")), lambda x: x["h"].isNull() | ~F.array_contains(F.col("_hot"), x["h"])),
+        F.filter(F.arrays_zip(lines.alias("line"), line_keys(F.col(f"`{text}`")).alias("key")), lambda x: ~F.array_contains(F.col("_hot"), key_hash(x["key"]))),
         lambda x: x["line"],
     )
     kept = F.when(F.col("_hot").isNull(), lines).otherwise(kept)
