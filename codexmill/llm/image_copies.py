@@ -10,8 +10,9 @@ corners agree.
 
 Images of equal pixels are one class first. As in the n-gram join, each list of a
 table is tried against its least class; only pairs of classes that stay in
-different components are made, in a second round. So a cluster of copies costs
-as many pairs as it has members, and no link between components is lost.
+different components are made, in a second round, over every list that they
+share, so that all their matches vote together. So a cluster of copies costs as
+many pairs as it has members, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -166,7 +167,7 @@ def copy_groups(images: DataFrame, id_col: str = "id", pixels: str = "pixels", w
 
     known = components(links)
     placed = entries.join(known.withColumnRenamed("node", "img"), "img", "left").withColumn("comp", F.coalesce("component", "img")).drop("component")
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.countDistinct("img").alias("k")).where("p <> q and k > 2").select("key")
+    open_ = placed.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("key")
     placed = written(placed.join(open_, "key", "left_semi"), "image-open")
     more = written(_agreeing(_matches(placed, placed).dropDuplicates(["img_a", "corner_a", "img_b", "corner_b"])), "image-links2")
     if not more.isEmpty():

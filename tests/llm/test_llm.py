@@ -99,6 +99,23 @@ def test_crops_edits_and_turns_are_found(spark):
     assert image_copies.copy_groups(df.limit(0)).count() == 0
 
 
+def test_votes_of_a_pair_add_up_over_all_lists(spark, monkeypatch):
+    """Two copies share half their corners' lists with a lesser image; against all pairs of corners."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(-(2**62), 2**62, (10, 4))
+    spot = rng.uniform(0, 90, (3, 10, 2))
+    spot[2] = spot[1] + 3
+    # Image 1 has the descriptors of five corners of 2 and 3 at other places.
+    rows = [(img, c, *map(float, spot[img - 1, c]), 1.0, 0.0, *map(int, words[c])) for img, n in ((1, 5), (2, 10), (3, 10)) for c in range(n)]
+    found = spark.createDataFrame(rows, "img long, corner long, x double, y double, scale double, angle double, d0 long, d1 long, d2 long, d3 long")
+    monkeypatch.setattr(image_copies, "corners", lambda *_: found)
+    df = spark.createDataFrame([(i, bytes([i]), 1, 1) for i in (1, 2, 3)], "id long, pixels binary, width int, height int")
+    every = found.withColumn("key", F.lit(0))
+    brute = {(r.a, r.b) for r in image_copies._agreeing(image_copies._matches(every, every)).collect()}
+    assert brute == {(2, 3)}
+    assert {(r.id, r.group_id) for r in image_copies.copy_groups(df).collect()} == {(1, 1), (2, 2), (3, 2)}
+
+
 # ---- 3
 
 def test_codes_round_trip_and_random_access():
