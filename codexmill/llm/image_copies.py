@@ -1,10 +1,11 @@
 """Cropped and edited copies of images by local descriptors.
 
-Corners (Harris maxima) are taken at several scales. Each is turned upright by
-the direction from its centre to the patch's centre of mass, and described by 256
-binary tests between smoothed pixels, so brightness, contrast and rotation leave
-it alone. Descriptors join through Hamming tables: cut into 8 words of 32 bits,
-two that differ in at most 7 bits have a word in common. Matches of two images
+All corners (Harris maxima) are taken, at scales a quarter of an octave apart, down
+to the size of a patch. Each is turned upright by the direction from its centre to
+the patch's centre of mass, and described by 256 binary tests between smoothed
+pixels, so brightness, contrast and rotation leave it alone. Descriptors join
+through Hamming tables: cut into 12 words of 21 or 22 bits, two that differ in at
+most 11 bits have a word in common. Matches of two images
 vote for the rotation, scale and shift that they imply; images link when enough
 corners agree.
 
@@ -21,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
 
-#: Halvings of the image, corners kept a scale, and half the width of a patch.
-SCALES, CORNERS, RADIUS = 2, 24, 8
-#: Bits in which matching descriptors differ at most; 8 tables find all up to 7.
-MOST_BITS = 7
+#: Scales an octave, corners described at a time, and half the width of a patch.
+STEPS, AT_ONCE, RADIUS = 4, 2000, 8
+#: Bits in which matching descriptors differ at most; one table more finds them all.
+MOST_BITS = 11
+#: First bits of the tables' words.
+CUTS = [256 * t // (MOST_BITS + 1) for t in range(MOST_BITS + 2)]
 #: Corners that must agree, the bin of shifts in pixels and of rotations in degrees.
 AGREEING, SHIFT_BIN, TURN_BIN = 6, 8, 30
 
@@ -49,8 +52,25 @@ def _box(images: np.ndarray, r: int) -> np.ndarray:
     return (c[:, w:, w:] - c[:, :-w, w:] - c[:, w:, :-w] + c[:, :-w, :-w]) / w**2
 
 
-def _at_scale(images: np.ndarray, scale: int, names: np.ndarray) -> tuple:
-    """Corners of a stack of equally large images: image, x, y, angle, descriptor words."""
+def _shrunk(images: np.ndarray, scale: float) -> np.ndarray:
+    """Images at ``1 / scale`` of their size: each pixel the mean of four points between the old ones."""
+    h, w = images.shape[1:]
+
+    def along(stack: np.ndarray, n: int, axis: int) -> np.ndarray:
+        centre = (np.arange(int(n / scale)) + 0.5) * scale - 0.5
+        total = 0
+        for at in (centre - scale / 4, centre + scale / 4):
+            first = np.clip(np.floor(at).astype(int), 0, n - 2)
+            part = np.clip(at - first, 0, 1)
+            part = part[:, None] if axis == 1 else part
+            total = total + stack.take(first, axis) * (1 - part) + stack.take(first + 1, axis) * part
+        return total / 2
+
+    return along(along(images, h, 1), w, 2)
+
+
+def _at_scale(images: np.ndarray, scale: float, names: np.ndarray) -> Iterator[tuple]:
+    """All corners of a stack of equally large images, some at a time: image, x, y, scale, angle, descriptor words."""
     count, h, w = images.shape
     gy, gx = np.gradient(images, axis=(1, 2))
     xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
@@ -64,12 +84,13 @@ def _at_scale(images: np.ndarray, scale: int, names: np.ndarray) -> tuple:
             if (dy, dx) != (1, 1):
                 peak &= power > p[:, dy : dy + h, dx : dx + w]
     i, y, x = np.nonzero(peak)
-    # The strongest of each image.
-    order = np.lexsort((x, y, -power[i, y, x], i))
-    i, y, x = i[order], y[order], x[order]
-    nth = np.arange(len(i)) - np.searchsorted(i, i)
-    i, y, x = (a[nth < CORNERS] for a in (i, y, x))
     smooth = _box(images, 1)
+    for at in range(0, len(i), AT_ONCE):
+        yield _described(images, smooth, scale, names, *(a[at : at + AT_ONCE] for a in (i, y, x)))
+
+
+def _described(images: np.ndarray, smooth: np.ndarray, scale: float, names: np.ndarray, i: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple:
+    h, w = images.shape[1:]
     patch = images[i[:, None, None], y[:, None, None] + _spot[:, None], x[:, None, None] + _spot[None, :]] * DISC
     angle = np.arctan2((patch * _spot[:, None]).sum((1, 2)), (patch * _spot[None, :]).sum((1, 2)))
     cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
@@ -80,7 +101,7 @@ def _at_scale(images: np.ndarray, scale: int, names: np.ndarray) -> tuple:
         return smooth[i[:, None], py, px]
 
     bits = sample(TESTS[:, 0], TESTS[:, 1]) < sample(TESTS[:, 2], TESTS[:, 3])
-    return names[i], x * scale, y * scale, np.full(len(i), scale), np.degrees(angle), np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    return names[i], (x + 0.5) * scale - 0.5, (y + 0.5) * scale - 0.5, np.full(len(i), scale), np.degrees(angle), np.packbits(bits, axis=1, bitorder="little").view("<i8")
 
 
 def corners(images: DataFrame, id_col: str, pixels: str, width: str, height: str) -> DataFrame:
@@ -98,12 +119,15 @@ def corners(images: DataFrame, id_col: str, pixels: str, width: str, height: str
             for (h, w), some in by_shape.items():
                 names = np.array([n for n, _ in some])
                 stack = np.frombuffer(b"".join(r for _, r in some), np.uint8).reshape(-1, h, w).astype(float)
-                found = []
-                for level in range(SCALES):
-                    if min(stack.shape[1:]) > 2 * RADIUS + 1:
-                        found.append(_at_scale(stack, 1 << level, names))
-                    stack = stack[:, : stack.shape[1] // 2 * 2, : stack.shape[2] // 2 * 2]
-                    stack = stack.reshape(len(some), stack.shape[1] // 2, 2, stack.shape[2] // 2, 2).mean((2, 4))
+                found, level, now = [], 0, stack
+                # An octave starts from the one before, so that no pixel is passed over.
+                while min(now.shape[1:]) > 2 * RADIUS + 1:
+                    found += _at_scale(now, 2 ** (level / STEPS), names)
+                    level += 1
+                    if level % STEPS == 0:
+                        stack = now = _shrunk(stack, 2)
+                    else:
+                        now = _shrunk(stack, 2 ** (level % STEPS / STEPS))
                 if found:
                     img, x, y, scale, angle, words = (np.concatenate([f[c] for f in found]) for c in range(6))
                     cols = [img, np.arange(len(img)), x.astype(float), y.astype(float), scale.astype(float), angle, *(words[:, c] for c in range(4))]
@@ -113,6 +137,14 @@ def corners(images: DataFrame, id_col: str, pixels: str, width: str, height: str
     return rows.mapInArrow(run, "img long, corner long, x double, y double, scale double, angle double, d0 long, d1 long, d2 long, d3 long")
 
 
+def _word(lo: int, hi: int) -> Column:
+    """Bits ``lo`` to ``hi - 1`` of a descriptor, fewer than 64."""
+    i, j = lo // 64, (hi - 1) // 64
+    low = F.shiftrightunsigned(F.col(f"d{i}"), lo % 64)
+    both = low if i == j else low.bitwiseOR(F.shiftleft(F.col(f"d{j}"), 64 - lo % 64))
+    return both.bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
+
+
 def _matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of table entries of one key whose descriptors are near, once for each pair of corners."""
     names = ["img", "corner", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3", *(["comp"] if "comp" in left.columns else [])]
@@ -132,11 +164,12 @@ def _agreeing(matches: DataFrame) -> DataFrame:
     that equal transforms meet in one; a bin counts each corner of a once.
     """
     turn = F.pmod(F.col("angle_a") - F.col("angle_b"), F.lit(360.0))
-    size, rad = F.col("scale_a") / F.col("scale_b"), F.radians(turn)
+    steps = F.round(STEPS * F.log2(F.col("scale_a") / F.col("scale_b")))
+    size, rad = F.pow(F.lit(2.0), steps / STEPS), F.radians(turn)
     sx = F.col("x_a") - size * (F.cos(rad) * F.col("x_b") - F.sin(rad) * F.col("y_b"))
     sy = F.col("y_a") - size * (F.sin(rad) * F.col("x_b") + F.cos(rad) * F.col("y_b"))
     halves = lambda v, w, wrap=None: F.array(*[F.pmod(b, F.lit(wrap)) if wrap else b for b in (F.floor(v / w * 2), F.floor(v / w * 2) - 1)])
-    votes = matches.select(F.col("img_a").alias("a"), F.col("img_b").alias("b"), F.col("corner_a").alias("ca"), size.alias("size"), halves(sx, SHIFT_BIN).alias("sx"), halves(sy, SHIFT_BIN).alias("sy"), halves(turn, TURN_BIN, 720 // TURN_BIN).alias("turn"))
+    votes = matches.select(F.col("img_a").alias("a"), F.col("img_b").alias("b"), F.col("corner_a").alias("ca"), steps.alias("size"), halves(sx, SHIFT_BIN).alias("sx"), halves(sy, SHIFT_BIN).alias("sy"), halves(turn, TURN_BIN, 720 // TURN_BIN).alias("turn"))
     for c in ("sx", "sy", "turn"):
         votes = votes.withColumn(c, F.explode(c))
     return votes.groupBy("a", "b", "size", "sx", "sy", "turn").agg(F.countDistinct("ca").alias("n")).where(F.col("n") >= AGREEING).select("a", "b").distinct()
@@ -159,7 +192,7 @@ def copy_groups(images: DataFrame, id_col: str = "id", pixels: str = "pixels", w
     keyed = one.join(classes.where("img is not null"), ["c1", "c2", "img"]).dropDuplicates(["img", "c1", "c2"])
     found = written(corners(keyed, "img", "pixels", "w", "h"), "corners")
 
-    words = F.array(*[F.struct(F.lit(2 * i + j).alias("t"), F.shiftrightunsigned(F.col(f"d{i}"), 32 * j).bitwiseAND(F.lit(0xFFFFFFFF)).alias("v")) for i in range(4) for j in range(2)])
+    words = F.array(*[F.struct(F.lit(t).alias("t"), _word(lo, hi).alias("v")) for t, (lo, hi) in enumerate(zip(CUTS, CUTS[1:], strict=False))])
     entries = found.select("*", F.explode(words).alias("word")).withColumn("key", F.xxhash64("word.t", "word.v")).drop("word")
     lists = entries.groupBy("key").agg(F.min("img").alias("lo"), F.max("img").alias("hi")).where("lo <> hi").select("key", "lo")
     entries = written(entries.join(lists, "key"), "image-entries")

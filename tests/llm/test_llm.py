@@ -116,6 +116,43 @@ def test_votes_of_a_pair_add_up_over_all_lists(spark, monkeypatch):
     assert {(r.id, r.group_id) for r in image_copies.copy_groups(df).collect()} == {(1, 1), (2, 2), (3, 2)}
 
 
+def resampled(img, side, turn=0.0, size=1.0):
+    """``side`` by ``side`` pixels around the centre of ``img``, turned by degrees and scaled."""
+    cos, sin = math.cos(math.radians(turn)) / size, math.sin(math.radians(turn)) / size
+    total = 0
+    for dy, dx in ((-0.25, -0.25), (-0.25, 0.25), (0.25, -0.25), (0.25, 0.25)):
+        y, x = np.meshgrid(np.arange(side) + dy - (side - 1) / 2, np.arange(side) + dx - (side - 1) / 2, indexing="ij")
+        sx, sy = cos * x - sin * y + (img.shape[1] - 1) / 2, sin * x + cos * y + (img.shape[0] - 1) / 2
+        x0, y0 = np.clip(np.floor(sx).astype(int), 0, img.shape[1] - 2), np.clip(np.floor(sy).astype(int), 0, img.shape[0] - 2)
+        fx, fy = np.clip(sx - x0, 0, 1), np.clip(sy - y0, 0, 1)
+        total = total + (img[y0, x0] * (1 - fx) + img[y0, x0 + 1] * fx) * (1 - fy) + (img[y0 + 1, x0] * (1 - fx) + img[y0 + 1, x0 + 1] * fx) * fy
+    return total / 4
+
+
+def test_small_crops_sizes_turns_and_noise_are_found(spark):
+    rng = np.random.default_rng(9)
+    big, base, other = texture(5, 384), texture(1, 192), texture(2, 192)
+    images = [(1, big), (2, big[60:156, 100:196]), (3, base), (4, base[40:136, 70:166]), (5, resampled(base, 134, size=0.7)), (6, resampled(base, 163, size=0.85)),
+              (7, resampled(base, 134, turn=10)), (8, base + rng.normal(0, 12, base.shape)), (9, other), (10, resampled(other, 96, size=0.5)), (11, texture(3, 192))]
+    rows = [(i, x.round().clip(0, 255).astype(np.uint8).tobytes(), x.shape[1], x.shape[0]) for i, x in images]
+    df = spark.createDataFrame(rows, "id long, pixels binary, width int, height int")
+    got = {r.id: r.group_id for r in image_copies.copy_groups(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 3, 7: 3, 8: 3, 9: 9, 10: 9, 11: 11}
+
+
+def test_words_find_all_near_descriptors():
+    """Any 11 bits flipped leave one of the words, which part the 256 bits."""
+    assert image_copies.CUTS[0] == 0 and image_copies.CUTS[-1] == 256 and len(image_copies.CUTS) == image_copies.MOST_BITS + 2
+
+
+def test_words_of_descriptors(spark):
+    whole = random.Random(3).getrandbits(256)
+    parts = [(whole >> 64 * i) & (2**64 - 1) for i in range(4)]
+    row = spark.createDataFrame([tuple(p - 2**64 if p >= 2**63 else p for p in parts)], "d0 long, d1 long, d2 long, d3 long")
+    pairs = list(zip(image_copies.CUTS, image_copies.CUTS[1:], strict=False))
+    assert list(row.select(*[image_copies._word(lo, hi).alias(f"w{lo}") for lo, hi in pairs]).first()) == [(whole >> lo) & ((1 << (hi - lo)) - 1) for lo, hi in pairs]
+
+
 # ---- 3
 
 def test_codes_round_trip_and_random_access():
