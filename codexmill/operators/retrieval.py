@@ -90,12 +90,18 @@ def lsh_keys(vector: Column, bits: int, tables: int, width: int) -> Column:
     return F.array(*[F.concat(F.lit(f"{t}:"), *[side(t * bits + i) for i in range(bits)]) for t in range(tables)])
 
 
-def dense_lsh(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, width: int, bits: int = 6, tables: int = 8, top: int = DENSE_LEAST) -> DataFrame:
-    """Like ``dense`` among the vectors that share a bucket with the query; scores are exact, recall is not."""
+def dense_lsh(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, width: int, bits: int = 4, tables: int = 24, top: int = DENSE_LEAST) -> DataFrame:
+    """Like ``dense`` among the vectors that share a bucket with the query; scores are exact, recall is not.
+
+    A query with fewer than ``top`` bucket mates is asked of all vectors.
+    """
     v = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), F.explode(lsh_keys(F.col(vector), bits, tables, width)).alias("bucket"))
     q = queries.select("query_id", F.col("vector").alias("_q"), F.explode(lsh_keys(F.col("vector"), bits, tables, width)).alias("bucket"))
     near = v.join(F.broadcast(q), "bucket").dropDuplicates(["query_id", "id"])
-    return ranked(near.select("query_id", "id", cosine(F.col("_q"), F.col("_v")).alias("score")), "score", top)
+    found = ranked(near.select("query_id", "id", cosine(F.col("_q"), F.col("_v")).alias("score")), "score", top)
+    full = found.where(F.col("rank") == top - 1).select("query_id")
+    short = queries.join(full, "query_id", "left_anti")
+    return found.join(full, "query_id", "left_semi").unionByName(dense(short, vectors, id_col, vector, top=top))
 
 
 def fuse(lists: list[DataFrame], boosts: DataFrame | None = None) -> DataFrame:

@@ -50,3 +50,30 @@ def test_lsh_scores_are_exact_and_recall_is_useful(spark):
     near = {(r.query_id, r.id): r.score for r in R.dense_lsh(q, v, "vec_id", "embedding", 64, bits=3, tables=12, top=5).collect()}
     assert len(exact.keys() & near.keys()) >= 0.6 * len(exact)
     assert all(abs(exact[k] - near[k]) < 1e-9 for k in exact.keys() & near.keys())
+
+
+def test_lsh_recall_as_registered(spark):
+    """The registered query against brute force: all of its queries, all 24 neighbours."""
+    from codexmill.catalog import load
+    from codexmill.operators import retrieval as R
+    from pyspark.sql import functions as F
+
+    v = load(spark, SF, "embeddings")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    exact = {(r.query_id, r.id) for r in R.dense(q, v, "vec_id", "embedding").collect()}
+    near = [(r.query_id, r.id) for r in QUERIES["dense_lsh"](spark, SF).collect()]
+    assert len(near) == len(set(near)) == len(exact)
+    print("recall", len(exact & set(near)) / len(exact))
+    assert len(exact & set(near)) >= 0.9 * len(exact)
+
+
+def test_lsh_lists_are_never_short(spark):
+    from codexmill.catalog import load
+    from codexmill.operators import retrieval as R
+    from pyspark.sql import functions as F
+
+    v = load(spark, SF, "embeddings").where("vec_id < 40")
+    q = v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    exact = {(r.query_id, r.id, r.rank) for r in R.dense(q, v, "vec_id", "embedding").collect()}
+    near = {(r.query_id, r.id, r.rank) for r in R.dense_lsh(q, v, "vec_id", "embedding", 64, bits=12, tables=1).collect()}
+    assert near == exact and len(near) == 72
