@@ -41,11 +41,12 @@ def under(host_: Column, domains: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(d) for d in domains]), lambda d: (host_ == d) | F.endswith(host_, F.concat(F.lit("."), d)))
 
 
-def chunks(c: Column, size: int = 500, step: int = 450, limit: int = 200) -> Column:
-    """Overlapping pieces, stripped, blank ones left out, at most ``limit``."""
+def chunks(c: Column, size: int = 500, step: int = 450, limit: int | None = None) -> Column:
+    """Overlapping pieces, stripped, blank ones left out, at most ``limit`` if given."""
     n = F.ceil(F.length(c) / step).cast("int")
     starts = F.when(F.length(c) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.slice(F.filter(F.transform(starts, lambda i: strip(F.substr(c, i * step + 1, F.lit(size)))), lambda x: x != ""), 1, limit)
+    pieces = F.filter(F.transform(starts, lambda i: strip(F.substr(c, i * step + 1, F.lit(size)))), lambda x: x != "")
+    return pieces if limit is None else F.slice(pieces, 1, limit)
 
 
 def rejoin(pieces: Column, overlap: int = 200) -> Column:

@@ -77,3 +77,14 @@ def test_lsh_lists_are_never_short(spark):
     exact = {(r.query_id, r.id, r.rank) for r in R.dense(q, v, "vec_id", "embedding").collect()}
     near = {(r.query_id, r.id, r.rank) for r in R.dense_lsh(q, v, "vec_id", "embedding", 64, bits=12, tables=1).collect()}
     assert near == exact and len(near) == 72
+
+
+def test_long_documents_are_chunked_whole(spark, tmp_path):
+    text = "".join(f"w{i} " for i in range(20000))
+    spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    import hashlib
+
+    want = [text[at : at + 500].strip() for at in range(0, len(text), 450)]
+    got = sorted((r for r in QUERIES["chunk_documents"](spark, str(tmp_path)).collect() if r.doc_id == 1), key=lambda r: r.chunk_index)
+    assert [r.piece for r in got] == [hashlib.md5(p.encode()).hexdigest() for p in want] and len(want) > 200
+    assert {r.total_chunks for r in got} == {len(want)}
