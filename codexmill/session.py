@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,8 +27,9 @@ def session(name: str = "codexmill", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests in one process) a temporary folder is
-    made and used as the checkpoint folder.
+    Only in a local session without that setting (tests in one process) a temporary
+    folder is made and used; elsewhere a folder of this machine would be lost to the
+    executors, so the setting is asked for.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -35,6 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     own = "file://" + tempfile.mkdtemp(prefix="codexmill-")
     spark.sparkContext.setCheckpointDir(own)
     return own
