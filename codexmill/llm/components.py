@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star step: each node hands its larger (or smaller) neighbours to the least node it knows.
 
-    The least neighbour is aggregated on the map side and joined back, so a node
-    with very many links needs no task of its own.
+    The least neighbour is aggregated on the map side and joined back; adaptive
+    execution splits the join of a node with very many links.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -29,15 +29,20 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``links(a, b)``; the component is its least node.
 
     Alternating large-star and small-star steps until nothing changes; each round
-    is written to the shared folder, so a lost executor repeats one round at most.
+    is written to the shared folder, so a lost executor repeats one round at most,
+    and the round before is removed.
     """
     edges = written(links.select("a", "b").where("a <> b").distinct(), "links")
     before = None
     while True:
-        edges = written(_stars(_stars(edges, True), False), "stars")
+        last, edges = edges, written(_stars(_stars(edges, True), False), "stars")
+        removed(last)
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             break
         before = mark
     # Now every node points at the least of its component.
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select("b", "b").toDF("node", "component").distinct())
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select("b", "b").toDF("node", "component").distinct())
+    out = written(found, "components")
+    removed(edges)
+    return out

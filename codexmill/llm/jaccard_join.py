@@ -10,12 +10,12 @@ all members of a list may match in size.
 The join is exact in which documents hang together, without making all pairs of
 a list. First each group, and each list, verifies its members against one leader
 (as many pairs as members): the one whose shingles are the most frequent, so the
-common original of edited copies rather than one of them. Then come the pairs of a
+common original of edited copies rather than one of them. Then come the groups of a
 list that those links leave in different components: a cluster of copies is one
-component by then and makes none. These pairs must pass, inside the join, a bound
-on the difference of the sets (a difference of d shingles flips at most d of the
-parity bits). All pairs are filtered by an upper bound of the overlap (bucket
-counts of the shingles' hashes), and verified on the whole sets.
+component by then and makes none. Pairs of groups must pass, inside the join, a
+bound on the difference of any two of their members; what passes is expanded to
+members, which pass the bound themselves, then an upper bound of the overlap
+(bucket counts of the shingles' hashes), and are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_contexts import Index, counted
-from .common import written
+from .common import removed, written
 from .components import components
 
 #: Frequent shingles known to the order, at most; they are broadcast. Others count as equally rare.
@@ -234,24 +234,71 @@ def _normal(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+
+
+def _far(x: str, y: str) -> Column:
+    """Parity bits in which members of two groups differ at least, from the bits that all and that any of their members have set."""
+    words = [(F.col(f"{x}.all{i}").bitwiseAND(F.bitwise_not(f"{y}.any{i}"))).bitwiseOR(F.col(f"{y}.all{i}").bitwiseAND(F.bitwise_not(f"{x}.any{i}"))) for i in range(PARITY_WORDS)]
+    return sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0])).cast("long")
+
+
+def _open_pairs(entries: DataFrame, classes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)`` of classes in different components that share a list or a group and pass the parity bound.
+
+    Group pairs come first, filtered by what holds of all their members; the rest is
+    expanded to classes, which are filtered one by one. A difference of d shingles
+    flips at most d parity bits.
+    """
+    parity = [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY_WORDS)]
+    member = classes.select("g", "c", "n", *parity).join(known.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
+    sums = [f(f"p{i}").alias(f"{name}{i}") for i in range(PARITY_WORDS) for name, f in (("all", F.bit_and), ("any", F.bit_or))]
+    whole = member.groupBy("g").agg(F.min("n").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), *sums)
+    whole = written(whole, "group-bounds")
+    spans = entries.join(whole.select("g", "c1", "c2"), "g")
+    open_ = spans.groupBy("key").agg(F.min("c1").alias("x"), F.max("c2").alias("y")).where("x <> y").select("key")
+    listed = written(entries.join(open_, "key", "left_semi").join(whole, "g"), "open-lists")
+
+    x, y = listed.alias("x"), listed.alias("y")
+    apart = (F.col("x.c1") != F.col("y.c2")) | (F.col("x.c2") != F.col("y.c1"))
+    may = _far("x", "y") * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    between = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") < F.col("y.g")) & apart & may).select(F.col("x.g").alias("gx"), F.col("y.g").alias("gy")).distinct()
+    inside = whole.where("c1 <> c2").select(F.col("g").alias("gx"), F.col("g").alias("gy"))
+    end = lambda e: member.select(*[F.col(c).alias(f"{c}{e}") for c in member.columns])
+    both = between.unionByName(inside).join(end("x"), "gx").join(end("y"), "gy")
+    differ = sum((F.bit_count(F.col(f"p{i}x").bitwiseXOR(F.col(f"p{i}y"))) for i in range(1, PARITY_WORDS)), F.bit_count(F.col("p0x").bitwiseXOR(F.col("p0y"))))
+    near = differ.cast("long") * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
+    pairs = written(_normal(both.where((F.col("compx") != F.col("compy")) & near).select(F.col("cx").alias("a"), F.col("cy").alias("b"))), "pairs2")
+    removed(whole, listed)
+    return pairs
+
+
 def _resolved(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
-    """Per row: ``id``, ``row``, ``n``, class ``c``, ``component`` (its least class) and ``component_id``; the last three null without shingles."""
+    """Per row: ``id``, ``row``, ``n``, class ``c``, ``component`` (its least class) and ``component_id``; the last three null without shingles.
+
+    Every table on the way is removed as soon as the next ones are written.
+    """
     order = Order(*frequent_shingles(docs, text, k))
-    rows = written(prefix_sets(docs, id_col, text, k, percent, order), "prefix-sets")
-    some = rows.where("n > 0")
+    found = written(prefix_sets(docs, id_col, text, k, percent, order), "prefix-sets")
+    some = found.where("n > 0")
     classes = some.groupBy("c").agg(F.min("id").alias("least_id"), F.min("row").alias("row"), F.min("g").alias("g"), F.min("n").alias("n"), F.min("rank").alias("rank"))
     classes = written(classes.join(some.select("row", "c", "counts", "parity").dropDuplicates(["row", "c"]), ["row", "c"]), "classes")
     groups = classes.groupBy("g").agg(F.min_by("c", F.struct("rank", "c")).alias("lead"), F.count(F.lit(1)).alias("members"), F.min("n").alias("n"), F.min("rank").alias("rank"))
+    groups = written(groups, "groups")
 
     # Lists of the prefix index with two groups at least, by band of sizes, and their leading group.
-    entries = some.dropDuplicates(["g"]).select("g", F.explode("keys").alias("token"))
-    several = entries.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("token")
+    tokens = some.dropDuplicates(["g"]).select("g", F.explode("keys").alias("token"))
+    several = tokens.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("token")
     width = math.log(100 / percent) * 1.000001 + 1e-9  # of a band; a match is in the same band or the next
     band = F.floor(F.log("n") / width)
-    entries = entries.join(several, "token").join(groups.select("g", "n", "rank"), "g")
-    entries = written(entries.select("g", "rank", F.explode(F.array(F.xxhash64("token", band), F.xxhash64("token", band + 1))).alias("key")), "prefix-index")
-    lists = entries.groupBy("key").agg(F.min(F.struct("rank", "g")).alias("lo"), F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("key", F.col("lo.g").alias("lo"))
-    entries = written(entries.join(lists, "key").drop("rank"), "entries")
+    index = tokens.join(several, "token").join(groups.select("g", "n", "rank"), "g")
+    index = written(index.select("g", "rank", F.explode(F.array(F.xxhash64("token", band), F.xxhash64("token", band + 1))).alias("key")), "prefix-index")
+    rows = written(found.select("id", "row", "n", "c"), "rows")
+    removed(found)
+    lists = index.groupBy("key").agg(F.min(F.struct("rank", "g")).alias("lo"), F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("key", F.col("lo.g").alias("lo"))
+    entries = written(index.join(lists, "key").drop("rank"), "entries")
+    removed(index)
 
     # First round: leaders.
     inside = classes.join(groups.where("members > 1"), "g").select(F.col("lead").alias("a"), F.col("c").alias("b"))
@@ -259,30 +306,27 @@ def _resolved(docs: DataFrame, id_col: str, text: str, k: int, percent: int) ->
     between = between.join(groups.select(F.col("g").alias("lo"), F.col("lead").alias("a")), "lo").join(groups.select("g", F.col("lead").alias("b")), "g").select("a", "b")
     tried = written(_normal(inside.unionByName(between)), "pairs1")
     likely = written(_may_match(tried, classes, percent), "likely1")
-    ends = lambda p: p.select(F.col("a").alias("c")).unionByName(p.select(F.col("b").alias("c"))).distinct()
-    sets = written(_sets_of(ends(likely), classes, docs, id_col, text, k), "sets1")
+    sets = written(_sets_of(_ends(likely), classes, docs, id_col, text, k), "sets1")
     links = written(_verified(likely, sets, percent), "links1")
+    removed(likely, sets)
 
     # Second round: members of a list that are not in one component yet.
     known = components(links)
-    member = classes.select("g", "c").join(known.withColumnRenamed("node", "c"), "c", "left").select("g", "c", F.coalesce("component", "c").alias("comp"))
-    listed = entries.select("key", "g").unionByName(groups.where("members > 1").select(F.col("g").alias("key"), "g")).join(member, "g").select("key", "c", "comp")
-    open_ = listed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    parity = classes.select("c", "n", *[F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY_WORDS)])
-    listed = written(listed.join(open_, "key", "left_semi").join(parity, "c"), "open-lists")
-    x, y = listed.alias("x"), listed.alias("y")
-    differ = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(1, PARITY_WORDS)), F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))))
-    near = differ.cast("long") * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
-    pairs = _normal(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & near).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")))
+    pairs = _open_pairs(entries.select("key", "g"), classes, known, percent)
     likely = written(_may_match(pairs.join(tried, ["a", "b"], "left_anti"), classes, percent), "likely2")
+    removed(entries, groups, tried, pairs)
     if not likely.isEmpty():
-        more = written(_sets_of(ends(likely), classes, docs, id_col, text, k), "sets2")
-        known = components(links.unionByName(_verified(likely, more, percent)))
+        sets = written(_sets_of(_ends(likely), classes, docs, id_col, text, k), "sets2")
+        more = written(_verified(likely, sets, percent), "links2")
+        removed(sets, known)
+        known = components(links.unionByName(more))
+        removed(more)
 
     joined = classes.select("c", "least_id").join(known.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     named = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_class = joined.join(named, "component").select("c", "component", "component_id")
-    return rows.select("id", "row", "n", "c").join(by_class, "c", "left")
+    out = written(rows.join(joined.join(named, "component").select("c", "component", "component_id"), "c", "left"), "resolved")
+    removed(rows, classes, likely, links, known)
+    return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -302,10 +346,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
 
     Rows without words stay all. Of rows equal in id and text one stays.
     """
-    rows = written(_resolved(docs, id_col, text, k, percent), "resolved")
+    rows = _resolved(docs, id_col, text, k, percent)
     least = rows.where("n > 0").groupBy("component").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("row"))
-    stay = least.select("row", F.lit(True).alias("_one")).unionByName(rows.where("n = 0").select("row", F.lit(False).alias("_one")).distinct())
-    stay = stay.withColumnRenamed("row", "_row")
-    kept = docs.withColumn("_row", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`"))).join(stay, "_row")
-    one = kept.where("_one").dropDuplicates(["_row"])
-    return one.unionByName(kept.where("not _one")).select(*[f"`{c}`" for c in docs.columns])
+    stay = least.select("row", F.lit(True).alias("one")).unionByName(rows.where("n = 0").select("row", F.lit(False).alias("one")).distinct())
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`")).alias("row"))
+    kept = whole.join(stay, "row")
+    return kept.where("one").dropDuplicates(["row"]).unionByName(kept.where("not one")).select("doc.*")
