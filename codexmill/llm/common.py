@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +22,24 @@ _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the time of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/codexmill/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
@@ -28,27 +48,24 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     of the write go with it, as nothing reads them again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codexmill/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with setting(spark, CLEANUP, "true"):
         writer.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def removed(*tables: DataFrame) -> None:
     """Deletes what ``written`` made, once the last table that reads it is written too."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(df.sparkSession, _paths.pop(df))
 
 
 def ascii_lower(c: Column) -> Column:

@@ -369,6 +369,40 @@ def test_lines(spark, batches, fanout):
     assert line_dedup.dedup_lines(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_lines_with_clashing_columns(spark):
+    names = ["k1", "k2", "hot", "doc", "whole", "at", "h", "h1", "h2", "n", "batch", "_k1", "_hot", "n_lines", "kept_text"]
+    rows = [(i, "menu\nown %d" % i, *[f"{c}{i}" for c in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    for r in line_dedup.dedup_lines(df).collect():
+        assert (r.n_lines, r.n_dropped, r.kept_text) == (2, 1, f"own {r.doc_id}")
+        assert all(r[c] == f"{c}{r.doc_id}" for c in names if c not in ("n_lines", "kept_text"))
+
+
+def test_a_new_batch_of_lines_reads_the_runs(spark):
+    texts = [f"a\nb{i % 3}\nc{i}" for i in range(30)]
+    df = frame(spark, list(enumerate(texts))).repartition(3)
+    runs = line_dedup.LineRuns(spark, min_docs=10, fanout=3, buckets=4)
+    wanted = lambda n: {line for line in {x for t in texts for x in t.split("\n")} if sum(line in t.split("\n") for t in texts[:n]) >= 10}
+    hashes = lambda lines: {tuple(r.h) for r in spark.createDataFrame([(x,) for x in lines], "x string").select(line_dedup.key_hash("x").alias("h")).collect()} if lines else set()
+    for upto in (6, 12, 18, 24, 30):
+        runs.add(df.where(f"doc_id >= {upto - 6} and doc_id < {upto}"))
+        assert {(r.h1, r.h2) for r in runs.frequent_keys().collect()} == hashes(wanted(upto))
+    assert [len(level) for level in runs.levels] == [2, 1]
+    # Joined with the runs, a batch is neither shuffled nor sorted.
+    one, two = (spark.table(r) for r in runs.levels[0])
+    with runs.merging():
+        plan = one.join(two.where("n >= 10").hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    runs.close()
+
+
+def test_a_text_of_very_many_lines(spark):
+    rows = [(i, "\n".join(f"l{j}" for j in range(60_000))) for i in range(10)] + [(10, "\n".join(["l1", "own"] * 100_000))]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert all((got[i].n_dropped, got[i].kept_text) == (60_000, "") for i in range(10))
+    assert (got[10].n_lines, got[10].n_dropped, got[10].kept_text) == (200_000, 100_000, "\n".join(["own"] * 100_000))
+
+
 # ---- the pipeline
 
 def test_pipeline_by_stage(spark, tmp_path):
