@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import in_worker
+
 NONE = 1 << 62
 #: Chunks, and pieces, that a worker remembers at most when a group of texts begins; beyond, it starts anew.
 MEMO_ENTRIES = 500_000
@@ -247,10 +248,9 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def codec(ranks_path: str, pattern: str) -> Codec:
     """One a worker process."""
-    return Codec(ranks_path, pattern)
+    return in_worker(("byte BPE", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
 
 
 def _mapped(docs: DataFrame, source: str, added: str, rows) -> DataFrame:

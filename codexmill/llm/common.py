@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,11 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 #: Removes the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Of tables between steps: bytes a writer gathers before it writes, and rows that go to Python at once. Both only bound memory.
+ROW_GROUP, ARROW_ROWS = str(16 << 20), "1000"
+
+#: What the tasks of one operator keep in a worker process.
+_kept: dict[object, object] = {}
 
 
 @contextmanager
@@ -49,9 +55,9 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    with setting(spark, CLEANUP, "true"):
-        writer.parquet(path)
+    writer = df.write.option("parquet.block.size", ROW_GROUP)
+    with setting(spark, CLEANUP, "true"), setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS):
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
@@ -68,6 +74,18 @@ def removed(*tables: DataFrame) -> None:
         delete(df.sparkSession, _paths.pop(df))
 
 
+def in_worker(kind: object, make: Callable[[], object]) -> object:
+    """What tasks of one kind keep in a worker process for the next one, such as a memo or a trie.
+
+    A worker serves one operator after the other; only what the last kind keeps stays.
+    """
+    if kind not in _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+        _kept[kind] = make()
+    return _kept[kind]
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else."""
     return F.translate(c, UPPER, LOWER)

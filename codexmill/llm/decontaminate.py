@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import in_worker, written
 
 #: Words: runs of ASCII letters and digits and of all characters beyond ASCII, after lower-casing A-Z.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -77,10 +77,6 @@ def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-#: The automaton of the block in hand, one a worker, by its broadcast.
-_scanners: dict[int, Scanner] = {}
-
-
 def _pass(docs: DataFrame, items: list[tuple[str, str]], text: str, window: int, again: bool) -> DataFrame:
     names = T._parse_datatype_string(ADDED).fieldNames()
     kept = [f for f in docs.schema.fields if f.name not in names]
@@ -95,10 +91,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], text: str, window: int,
     ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if number not in _scanners:
-            _scanners.clear()
-            _scanners[number] = Scanner(shared.value, window)
-        scanner = _scanners[number]
+        scanner = in_worker(("automaton", number, window), lambda: Scanner(shared.value, window))
         for batch in batches:
             cols: list[list] = [[], [], [], []]
             prior = zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True) if again else repeat(([], []))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_contexts import Index, counted
-from .common import removed, written
+from .common import in_worker, removed, written
 from .components import components
 
 #: Frequent shingles known to the order, at most; they are broadcast. Others count as equally rare.
@@ -58,9 +58,6 @@ class _Words(dict):
         return value
 
 
-_words = _Words()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -75,7 +72,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    own = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    own = np.fromiter(map(in_worker("word hashes", _Words).__getitem__, words), np.uint64, len(words))
     if len(words) < k:
         return np.array([xxhash.xxh64_intdigest(own.tobytes(), seed=len(words))], np.uint64)
     out = np.zeros(len(words) - k + 1, np.uint64)

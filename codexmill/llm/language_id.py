@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_contexts import Index, counted, grams
+from .common import in_worker
 
 #: Bytes of context at most.
 ORDER = 4
@@ -175,9 +176,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    number = shared._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = in_worker(("language model", number), lambda: shared.value)
         for batch in batches:
             texts = batch.column(text).to_pylist()
             names, scores = ["und"] * len(texts), [0.0] * len(texts)

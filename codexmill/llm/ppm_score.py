@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_contexts import Index, counted, grams
-from .common import written
+from .common import in_worker, written
 
 #: Bytes of context at most.
 ORDER = 5
@@ -194,10 +194,6 @@ def _block_column(gram, blocks: int):
 
 # ---- scoring
 
-#: The trie in hand, one a worker, by its broadcast.
-_tries: dict[int, Trie] = {}
-
-
 def _score_pass(docs: DataFrame, counts: tuple, block: int, blocks: int, head: dict | None) -> DataFrame:
     """Per row: its key, the log10 probability of its bytes in this block and, with ``head``, its word counts.
 
@@ -211,10 +207,7 @@ def _score_pass(docs: DataFrame, counts: tuple, block: int, blocks: int, head: d
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if number not in _tries:
-            _tries.clear()
-            _tries[number] = Trie(*shared.value)
-        own, known = _tries[number], shared_head.value
+        own, known = in_worker(("trie", number), lambda: Trie(*shared.value)), shared_head.value
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             cols: list[list] = [[] for _ in names]
             held: list[bytes] = []

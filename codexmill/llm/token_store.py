@@ -20,22 +20,24 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import in_worker
+
 SEGMENT_TOKENS = 1 << 18
 BLOCK_BITS = 512
 #: Distinct words a worker remembers at most; then it starts anew.
-MEMO_ENTRIES = 350_000
-#: Characters of the texts that are encoded together, if there are several.
-GROUP_CHARS = 2_000_000
-
-STOP = re.compile(rb"(?<=[a-z])[.,](?=[ \t-\r])")
+MEMO_ENTRIES = 800_000
+#: Bytes of the texts that are encoded together, about.
+GROUP_BYTES = 8_000_000
+#: Bytes of text in one part of the store, about.
+PART_BYTES = 64 << 20
 
 SEGMENT_SCHEMA = "part int, local_start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, levels array<binary>, continues array<binary>, ranks array<binary>"
 
@@ -89,14 +91,46 @@ def token(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], at: int
 
 # ---- the tokenizer
 
+# What a tokenizer file must say for its ids to be found word by word.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same pattern on lower-case ASCII.
+ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+#: ASCII punctuation at the end of a word.
+TAIL = re.compile(r"[!-/:-@\[-`{-~]+\Z")
+#: Where A-Z may not be lower-cased first: special tokens have a bar and are matched before; some marks compose with small letters only.
+CASED = "[|\u0300-\u037f]"
+
+
+def splits_at_space(spec: dict) -> bool:
+    """Whether the ids of a text are those of its words, one after the other, and A-Z may be lower-cased before."""
+    normal, before, model = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}], spec["model"]
+    steps = normal.get("normalizers") or []
+    first = before[0]
+    return (
+        [n.get("type") for n in steps] == NORMALIZERS
+        and (steps[1].get("pattern"), steps[1].get("content")) == ({"Regex": r"\s+"}, " ")
+        and (first.get("type"), first.get("behavior"), first.get("invert"), first.get("pattern")) == ("Split", "Removed", True, {"Regex": SPLIT})
+        and [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in before[1:]] == [("ByteLevel", False, False)]
+        and spec.get("post_processor") is None
+        and spec.get("truncation") is None
+        and spec.get("padding") is None
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and all("|" in t["content"] for t in spec.get("added_tokens") or [])
+    )
+
+
 class Words:
     """A tokenizer of the tokenizers library with a memo of words.
 
-    For tokenizers that drop white space and never join characters on both sides
-    of it, the ids of a text are those of its words. Each new word goes through the
-    library once. Words of letters alone are one match of the split pattern and go
-    many at a time: their ids end at each token that closes a word (its string has
-    the word-end suffix); if there are not as many as words, they go one by one.
+    If the tokenizer's file shows that it drops white space and never joins
+    characters on both sides of it (``splits_at_space``), the ids of a text are those
+    of its words; otherwise whole texts go through the library. Each new word is cut
+    into matches of the split pattern, and each new match goes through the library
+    once. Matches of letters go many at a time: their ids end at each token that
+    closes a word (its string has the word-end suffix); if there are not as many as
+    words, they go one by one.
     """
 
     def __init__(self, path: str):
@@ -104,76 +138,102 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_word = splits_at_space(spec)
+        suffix = spec["model"].get("end_of_word_suffix")
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for s, i in vocab.items() if suffix and s.endswith(suffix)]] = True
-        self.memo: dict[bytes, bytes] = {}
+        self.memo: dict[str, bytes] = {}
 
-    def _library(self, words: list[str]) -> list[bytes]:
+    def _library(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words that the split pattern matches whole, and of others that can't be cut, one library call for many."""
         letters = [w for w in words if w.isalpha()] if self.closes.any() else []
-        out: dict[str, bytes] = {}
-        for at in range(0, len(letters), 1000):
-            some = letters[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        groups = [letters[at : at + 1000] for at in range(0, len(letters), 1000)]
+        rest = [w for w in words if not w.isalpha()] if letters else words
+        for some, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(some):
-                raw = ids.tobytes()
-                out.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
-        rest = [w for w in words if w not in out]
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                yield from zip(some, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True)
+            else:
+                rest = rest + some
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            out[w] = np.array(e.ids, "<u4").tobytes()
-        return [out[w] for w in words]
+            yield w, np.array(e.ids, "<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Puts all of ``words`` into the memo."""
+    @staticmethod
+    def pieces(word: str) -> list[str]:
+        """Parts that the split pattern matches one by one; a word of which that isn't certain is one part."""
+        if "|" in word:
+            return [word]
+        if word.isascii():
+            return ASCII_PIECE.findall(word.lower())
+        tail = TAIL.search(word)
+        if tail and tail.start():
+            last = word[tail.start() - 1]
+            # Latin letters whose small form is one letter too: they don't join the punctuation.
+            if last < "\u0250" and last.isalpha() and last.lower().isalpha():
+                return [word[: tail.start()], tail[0]]
+        return [word]
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, one after the other, and how many each has."""
         if len(self.memo) + len(words) > MEMO_ENTRIES:
             self.memo.clear()
-        new = list(words.difference(self.memo))
-        self.memo.update(zip(new, self._library([w.decode() for w in new]), strict=True))
-
-    @staticmethod
-    def split(text: str) -> list[bytes]:
-        """Words whose ids, one after the other, are the text's.
-
-        The vocabulary is lower case, so A-Z may be lower-cased first, unless there
-        is a bar (special tokens are matched before) or a combining mark (some
-        compose with small letters only). A full stop or comma between an ASCII
-        letter and white space is a match of its own.
-        """
-        raw = text.encode()
-        if b"|" in raw or b"\xcc" in raw or b"\xcd" in raw:
-            return raw.split()
-        return STOP.sub(rb" \g<0>", raw.lower()).split()
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers."""
+        memo = self.memo
+        new = [w for w in words if w not in memo]
+        cut = {w: self.pieces(w) for w in new if not w.isalpha()}
+        whole = {w for w in new if w not in cut}
+        whole.update(p for parts in cut.values() for p in parts if p not in memo)
+        memo.update(self._library(list(whole)))
+        memo.update((w, b"".join([memo[p] for p in parts])) for w, parts in cut.items() if w not in memo)
+        found = [memo[w] for w in words]
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of some texts: words are numbered by their first occurrence, and only distinct ones are looked up."""
+        low = pc.if_else(pc.match_substring_regex(texts, CASED), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(low)
+        numbered = split.flatten().dictionary_encode()
+        ids, n = self.ids_of(numbered.dictionary.to_pylist())
+        word = numbered.indices.to_numpy()
+        long = n[word]
+        ends = np.r_[0, np.cumsum(long)]
+        first = (np.cumsum(n) - n)[word]
+        out = ids[np.repeat(first - ends[:-1], long) + np.arange(ends[-1])]
+        at = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [out[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers; a null text has none."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
         at = 0
         while at < len(texts):
-            group, words, n = [], set(), 0
-            while at < len(texts) and n < GROUP_CHARS:
-                parts = self.split(texts[at] or "")
-                words.update(parts)
-                group.append(parts)
-                n += len(texts[at] or "")
-                at += 1
-            if len(words) > MEMO_ENTRIES // 2:  # a huge text: some of its words at a time
-                for parts in group:
-                    got = []
-                    for i in range(0, len(parts), 50_000):
-                        self.learn(set(parts[i : i + 50_000]))
-                        got.append(b"".join(map(self.memo.__getitem__, parts[i : i + 50_000])))
-                    yield b"".join(got)
-                continue
-            self.learn(words)
-            for parts in group:
-                yield b"".join(map(self.memo.__getitem__, parts))
-
-
-@lru_cache(maxsize=1)
+            to, n = at + 1, sizes[at]
+            while to < len(texts) and n + sizes[to] <= GROUP_BYTES:
+                n += sizes[to]
+                to += 1
+            some = pc.fill_null(texts.slice(at, to - at), "")
+            at = to
+            if not self.by_word:
+                for e in self.tokenizer.encode_batch_fast(some.to_pylist(), add_special_tokens=False):
+                    yield np.array(e.ids, "<u4").tobytes()
+            elif n > 2 * GROUP_BYTES:  # one huge text, in parts that end at white space
+                raw, got = some[0].as_py().encode(), []
+                while raw:
+                    end = next((i for i in range(GROUP_BYTES, len(raw)) if raw[i] in b" \t\n\v\f\r"), len(raw))
+                    got += self._encode(pa.array([raw[:end].decode()], pa.string()))
+                    raw = raw[end:]
+                yield np.concatenate(got).tobytes()
+            else:
+                for ids in self._encode(some):
+                    yield ids.tobytes()
+
+
 def words(path: str) -> Words:
     """One a worker process."""
-    return Words(path)
+    return in_worker(("words", path), lambda: Words(path))
 
 
 # ---- writing and reading
@@ -182,13 +242,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     """Encodes all documents, each followed by ``end_id``, into segments under ``path``.
 
     Documents are in ascending order of id (nulls first; equal ids by a hash of
-    the text): partitions are ranges of ids, files and segments follow them. A null
+    the text): partitions are ranges of ids, files and segments follow them; ``parts``
+    of them, by default as many as the session's shuffle partitions, and more where a
+    part would have over ``PART_BYTES`` of text. A null
     text is empty, so only the end id. Segments hold whole documents; one that is
     longer than a segment has its own. Other columns are not stored. An empty table
     writes no segments.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).alias("n")).first()["n"]
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +269,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-            encoded = words(tokenizer_path).encode(batch.column(1).to_pylist())
+            encoded = words(tokenizer_path).encode(batch.column(1))
             for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 if held and n + len(ids) // 4 + 1 > segment_tokens:
                     yield segment()

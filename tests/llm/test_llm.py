@@ -183,6 +183,38 @@ def test_store(spark, tmp_path):
     assert {r.position: r.token_id for r in found} == {p: ids[p] if 0 <= p < len(ids) else None for p in asked}
 
 
+def test_ids_by_word_on_random_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(WORD_BPE), random.Random(5)
+    parts = list("aabBcIİKéÉöÖßſŉǰ'’stredlvm.,!&*$%()[]{}|<>-_=+#@~`^0123²½٣ \t\n\r\v\f\x1c\x85\u00a0\u3000\u0338\u0301\u0307\u200b日本한ẞﬁÅΣς")
+    texts = [None, ""] + ["".join(rng.choices(parts + ["'s", "'LL", " <|endoftext|>", "...", "ö.", "é,", "İ.", "ñ!?"], k=rng.randrange(40))) for _ in range(8000)]
+    for memo, group in ((800_000, 8_000_000), (150, 2000)):
+        own = token_store.Words(WORD_BPE)
+        assert own.by_word
+        token_store.MEMO_ENTRIES, token_store.GROUP_BYTES, before = memo, group, (token_store.MEMO_ENTRIES, token_store.GROUP_BYTES)
+        got = list(own.encode(pa.array([*texts, " ".join(t or "" for t in texts)], pa.string())))
+        token_store.MEMO_ENTRIES, token_store.GROUP_BYTES = before
+        want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts] + [tok.encode(" ".join(t or "" for t in texts), add_special_tokens=False).ids]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+
+
+def test_other_tokenizers_get_whole_texts():
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    spec = json.loads(Tokenizer.from_file(WORD_BPE).to_str())
+    assert token_store.splits_at_space(spec)
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"post_processor": {"type": "ByteLevel"}}):
+        assert not token_store.splits_at_space(spec | change)
+    own = token_store.Words(WORD_BPE)
+    own.by_word = False
+    assert [len(x) for x in own.encode(pa.array(["Two words", None, ""]))] == [4 * len(own.tokenizer.encode("Two words").ids), 0, 0]
+
+
 def test_store_of_nothing(spark, tmp_path):
     token_store.write_tokens(frame(spark, odd_texts()).limit(0), f"{tmp_path}/s", WORD_BPE, 2)
     assert token_store.read_documents(spark, f"{tmp_path}/s").count() == 0
