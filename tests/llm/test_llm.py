@@ -99,21 +99,43 @@ def test_crops_edits_and_turns_are_found(spark):
     assert image_copies.copy_groups(df.limit(0)).count() == 0
 
 
-def test_votes_of_a_pair_add_up_over_all_lists(spark, monkeypatch):
-    """Two copies share half their corners' lists with a lesser image; against all pairs of corners."""
+def test_votes_of_a_pair_add_up_over_all_lists(spark):
+    """Two copies share half their corners' lists with a lesser image; against all pairs of images."""
     rng = np.random.default_rng(4)
-    words = rng.integers(-(2**62), 2**62, (10, 4))
-    spot = rng.uniform(0, 90, (3, 10, 2))
+    words, spot = rng.integers(0, 2**63, (10, 4), np.uint64), rng.uniform(0, 90, (3, 10, 2))
     spot[2] = spot[1] + 3
-    # Image 1 has the descriptors of five corners of 2 and 3 at other places.
-    rows = [(img, c, *map(float, spot[img - 1, c]), 1.0, 0.0, *map(int, words[c])) for img, n in ((1, 5), (2, 10), (3, 10)) for c in range(n)]
-    found = spark.createDataFrame(rows, "img long, corner long, x double, y double, scale double, angle double, d0 long, d1 long, d2 long, d3 long")
-    monkeypatch.setattr(image_copies, "corners", lambda *_: found)
-    df = spark.createDataFrame([(i, bytes([i]), 1, 1) for i in (1, 2, 3)], "id long, pixels binary, width int, height int")
-    every = found.withColumn("key", F.lit(0))
-    brute = {(r.a, r.b) for r in image_copies._agreeing(image_copies._matches(every, every)).collect()}
+    # Image 1 has the descriptors of five corners of 2 and 3 at other places; image 4 none of them.
+    every = {}
+    for img, n in ((1, 5), (2, 10), (3, 10), (4, 10)):
+        own = np.zeros(n, image_copies.CORNER)
+        own["d"], own["x"], own["y"], own["scale"] = words[:n] if img < 4 else ~words, *spot[(img - 1) % 3, :n].T, 1
+        every[img] = own
+    brute = {(a, b) for a in every for b in every if a < b and image_copies.agreeing(every[a], every[b]) >= image_copies.AGREEING}
     assert brute == {(2, 3)}
-    assert {(r.id, r.group_id) for r in image_copies.copy_groups(df).collect()} == {(1, 1), (2, 2), (3, 2)}
+    found = spark.createDataFrame([(i, len(c), c.tobytes()) for i, c in every.items()], "img long, n long, corners binary")
+    assert {tuple(r) for r in image_copies.copy_links(found).collect()} == {(2, 2), (3, 2)}
+
+
+def test_groups_of_edits_by_brute_force(spark):
+    """All pairs of corners of all pairs of images, and the recall of each kind of edit."""
+    rng = np.random.default_rng(12)
+    bases = [texture(40 + i, 160) for i in range(8)]
+    edits = [lambda x: x[30:120, 40:140], lambda x: x + rng.normal(0, 10, x.shape), lambda x: x * 0.6 + 20, lambda x: resampled(x, 112, turn=10),
+             lambda x: resampled(x, 112, turn=45), lambda x: resampled(x, 128, size=0.8), lambda x: resampled(x, 80, size=0.5), lambda x: (x + np.roll(x, 1, 0) + np.roll(x, 1, 1)) / 3]
+    images = [(100 * k + j, x.round().clip(0, 255).astype(np.uint8)) for k, base in enumerate(bases) for j, x in enumerate([base, *[e(base) for e in edits]])]
+    rows = [(i, x.tobytes(), x.shape[1], x.shape[0]) for i, x in images]
+    found = {i: image_copies.corners_of(x[None].astype(float))[0] for i, x in images}
+    got = {r.id: (r.n_corners, r.group_id) for r in image_copies.copy_groups(spark.createDataFrame(rows, "id long, pixels binary, width int, height int")).collect()}
+    assert {i: n for i, (n, _) in got.items()} == {i: len(c) for i, c in found.items()}
+    group = {i: i for i in found}
+    for a in found:
+        for b in found:
+            if a < b and (a // 100 == b // 100 or (a % 100 < 2 and b % 100 < 2)) and image_copies.agreeing(found[a], found[b]) >= image_copies.AGREEING:
+                least = min(group[a], group[b])
+                group = {i: least if g in (group[a], group[b]) else g for i, g in group.items()}
+    assert all(group[i] == i // 100 * 100 for i in found)  # no false link, none missed, by brute force
+    right = [got[i][1] == group[i] for i in found]
+    assert sum(right) >= 0.97 * len(right) and all(got[i][1] // 100 == i // 100 for i in found)
 
 
 def resampled(img, side, turn=0.0, size=1.0):
@@ -140,17 +162,19 @@ def test_small_crops_sizes_turns_and_noise_are_found(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 3, 7: 3, 8: 3, 9: 9, 10: 9, 11: 11}
 
 
-def test_words_find_all_near_descriptors():
-    """Any 11 bits flipped leave one of the words, which part the 256 bits."""
-    assert image_copies.CUTS[0] == 0 and image_copies.CUTS[-1] == 256 and len(image_copies.CUTS) == image_copies.MOST_BITS + 2
-
-
-def test_words_of_descriptors(spark):
-    whole = random.Random(3).getrandbits(256)
-    parts = [(whole >> 64 * i) & (2**64 - 1) for i in range(4)]
-    row = spark.createDataFrame([tuple(p - 2**64 if p >= 2**63 else p for p in parts)], "d0 long, d1 long, d2 long, d3 long")
-    pairs = list(zip(image_copies.CUTS, image_copies.CUTS[1:], strict=False))
-    assert list(row.select(*[image_copies._word(lo, hi).alias(f"w{lo}") for lo, hi in pairs]).first()) == [(whole >> lo) & ((1 << (hi - lo)) - 1) for lo, hi in pairs]
+def test_keys_of_tables():
+    """Descriptors meet in a table exactly if they agree in its bits."""
+    rng = np.random.default_rng(1)
+    one = np.zeros(40, image_copies.CORNER)
+    one["d"] = rng.integers(0, 2**63, 4, np.uint64)
+    flips = np.zeros((40, 256), np.uint8)
+    for i in range(40):
+        flips[i, rng.permutation(256)[: i // 2]] = 1
+    one["d"] ^= np.packbits(flips, axis=1, bitorder="little").view("<u8")
+    keys = image_copies.table_keys(one)
+    assert keys.shape == (40, image_copies.TABLES)
+    for t, chosen in enumerate(image_copies.CHOSEN):
+        assert ((keys[:, t] == keys[0, t]) == (flips[:, chosen].sum(1) == 0)).all()
 
 
 # ---- 3
