@@ -263,8 +263,9 @@ def _hints(left: DataFrame, right: DataFrame, other) -> DataFrame:
     halves = lambda v, w: F.array(F.floor(v / w * 2), F.floor(v / w * 2) - 1)
     votes = both.select(F.col("img_a").alias("a"), F.col("img_b").alias("b"), F.col("corner_a").alias("ca"), turn.alias("turn"), steps.alias("size"), *[F.col(f"{c}_{s}").alias(f"{c}{s}") for c in "xy" for s in "ab"])
     votes = votes.select("a", "b", "ca", "size", F.col("turn").alias("t"), (F.col("xa") - size * (F.cos(rad) * F.col("xb") - F.sin(rad) * F.col("yb"))).alias("sx"), (F.col("ya") - size * (F.sin(rad) * F.col("xb") + F.cos(rad) * F.col("yb"))).alias("sy"))
-    # A corner that matches in several tables votes once; then bins that overlap by half, as in agreeing().
-    votes = votes.groupBy("a", "b", "ca", "size", F.floor(F.col("sx") / SHIFT_BIN * 2).alias("hx"), F.floor(F.col("sy") / SHIFT_BIN * 2).alias("hy"), F.floor(F.col("t") / TURN_BIN * 2).alias("ht")).agg(F.first("sx").alias("sx"), F.first("sy").alias("sy"), F.first("t").alias("t"))
+    # Matches of one pair of images meet, once each; most pairs have a single one and go before votes are made.
+    met = votes.groupBy("a", "b").agg(F.collect_set(F.struct("ca", "size", "t", "sx", "sy")).alias("m")).where(F.size("m") >= HINTS)
+    votes = met.select("a", "b", F.explode("m").alias("m")).select("a", "b", "m.*")
     for c, w in (("sx", SHIFT_BIN), ("sy", SHIFT_BIN), ("t", TURN_BIN)):
         votes = votes.withColumn(c, F.explode(halves(F.col(c), w)))
     binned = votes.groupBy("a", "b", "size", "sx", "sy", F.pmod("t", F.lit(720 // TURN_BIN)).alias("t")).agg(F.countDistinct("ca").alias("n"))
