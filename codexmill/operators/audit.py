@@ -7,7 +7,7 @@ the unit of parallel work; chain verification has no such limit.
 from __future__ import annotations
 
 import hashlib
-from collections import deque
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -77,26 +77,29 @@ def demand(hits: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
 
 
 class Limiter:
-    """Admissions of one key in a sliding window; rejected hits leave no trace."""
+    """Admissions of one key in a sliding window; rejected hits leave no trace.
+
+    ``admitted`` are the sorted times that may still count. A hit exactly ``window``
+    old counts; hits of equal time come in the order given.
+    """
 
     def __init__(self, limit: int, window: float, admitted: list[float] | None = None):
-        self.limit, self.window, self.admitted = limit, window, deque(admitted or [])
+        self.limit, self.window, self.admitted = limit, window, sorted(admitted or [])
 
     def hit(self, now: float) -> int | None:
         """None if admitted, else seconds to wait."""
-        while self.admitted and self.admitted[0] <= now - self.window:
-            self.admitted.popleft()
-        if len(self.admitted) >= self.limit:
-            return int(self.window - (now - self.admitted[0])) + 1
-        self.admitted.append(now)
-        return None
+        counting = self.admitted[bisect_left(self.admitted, now - self.window) :]
+        if len(counting) < self.limit:
+            self.admitted = [*counting, now]
+            return None
+        return int(counting[0] + self.window - now) + 1
 
 
 def rate_limit(hits: DataFrame, rules: DataFrame) -> DataFrame:
     """``hits(id, ip, method, path, ts double)`` with ``rule``, ``admitted`` and ``retry_after``.
 
     ``rules(rule, method, prefix, max_hits, window_s)``: the first that fits by
-    ``rule`` holds; hits that none fits are admitted. The limiter's state per (ip,
+    ``rule`` holds; hits that none fits are admitted. Hits of equal ``ts`` come by ``id``. The limiter's state per (ip,
     rule) is at most ``max_hits`` times; sorted hits stream through it.
     """
     from .keyed import top_per_key

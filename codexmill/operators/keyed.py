@@ -6,9 +6,13 @@ so results do not depend on how rows are dealt.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import removed, written
+
 NIL_TENANT = "00000000-0000-0000-0000-000000000000"
 
 
@@ -73,9 +77,11 @@ def nearest_in_plane(points: DataFrame, key: str, x: str, y: str, k: int, cell:
     Points join those of the 9 grid cells around theirs. A point is done when its
     k-th neighbour lies within ``cell``, as all nearer ones are then in these cells;
     the others are tried again with cells twice as wide. Ends when none is left or a
-    cell holds everything.
+    cell holds everything. Each round is written, so a plan holds one round. The
+    last points to be done see ever more of the table: for data with many outliers
+    begin with a wider ``cell``.
     """
-    done, asked, width = None, points.select(key, x, y), cell
+    asked, width, done = points.select(key, x, y), cell, []
     span = points.agg(F.max(x) - F.min(x), F.max(y) - F.min(y)).first()
     farthest = max([v or 0 for v in span])
     while True:
@@ -86,9 +92,11 @@ def nearest_in_plane(points: DataFrame, key: str, x: str, y: str, k: int, cell:
         best = top_per_key(near.select(key, "other", "d2"), [key], [F.col("d2"), F.col("other")], k, "rank")
         last = width > farthest
         settled = best.withColumn("_kth", F.max(F.when(F.col("rank") == k, F.col("d2"))).over(Window.partitionBy(key)))
-        settled = settled.where(F.lit(last) | (F.col("_kth") <= width**2)).select(key, "other", "rank")
-        done = settled if done is None else done.unionByName(settled)
-        asked = asked.join(settled.select(key).distinct(), key, "left_anti")
+        done.append(written(settled.where(F.lit(last) | (F.col("_kth") <= width**2)).select(key, "other", "rank"), "neighbours"))
+        before, asked = asked, written(asked.join(done[-1].select(key).distinct(), key, "left_anti"), "asked")
+        if len(done) > 1:
+            removed(before)
         if last or asked.isEmpty():
-            return done
+            removed(asked)
+            return reduce(DataFrame.unionByName, done)
         width *= 2

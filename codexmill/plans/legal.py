@@ -28,7 +28,7 @@ def query(sql: str | None):
 WITH c AS (SELECT doc_id, unnest(range(0, greatest(ceil(length(text) / 450)::bigint, 0))) AS i, text FROM documents WHERE length(text) > 0),
 s AS (SELECT doc_id, i, regexp_replace(substr(text, i * 450 + 1, 500), '^\\s+|\\s+$', '', 'g') AS piece FROM c),
 k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS idx, count(*) OVER (PARTITION BY doc_id) AS n, piece FROM s WHERE piece <> '')
-SELECT doc_id, idx::int AS chunk_index, least(n, 200)::int AS total_chunks, left(sha256('documents|' || doc_id || '|' || idx), 24) AS id, md5(piece) AS piece FROM k WHERE idx < 200
+SELECT doc_id, idx::int AS chunk_index, n::int AS total_chunks, left(sha256('documents|' || doc_id || '|' || idx), 24) AS id, md5(piece) AS piece FROM k
 """)
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents").select("doc_id", X.chunks(F.col("text")).alias("c"))
@@ -37,14 +37,20 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, length(text)::int AS chars, TRUE AS same FROM documents WHERE length(text) BETWEEN 1 AND 90000 AND doc_id % 4 = 0
-AND NOT regexp_matches(text, '^\\s|\\s$') AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(0, 201)) AS i) WHERE regexp_matches(substr(text, i * 450 + 1, 1), '^\\s$') OR regexp_matches(substr(text, i * 450 + 500, 1), '^\\s$'))
-AND length(text) % 450 > 60
+WITH d AS (
+  SELECT doc_id, text FROM documents WHERE length(text) > 0 AND NOT regexp_matches(text, '^\\s|\\s$') AND length(text) % 450 > 60
+  AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(0, length(text) // 450 + 1)) AS i) WHERE regexp_matches(substr(text, i * 450 + 1, 1), '^\\s$') OR regexp_matches(substr(text, i * 450 + 500, 1), '^\\s$'))
+), p AS (
+  SELECT doc_id, text, list_transform(range(0, ceil(length(text) / 450)::bigint), lambda i: substr(text, i * 450 + 1, 500)) AS pieces FROM d
+), j AS (
+  SELECT doc_id, text, list_reduce(pieces, lambda x, y: x || substr(y, list_max(list_filter(range(0, least(200, length(x), length(y)) + 1), lambda k: suffix(x, left(y, k)))) + 1)) AS again FROM p
+)
+SELECT doc_id, length(text)::int AS chars, regexp_replace(text, '\\s', '', 'g') = regexp_replace(again, '\\s', '', 'g') AS same FROM j
 """)
 def rejoin_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks joined again give the text, where no chunk edge is white space."""
-    d = load(spark, sf_dir, "documents").where("length(text) between 1 and 90000 and doc_id % 4 = 0").where(r"not text rlike '^\\s|\\s$' and length(text) % 450 > 60")
-    edge = F.exists(F.sequence(F.lit(0), F.lit(200)), lambda i: F.substr("text", i * 450 + 1, F.lit(1)).rlike(r"^\s$") | F.substr("text", i * 450 + 500, F.lit(1)).rlike(r"^\s$"))
+    """Whether chunks joined again give the text, where no chunk edge is white space; a text that repeats itself at an edge may not."""
+    d = load(spark, sf_dir, "documents").where("length(text) > 0").where(r"not text rlike '^\\s|\\s$' and length(text) % 450 > 60")
+    edge = F.exists(F.sequence(F.lit(0), F.floor(F.length("text") / 450).cast("int")), lambda i: F.substr("text", i * 450 + 1, F.lit(1)).rlike(r"^\s$") | F.substr("text", i * 450 + 500, F.lit(1)).rlike(r"^\s$"))
     whole = d.where(~edge).select("doc_id", "text", X.rejoin(X.chunks(F.col("text"))).alias("again"))
     return whole.select("doc_id", F.length("text").alias("chars"), (F.regexp_replace("text", r"\s", "") == F.regexp_replace("again", r"\s", "")).alias("same"))
 

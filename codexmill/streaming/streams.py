@@ -64,7 +64,11 @@ def import_new(folder: str, key: str) -> Callable:
 
 
 def rate_limit(hits: DataFrame, key: str, limit: int, window_s: float) -> DataFrame:
-    """``(key, id, admitted)`` of a stream ``hits(key, id, ts double)``; the state is the admitted times of the window."""
+    """``(key, id, admitted)`` of a stream ``hits(key, id, ts double)``; the state is the admitted times of the window.
+
+    Hits of a batch are taken in order of time and id; one that comes in a later
+    batch than newer hits is judged against those, so files should come in time order.
+    """
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         limiter = Limiter(limit, window_s, list(state.get[0]) if state.exists else None)

@@ -32,7 +32,7 @@ def test_rate_limit_by_loop(spark):
     for r in load(spark, SF, "events").select("event_id", "user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t")).orderBy("t", "event_id").collect():
         error = r.event_type == "error"
         times = kept.setdefault((r.user_id, error), [])
-        times[:] = [t for t in times if t > r.t - 259200]
+        times[:] = [t for t in times if t >= r.t - 259200]
         want[r.event_id] = len(times) < (3 if error else 10)
         if want[r.event_id]:
             times.append(r.t)
