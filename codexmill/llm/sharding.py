@@ -3,12 +3,12 @@
 The law is ``bytes``: shards are ranges of the text's hash that hold near equal
 numbers of bytes. Splitters are quantiles of a size-weighted sample of keys;
 they cut the key space into ``n_shards * ranges_per_shard`` ranges of about
-equal size. A range that turns out overfull (a text with very many copies, or
-very many rows) is subdivided by a hash of id and text. The exact bytes and
-rows of each piece, of which there are boundedly many, then decide which shard
-takes it and where its slots begin.
+equal size. A range that turns out overfull is subdivided by key; only a key that is
+larger than a piece by itself (a text with very many copies) is split by a hash of
+the id. The exact bytes and rows of each piece, of which there are boundedly many,
+then decide which shard takes it and where its slots begin.
 
-Equal texts have equal keys and so stay together unless their range is overfull.
+Equal texts have equal keys and so stay together unless they are such a key.
 
 Only DataFrame functions are used. After the first scan only ids, sizes and
 hashes move; no task numbers more than the rows of one piece.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, written
 
 #: Keys drawn for each range.
 DRAWS_PER_RANGE = 32
@@ -41,7 +41,7 @@ def splitters(keyed: DataFrame, n_ranges: int, total: int) -> list[int]:
 
     Each row is drawn ``size * draws / total`` times on average (the fraction by a
     hash of the row), so the sample has about ``n_ranges * DRAWS_PER_RANGE`` keys,
-    however large the table. ``percentile`` picks the boundaries on the executors.
+    however large the table; so many come to the driver, which picks the boundaries.
     """
     draws = n_ranges * DRAWS_PER_RANGE
     chance = F.pmod(F.xxhash64(F.lit(11), "_id", "_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -68,7 +68,7 @@ def range_of(key, cuts: list[int]):
     inner = F.array(*[F.array(*[F.lit(x) for x in b]) for b in blocks])
     coarse = F.size(F.filter(tops, lambda s: s < key))
     fine = F.size(F.filter(F.get(inner, coarse), lambda s: s < key))
-    return (coarse * step + F.coalesce(fine, F.lit(0))).cast("int")
+    return F.least(F.lit(len(cuts)), coarse * step + F.coalesce(fine, F.lit(0))).cast("int")
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text: str = "text", ranges_per_shard: int = 64, rows_per_piece: int = 1_000_000) -> DataFrame:
@@ -82,27 +82,41 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     keyed = written(sizes(docs, id_col, text), "sizes")
     total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
     n_ranges = n_shards * ranges_per_shard
-    ranged = keyed.withColumn("_range", range_of(F.col("_key"), splitters(keyed, n_ranges, total)))
+    cuts = splitters(keyed, n_ranges, total)
+    ranged = keyed.withColumn("_range", range_of(F.col("_key"), cuts))
 
-    # Ranges are at most n_ranges rows: how many pieces each needs.
+    # Ranges, and keys that are larger than a range should be, are at most n_ranges rows
+    # (and one for each rows_per_piece rows): how many pieces each needs.
     share = max(1.0, total / n_ranges)
-    ranges = ranged.groupBy("_range").agg(F.sum("size").alias("_b"), F.count(F.lit(1)).alias("_r"))
-    ranges = ranges.select("_range", F.greatest(F.when(F.col("_b") > 1.5 * share, F.ceil(F.col("_b") / share)).otherwise(1), F.ceil(F.col("_r") / rows_per_piece)).cast("int").alias("_parts"))
-    pieced = written(
-        ranged.join(F.broadcast(ranges), "_range").withColumn("_piece", F.pmod(F.xxhash64(F.lit(5), "_id", "_key"), F.col("_parts")).cast("int")).drop("_parts"),
-        "pieces",
-    )
-
-    # Pieces are at most 2 * n_ranges + rows / rows_per_piece.
-    along = Window.orderBy("_range", "_piece")
-    pieces = pieced.groupBy("_range", "_piece").agg(F.sum("size").alias("_b"), F.count(F.lit(1)).alias("_r"))
+    sums = [F.sum("size").alias("_b"), F.count(F.lit(1)).alias("_r")]
+    pieces_of = F.greatest(F.when(F.col("_b") > 1.5 * share, F.ceil(F.col("_b") / share)).otherwise(1), F.ceil(F.col("_r") / rows_per_piece), F.lit(1)).cast("int")
+    ranges = written(ranged.groupBy("_range").agg(*sums), "ranges")
+    overfull = ranges.where((F.col("_b") > 1.5 * share) | (F.col("_r") > rows_per_piece)).select("_range")
+    heavy = ranged.join(F.broadcast(overfull), "_range", "left_semi").groupBy("_range", "_key").agg(*sums).where((F.col("_b") > share) | (F.col("_r") > rows_per_piece))
+    heavy = written(heavy.select("_range", "_key", "_b", "_r", pieces_of.alias("_parts")), "heavy-keys")
+    taken = heavy.groupBy("_range").agg(F.sum("_b").alias("_hb"), F.sum("_r").alias("_hr"))
+    light = ranges.join(taken, "_range", "left").select("_range", (F.col("_b") - F.coalesce("_hb", F.lit(0))).alias("_b"), (F.col("_r") - F.coalesce("_hr", F.lit(0))).alias("_r"))
+    ends = [-(2**63), *cuts, 2**63]
+    bounds = docs.sparkSession.createDataFrame([(i, float(lo), float(hi)) for i, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False))], "_range int, _lo double, _hi double")
+    parts = light.select("_range", pieces_of.alias("_subs")).join(bounds, "_range")
+    # Keys are hashes, so equal steps of the key are near equal shares of a range.
+    sub = F.least(F.floor((F.col("_key") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_subs")), F.col("_subs") - 1).cast("int")
+    part = F.coalesce(F.pmod(F.xxhash64(F.lit(5), "_id"), F.col("_parts")).cast("int"), F.lit(-1))
+    pieced = ranged.join(F.broadcast(parts), "_range").join(F.broadcast(heavy.select("_key", "_parts")), "_key", "left")
+    pieced = written(pieced.select("_id", "size", "text_crc32", "_key", "_range", sub.alias("_sub"), F.when(F.col("_parts").isNotNull(), F.col("_key")).otherwise(0).alias("_own"), part.alias("_part")), "pieces")
+    removed(ranges, heavy, keyed)
+
+    # Pieces are at most 3 * n_ranges + 2 * rows / rows_per_piece.
+    piece = ["_range", "_sub", "_own", "_part"]
+    along = Window.orderBy(*piece)
+    pieces = pieced.groupBy(*piece).agg(*sums)
     placed = pieces.withColumn("_before", F.sum("_b").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_b"))
     placed = placed.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor((F.col("_before") + F.col("_b") / 2) * n_shards / F.lit(max(total, 1)))).cast("int"))
-    inside = Window.partitionBy("shard").orderBy("_range", "_piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("_first", F.sum("_r").over(inside) - F.col("_r")).select("_range", "_piece", "shard", "_first")
+    inside = Window.partitionBy("shard").orderBy(*piece).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("_first", F.sum("_r").over(inside) - F.col("_r")).select(*piece, "shard", "_first")
 
-    numbered = pieced.withColumn("_nth", F.row_number().over(Window.partitionBy("_range", "_piece").orderBy("_key", "_id", "size")))
-    return numbered.join(F.broadcast(placed), ["_range", "_piece"]).select(
+    numbered = pieced.withColumn("_nth", F.row_number().over(Window.partitionBy(*piece).orderBy("_key", "_id", "size")))
+    return numbered.join(F.broadcast(placed), piece).select(
         F.col("_id").alias(id_col),
         "size",
         "text_crc32",
@@ -112,16 +126,3 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
-
-def write_shards(docs: DataFrame, path: str, n_shards: int = 16, id_col: str = "doc_id", text: str = "text") -> None:
-    """Writes ``docs`` with its shard and slot as one folder per shard, in slot order within files."""
-    placed = shard_by_bytes(docs, n_shards, id_col, text).select(F.col(id_col).alias("_id"), "text_crc32", "size", "shard", "slot")
-    crc = F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long")
-    size = (F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))) + 1).cast("long")
-    # Repeated rows pair up by their rank among equals.
-    same = lambda *c: Window.partitionBy(*c).orderBy(F.lit(1))
-    left = docs.withColumns({"_id": F.col(f"`{id_col}`"), "_crc": crc, "_size": size}).withColumn("_nth", F.row_number().over(same("_id", "_crc", "_size")))
-    right = placed.withColumn("_nth", F.row_number().over(same("_id", "text_crc32", "size")))
-    on = left["_id"].eqNullSafe(right["_id"]) & (left["_crc"] == right["text_crc32"]) & (left["_size"] == right["size"]) & (left["_nth"] == right["_nth"])
-    joined = left.join(right, on).select(*[left[f"`{c}`"] for c in docs.columns if c not in ("shard", "slot")], right["shard"], right["slot"])
-    joined.repartition("shard", (F.col("slot") / 1_000_000).cast("long")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
