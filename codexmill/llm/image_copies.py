@@ -39,7 +39,7 @@ STEPS, AT_ONCE, RADIUS = 4, 2000, 8
 #: Least share of a patch's contrast that no quadratic surface explains.
 STRUCTURE = 0.3
 #: Hamming tables, and the bits that each takes.
-TABLES, KEY_BITS = 8, 96
+TABLES, KEY_BITS = 8, 112
 #: Bits in which descriptors differ at most: matches of a list, and matches of two images that are judged.
 NEAR, MOST_BITS = 16, 20
 #: Coherent matches of a candidate, and corners that must agree.

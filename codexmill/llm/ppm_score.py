@@ -330,5 +330,6 @@ def score(docs: DataFrame, training: DataFrame, text: str = "text", id_col: str
         (F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) + F.log10(F.lit(end_count + 1.0)) - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))).alias("base_score"),
         F.col("part").alias("score"),
     )
-    kept = [c for c in docs.columns if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
-    return docs.select(*[f"`{c}`" for c in kept], *key).join(scored, ["_k1", "_k2"]).drop("_k1", "_k2")
+    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *key)
+    return whole.join(scored, ["_k1", "_k2"]).select(*[F.col(f"doc.`{c}`") for c in docs.columns if c not in names], *names)

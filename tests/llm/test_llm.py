@@ -328,6 +328,41 @@ def test_shards(spark):
     assert sharding.shard_by_bytes(docs.limit(0), 16).count() == 0
 
 
+def test_only_a_large_text_is_split_among_shards(spark):
+    rng = random.Random(6)
+    rows = [(i, f"text {i // 2} " + "x" * rng.randrange(200)) for i in range(0, 1200, 2) for _ in range(1)]
+    rows += [(i + 1, t) for i, t in rows]  # each text twice
+    rows += [(5000 + i, "copied " * 20) for i in range(700)]
+    got = sharding.shard_by_bytes(frame(spark, rows), 8, ranges_per_shard=16).collect()
+    assert len(got) == len(rows)
+    shards, where = {}, {}
+    for r in got:
+        shards.setdefault(r.shard, []).append(r)
+        where.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    total = sum(r.size for r in got)
+    assert sorted(shards) == list(range(8))
+    for rs in shards.values():
+        assert sorted(r.slot for r in rs) == list(range(len(rs)))
+        assert abs(sum(r.size for r in rs) - total / 8) < 0.2 * total / 8
+    assert sum(len(x) > 1 for x in where.values()) == 1
+    whole = {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in rows}
+    assert all((r.size, r.text_crc32) == whole[r.doc_id] for r in got)
+
+
+def test_scores_with_clashing_columns(spark):
+    names = ["_k1", "_k2", "part", "doc", "word", "n", "score", "head_known"]
+    df = spark.createDataFrame([(i, f"some words {i}", *[f"{c}{i}" for c in names]) for i in range(5)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    got = ppm_score.score(df, df).collect()
+    assert len(got) == 5 and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names if c != "score") and all(r.score < 0 for r in got)
+
+
+def test_duplicates_with_clashing_columns(spark):
+    names = ["_row", "row", "one", "_one", "_text", "doc", "c", "g", "n", "id"]
+    df = spark.createDataFrame([(i, "one two three four five six seven", *[f"{c}{i}" for c in names]) for i in range(4)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    (r,) = jaccard_join.deduplicate(df).collect()
+    assert r.doc_id == 0 and all(r[c] == f"{c}0" for c in names)
+
+
 # ---- 7
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 50)])
