@@ -78,3 +78,33 @@ def html_text(html: Column) -> Column:
 def page_title(html: Column) -> Column:
     og = F.nullif(F.regexp_extract(html, r'(?is)<meta[^>]*property="og:title"[^>]*content="([^"]*)"', 1), F.lit(""))
     return F.coalesce(og, F.nullif(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")))
+
+
+def page_date(html: Column) -> Column:
+    """Date of publication as the page's meta tags state it, else null."""
+    # The two tags that carry it.
+    tags = ('property="article:published_time"', 'name="publishdate"')
+    return F.coalesce(*[F.nullif(F.regexp_extract(html, rf'(?is)<meta[^>]*{t}[^>]*content="([^"]*)"', 1), F.lit("")) for t in tags])
+
+
+def json_objects(c: Column, schema: str, required: str) -> Column:
+    """Objects of the JSON array inside free text, those without ``required`` left out; null if there is none or it is malformed."""
+    found = F.from_json(F.nullif(F.regexp_extract(c, r"(?s)\[.*\]", 0), F.lit("")), f"array<struct<{schema}>>")
+    return F.filter(found, lambda o: F.coalesce(o[required], F.lit("")) != "")
+
+
+def json_field(c: Column, field: str) -> Column:
+    """A string field of the JSON object inside free text; of a truncated or malformed one, what stands after the field's opening quote."""
+    whole = F.get_json_object(F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit("")), f"$.{field}")
+    raw = F.nullif(F.regexp_extract(c, rf'(?s)"{field}"\s*:\s*"((?:[^"\\]|\\.)*)', 1), F.lit(""))
+    return F.coalesce(whole, F.get_json_object(F.concat(F.lit('{"x":"'), raw, F.lit('"}')), "$.x"))
+
+
+def valid_uuid(c: Column) -> Column:
+    """Whether a text is a UUID: 32 hex digits once hyphens, braces and the urn prefix are off."""
+    return F.coalesce(F.regexp_replace(F.regexp_replace(c, "urn:|uuid:", ""), r"^[{}]+|[{}]+$|-", "").rlike(r"\A[0-9a-fA-F]{32}\z"), F.lit(False))
+
+
+def cyclic(values: Column, index: Column) -> Column:
+    """Element at an index that starts anew at the end of the list."""
+    return F.get(values, F.pmod(index, F.size(values)).cast("int"))

@@ -21,7 +21,7 @@ def utc_text(ts: Column) -> Column:
     """ISO text of a timestamp in UTC; microseconds only where there are any."""
     at = ts.cast("timestamp")
     micros = F.unix_micros(at) % 1_000_000
-    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
+    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
 
 
 def entry_hash(prev: Column, *fields: Column) -> Column:
@@ -136,3 +136,25 @@ def waits(hits: DataFrame, key: str, ts: str, order: str, per_second: float) ->
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     gap = at - F.lag(at).over(Window.partitionBy(key).orderBy(ts, order))
     return hits.withColumn("wait_us", F.greatest(F.lit(0), F.coalesce(F.lit(int(1_000_000 / per_second)) - gap, F.lit(0))).cast("long"))
+
+
+def rising(ts: Column, key: str, order: str) -> Column:
+    """Microseconds of ``ts`` made strictly increasing in a key: at least one more than the entry before.
+
+    The running rule ``max(now, before + 1)`` in closed form: the position plus the
+    greatest of time less position so far.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    nth = F.row_number().over(w)
+    return nth + F.max(F.unix_micros(ts.cast("timestamp")) - nth).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def decisions(rows: DataFrame, request: str, order: str, action: str) -> DataFrame:
+    """Decisions (``execute`` or ``reject``) with ``status``: 200 for the first of a request, 409 for all later ones."""
+    nth = F.row_number().over(Window.partitionBy(request).orderBy(order))
+    return rows.where(F.col(action).isin("execute", "reject")).withColumn("status", F.when(nth == 1, 200).otherwise(409))
+
+
+def running_kinds(jobs: DataFrame, kind: str, status: str) -> DataFrame:
+    """Per kind of job, whether one is queued or running."""
+    return jobs.groupBy(kind).agg(F.coalesce(F.bool_or(F.col(status).isin("queued", "running")), F.lit(False)).alias("has_running"))

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def no_zeros(c: Column) -> Column:
-    """Leading zeros stripped; all zeros leave one."""
-    return F.regexp_replace(c, r"^0+(?=.)", "")
+from ..functions.text import no_zeros
 
 
 def gold_keys(gold: DataFrame) -> DataFrame:
-    """``(question_id, number, year, article)``: explicit columns, else read from the question."""
+    """``(question_id, number, year, article)``: all three columns if all are filled, else read from the question.
+
+    A question names number, year and then the article's digits, in this order. Rows
+    without a key or a question are left out.
+    """
     # How a question names law and article.
-    number = F.nullif(F.regexp_extract("question", r"(?i)Nomor\s+(\d+)\s+Tahun\s+(\d{4})", 1), F.lit(""))
-    year = F.nullif(F.regexp_extract("question", r"(?i)Nomor\s+(\d+)\s+Tahun\s+(\d{4})", 2), F.lit(""))
-    article = F.nullif(F.regexp_extract("question", r"(?i)Pasal\s+(\d+[A-Za-z]?)", 1), F.lit(""))
-    return gold.select("question_id", no_zeros(F.coalesce("law_number", number)).alias("number"), F.coalesce("law_year", year).alias("year"), no_zeros(F.coalesce("pasal", article)).alias("article"))
+    named = r"(?is)Nomor\s+(\d+)\s+Tahun\s+(\d{4}).*?Pasal\s+(\d+)"
+    given = [F.col(c).cast("string") for c in ("law_number", "law_year", "pasal")]
+    full = F.lit(True)
+    for c in given:
+        full &= F.coalesce(c, F.lit("")) != ""
+    read = [F.nullif(F.regexp_extract("question", named, i), F.lit("")) for i in (1, 2, 3)]
+    number, year, article = (F.when(full, c).otherwise(r) for c, r in zip(given, read, strict=True))
+    return gold.where("question <> ''").select("question_id", no_zeros(number).alias("number"), year.alias("year"), no_zeros(article).alias("article")).where("number is not null")
 
 
 def first_hits(results: DataFrame, keys: DataFrame) -> DataFrame:
@@ -41,3 +46,42 @@ def metrics(hits: DataFrame, registry: DataFrame, k: int) -> DataFrame:
         F.round(F.avg(F.when(F.col("covered") == 1, F.col("ok"))), 4).alias("covered_hit_rate"),
         F.round(F.avg(F.coalesce(F.col("covered"), F.lit(0))), 4).alias("coverage"),
     )
+
+
+def gap_rows(answers: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``answers(topic, question, answer, score, at)`` as rows of the self-evaluation log: a score under the threshold is a gap to be researched again."""
+    passed = F.col("score") >= threshold
+    text = F.format_string(f"Skor %.2f < {threshold} untuk topik %s", "score", "topic")
+    return answers.select(
+        "topic",
+        "question",
+        F.substring("answer", 1, 4000).alias("generated_answer"),
+        F.col("score").alias("answer_quality"),
+        F.when(~passed, text).alias("gap_description"),
+        F.when(~passed, "re-research terjadwal").alias("remediation_action"),
+        passed.alias("resolved"),
+        F.when(passed, F.col("at")).alias("resolved_at"),
+    )
+
+
+def gold_lookup(chunks: DataFrame, gold: DataFrame) -> DataFrame:
+    """``(gold_id, id)``: the first chunk (by id) of each gold row's article whose law's name holds its keyword.
+
+    ``chunks(id, law_name, article_number)``, ``gold(gold_id, law_keyword,
+    article_number)``. The join is on the article, the keyword is a filter on its rows.
+    """
+    hit = chunks.join(gold, "article_number").where(F.contains(F.lower("law_name"), F.lower("law_keyword")))
+    return hit.groupBy("gold_id").agg(F.min("id").alias("id"))
+
+
+def node_scores(nodes: DataFrame, expected: DataFrame, registry: DataFrame) -> DataFrame:
+    """``nodes(node, canonical)`` with ``score``: a canonical node 1.0 with a law of its identities, 0.3 with any document, else 0; another 0.8 with any document, else 0.
+
+    ``expected(node, number, year)`` are the identities, ``registry(node, number,
+    year)`` the documents that match the node.
+    """
+    exact = registry.join(expected.distinct(), ["node", "number", "year"], "left_semi").select("node", F.lit(True).alias("exact")).distinct()
+    some = registry.select("node", F.lit(True).alias("some")).distinct()
+    j = nodes.join(exact, "node", "left").join(some, "node", "left")
+    canonical = F.when(F.col("exact"), 1.0).when(F.col("some"), 0.3).otherwise(0.0)
+    return j.select("node", F.when(F.col("canonical"), canonical).otherwise(F.when(F.col("some"), 0.8).otherwise(0.0)).alias("score"))

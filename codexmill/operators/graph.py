@@ -42,3 +42,28 @@ def hops(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
         frontier = reached.join(seen.select("src", "node"), ["src", "node"], "left_anti").withColumn("hops", F.lit(step))
         seen = seen.unionByName(frontier)
     return seen
+
+
+def document_relations(laws: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(edges, vertices)`` of ``laws(name, revokes, amends, amended_by)``, the last three arrays of names.
+
+    ``REVOKES`` and ``AMENDS`` lead from the law to its targets; an ``AMENDS`` of
+    ``amended_by`` leads from the other law to it. Both ends become vertices; a law
+    without any relation makes none.
+    """
+    arm = lambda column, rel: laws.select("name", F.lit(rel).alias("rel"), F.explode(column).alias("other"))
+    out = arm("revokes", "REVOKES").unionByName(arm("amends", "AMENDS")).select(F.col("name").alias("src"), "rel", F.col("other").alias("dst"))
+    edges = out.unionByName(arm("amended_by", "AMENDS").select(F.col("other").alias("src"), "rel", F.col("name").alias("dst"))).where("src is not null and dst is not null").distinct()
+    return edges, edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+
+
+def newer_than(members: DataFrame) -> DataFrame:
+    """``(src, rel, dst)``: of two laws of a region that share a word, the one of the later year stands before the other.
+
+    ``members(region, name, year, words)``. Joined on region and word, so only laws
+    that share one meet.
+    """
+    one = members.select("region", "name", "year", F.explode(F.array_distinct("words")).alias("word"))
+    other = one.select("region", "word", F.col("name").alias("older"), F.col("year").alias("older_year"))
+    pairs = one.join(other, ["region", "word"]).where("year > older_year")
+    return pairs.select(F.col("name").alias("src"), F.lit("NEWER_THAN").alias("rel"), F.col("older").alias("dst")).distinct()

@@ -132,6 +132,69 @@ def overlap_rerank(candidates: DataFrame, query_text: str = "query_text", text:
     return candidates.withColumn("rerank", F.coalesce(F.try_divide(F.size(F.array_intersect(q, d)), F.size(q)), F.lit(0.0)))
 
 
+#: Rerankers by name. Each adds ``rerank`` to candidates; a cross-encoder is added as a function over ``mapInPandas``.
+RERANKERS = {"identity": identity_rerank, "overlap": overlap_rerank}
+
+
+def asks_case_law(query: Column) -> Column:
+    """Whether a query asks for case law."""
+    # Words for decisions and precedents.
+    return F.coalesce(query.rlike(r"(?i)putusan|yurisprudensi|preseden|preceden|jurisprudensi|fatwa|penetapan|doktrin\s+putusan"), F.lit(False))
+
+
+def reranked(candidates: DataFrame, reranker: str, top: int = 48) -> DataFrame:
+    """``candidates(query_id, id, rank, ...)`` with ``pos`` from 1: the first ``top`` of each query anew by the named reranker, ties and the rest in their order."""
+    head = F.col("rank") < top
+    order = [~head, F.when(head, F.round("rerank", 9)).desc(), F.col("rank")]
+    return RERANKERS[reranker](candidates).withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+
+
+def context(found: DataFrame, docs: DataFrame, n: int = 5, separator: str = "\n") -> DataFrame:
+    """``(query_id, context)``: texts of the best ``n`` of each query, joined in order. ``found(query_id, id, rank)``, ``docs(id, text)``; a null text is left out."""
+    best = found.where(F.col("rank") < n).join(docs.select("id", "text"), "id").where("text is not null")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda r: r["text"])
+    return best.groupBy("query_id").agg(F.array_join(texts, separator).alias("context"))
+
+
+def feedback_rows(results: DataFrame, cited: DataFrame) -> DataFrame:
+    """A row for each retrieved article, with ``cited``: whether the answer names it. ``results(query_id, law, article)``, ``cited(query_id, article)``."""
+    named = cited.select("query_id", "article").distinct().withColumn("cited", F.lit(True))
+    return results.select("query_id", "law", "article").join(named, ["query_id", "article"], "left").withColumn("cited", F.coalesce("cited", F.lit(False)))
+
+
+#: What a model asks to be written before queries and passages.
+PREFIXES = {"query": "query: ", "passage": "passage: "}
+
+
+def hash_embedder(texts: list[str], width: int = 64) -> list[list[float]]:
+    """A stand-in for a model: counts of tokens by hash, at length 1."""
+    import zlib
+
+    import numpy as np
+
+    out = np.zeros((len(texts), width))
+    for row, text in zip(out, texts, strict=True):
+        for word in text.lower().split():
+            row[zlib.crc32(word.encode()) % width] += 1
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
+
+
+#: Embedders by name: lists of texts to lists of vectors.
+EMBEDDERS = {"hash": hash_embedder}
+
+
+def embed(rows: DataFrame, kind: str, embedder: str = "hash", id_col: str = "id", text: str = "text") -> DataFrame:
+    """``(id, vector)`` of texts as ``query`` or ``passage``, by the named embedder in Arrow batches; a null text is empty."""
+    prefix, model = PREFIXES[kind], EMBEDDERS[embedder]
+
+    def run(parts):
+        for part in parts:
+            yield part[[id_col]].assign(vector=model([prefix + (t or "") for t in part[text]]))
+
+    chosen = rows.select(id_col, text)
+    return chosen.mapInPandas(run, f"`{id_col}` {chosen.schema[id_col].dataType.simpleString()}, vector array<double>")
+
+
 def hybrid(lexical: DataFrame, near: DataFrame, meta: DataFrame, boosts: DataFrame, case_law_queries: DataFrame, n: int = 12, floor: float = 0.72, admitted: int = 10, pin_at: float = 0.08, rerank=identity_rerank, rerank_top: int = 48) -> DataFrame:
     """The assembled result of each query: ``(query_id, pos, id, law, article, score)``.
 

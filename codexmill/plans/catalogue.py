@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import legal, retrieval, star, stateful, streams
+from . import legal, retrieval, rules, star, stateful, streams
 
-MODULES = [star, retrieval, stateful, legal, streams]
+MODULES = [star, retrieval, stateful, legal, rules, streams]
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:

@@ -158,3 +158,29 @@ def test_knn_by_brute_force(spark):
     got = {(r.k, r.other) for r in keyed.nearest_in_plane(spark.createDataFrame(pts, "k int, x double, y double"), "k", "x", "y", 3, 5.0).collect()}
     want = {(a, b) for a, x, y in pts for b, *_ in sorted(((p[0], (p[1] - x) ** 2 + (p[2] - y) ** 2) for p in pts if p[0] != a), key=lambda p: (p[1], p[0]))[:3]}
     assert got == want
+
+
+def test_embed_prefixes_and_nulls(spark):
+    """The kind's prefix is embedded with the text; a null text is the prefix alone."""
+    from codexmill.operators import retrieval as R
+
+    rows = spark.createDataFrame([(1, "a b"), (2, None)], "id int, text string")
+    for kind, prefix in R.PREFIXES.items():
+        got = {r.id: list(r.vector) for r in R.embed(rows, kind).collect()}
+        assert got == {1: R.hash_embedder([prefix + "a b"])[0], 2: R.hash_embedder([prefix])[0]}
+
+
+def test_rising_times_by_loop(spark):
+    """Equal and earlier times move on by one microsecond, as one entry after the other would."""
+    from pyspark.sql import functions as F
+
+    from codexmill.operators import audit
+
+    us = [5, 5, 5, 3, 20, 7, 21, 21]
+    rows = spark.createDataFrame([("k", i, u) for i, u in enumerate(us)], "k string, i int, us long")
+    got = [r.t for r in rows.select("i", audit.rising(F.timestamp_micros("us"), "k", "i").alias("t")).orderBy("i").collect()]
+    want, last = [], -1
+    for u in us:
+        last = max(u, last + 1)
+        want.append(last)
+    assert got == want
