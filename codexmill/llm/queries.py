@@ -46,11 +46,16 @@ WITH lab AS (
          CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
          try_cast(regexp_extract(url, '/([0-9]+)', 1) AS bigint) AS doc_id
   FROM pages
+), sites AS (
+  SELECT p.*, l.good, regexp_replace(regexp_replace(host, '(?s)\A.*@', ''), ':[0-9]*\z', '') AS site FROM parsed p LEFT JOIN lab l USING (doc_id)
 ), seen AS (
-  SELECT p.*, l.good, regexp_extract(host, '([^.]*\.)?[^.]*$', 0) AS domain, regexp_extract(host, '[^.]*$', 0) AS suffix
-  FROM parsed p LEFT JOIN lab l USING (doc_id)
+  SELECT *, CASE WHEN regexp_matches(site, '\A[0-9]+(\.[0-9]+){3}\z') THEN site WHEN regexp_matches(site, '(^|\.)(ac|co|com|edu|go|gob|gouv|gov|mil|ne|net|nom|or|org|sch)\.[a-z]{2}\z') THEN regexp_extract(site, '([^.]*\.)?[^.]*\.[^.]*\z', 0)
+              ELSE regexp_extract(site, '([^.]*\.)?[^.]*\z', 0) END AS domain,
+         CASE WHEN regexp_matches(site, '\A[0-9]+(\.[0-9]+){3}\z') THEN '' WHEN regexp_matches(site, '(^|\.)(ac|co|com|edu|go|gob|gouv|gov|mil|ne|net|nom|or|org|sch)\.[a-z]{2}\z') THEN regexp_extract(site, '[^.]*\.[^.]*\z', 0)
+              ELSE regexp_extract(site, '[^.]*\z', 0) END AS suffix
+  FROM sites
 ), h AS (
-  SELECT host, domain, suffix, count(good)::double AS n, coalesce(sum(good), 0)::double AS s FROM seen GROUP BY ALL
+  SELECT site, domain, suffix, count(good)::double AS n, coalesce(sum(good), 0)::double AS s FROM seen GROUP BY ALL
 ), d AS (
   SELECT domain, suffix, sum(n) AS n, sum(s) AS s FROM h GROUP BY ALL
 ), x AS (
@@ -75,18 +80,18 @@ WITH lab AS (
 ), dm AS (
   SELECT d.domain, d.suffix, (md * xm.mean + d.s) / (md + d.n) AS mean FROM d JOIN xm USING (suffix), m
 ), hm AS (
-  SELECT h.host, (mh * dm.mean + h.s) / (mh + h.n) AS mean, mh + h.n AS total FROM h JOIN dm USING (domain, suffix), m
+  SELECT h.site, (mh * dm.mean + h.s) / (mh + h.n) AS mean, mh + h.n AS total FROM h JOIN dm USING (domain, suffix), m
 ), verdicts AS (
-  SELECT host, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (total + 1)) >= 0.5 THEN 'allow' ELSE 'block' END AS v FROM hm
+  SELECT site, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (total + 1)) >= 0.5 THEN 'allow' ELSE 'block' END AS v FROM hm
 ), rules(verdict, rh, rp) AS (
   VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
 ), ruled AS (
-  SELECT seen.page_id, seen.host, seen.path,
+  SELECT seen.page_id, seen.host, seen.path, seen.site,
          (SELECT max_by(struct_pack(r := rh || rp, v := rules.verdict), length(rh || rp)) FROM rules
           WHERE (seen.host = rh OR ends_with(seen.host, '.' || rh)) AND starts_with(seen.path, rp)) AS hit
   FROM seen
 )
-SELECT page_id, host, path, hit.r AS rule, coalesce(hit.v, v.v) AS verdict FROM ruled JOIN verdicts v USING (host)
+SELECT page_id, host, path, hit.r AS rule, coalesce(hit.v, v.v) AS verdict FROM ruled JOIN verdicts v USING (site)
 """
 
 

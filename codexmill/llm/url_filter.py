@@ -23,8 +23,12 @@ from .common import ascii_lower, written
 
 #: Limits of an estimated prior strength, and its value where no level has two groups.
 STRENGTH_MIN, STRENGTH_MAX, STRENGTH_DEFAULT = 2.0, 1000.0, 10.0
-#: Rules are expressions of the plan; a longer list belongs in a table.
-MAX_RULES = 1000
+#: Up to so many rules are expressions of the plan, more are a table that the pages join; both give the same.
+EXPRESSION_RULES = 1000
+# Labels under which countries register domains.
+COUNTRY_LABELS = "ac co com edu go gob gouv gov mil ne net nom or org sch".split()
+COUNTRY_SUFFIX = rf"(^|\.)({'|'.join(COUNTRY_LABELS)})\.[a-z]{{2}}\z"
+IPV4 = r"\A[0-9]+(\.[0-9]+){3}\z"
 
 
 class Rule(NamedTuple):
@@ -43,27 +47,55 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def registered_domain(host: Column) -> Column:
-    """The last two labels."""
-    return F.substring_index(host, ".", -2)
+def site_of(host: Column) -> Column:
+    """The host without user info and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)\A.*@", ""), r":[0-9]*\z", "")
 
 
-def suffix(host: Column) -> Column:
-    """The last label."""
-    return F.substring_index(host, ".", -1)
+def suffix(site: Column) -> Column:
+    """The last label, with the label before it where countries register domains below that (``co.uk``); none of an IPv4 address."""
+    return F.when(site.rlike(IPV4), "").when(site.rlike(COUNTRY_SUFFIX), F.substring_index(site, ".", -2)).otherwise(F.substring_index(site, ".", -1))
+
+
+def registered_domain(site: Column) -> Column:
+    """The suffix and the label before it; an IPv4 address is its own."""
+    return F.when(site.rlike(IPV4), site).when(site.rlike(COUNTRY_SUFFIX), F.substring_index(site, ".", -3)).otherwise(F.substring_index(site, ".", -2))
+
+
+def _longest_first(rules: list[Rule]) -> list[Rule]:
+    return sorted(rules, key=lambda r: -len(r.host + r.path))
 
 
 def rule_column(host: Column, path: Column, rules: list[Rule], value) -> Column:
-    """``value(rule)`` of the longest rule that fits, else null. A rule fits its host and all subdomains by path prefix."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    """``value(rule)`` of the longest rule that fits, of equally long ones the first, else null. A rule fits its host and all subdomains by path prefix."""
     out = None
-    for r in sorted(rules, key=lambda r: -len(r.host + r.path)):
+    for r in _longest_first(rules):
         fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
         out = F.when(fits, value(r)) if out is None else out.when(fits, value(r))
     return F.lit(None).cast("string") if out is None else out
 
 
+def _ruled_by_table(parsed: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``parsed`` with ``_hit``, the fitting rule as ``rule_column`` chooses it, by equality of host suffix and path prefix.
+
+    Each distinct host and path asks for its suffixes, as many labels as rules have,
+    and for its prefixes of the lengths that the rules of such a host have.
+    """
+    spark = parsed.sparkSession
+    listed = spark.createDataFrame([(at, r.verdict, r.host, r.path) for at, r in enumerate(_longest_first(rules))], "at int, verdict string, rule_host string, rule_path string")
+    listed = listed.groupBy("rule_host", "rule_path").agg(F.min_by(F.struct("at", "verdict"), "at").alias("hit"))
+    lengths = listed.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    labels = max(r.host.count(".") for r in rules) + 1
+    pages = parsed.select("host", "path").distinct()
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.lit(labels), F.size(F.split("host", r"\.")))), lambda i: F.substring_index("host", ".", -i))
+    asked = pages.select("host", "path", F.explode(ends).alias("rule_host")).join(lengths, "rule_host")
+    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
+    asked = asked.select("host", "path", "rule_host", F.explode(fitting).alias("n")).withColumn("rule_path", F.substring("path", F.lit(1), F.col("n")))
+    best = asked.join(listed, ["rule_host", "rule_path"]).withColumn("rule", F.concat("rule_host", "rule_path"))
+    best = best.groupBy("host", "path").agg(F.min_by(F.struct("rule", "hit.verdict"), "hit.at").alias("_hit"))
+    return parsed.join(best, ["host", "path"], "left")
+
+
 def prior_strength(groups: DataFrame, parent: str) -> float:
     """Strength of the beta prior that ``parent`` lends its groups ``(n, s)``; one row reaches the driver."""
     own = F.col("s") * F.col("s") / F.col("n")
@@ -84,13 +116,13 @@ def prior_strength(groups: DataFrame, parent: str) -> float:
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """One row per host of ``outcomes(host, good)`` with its posterior.
+    """One row per host (without user info and port) of ``outcomes(host, good)`` with its posterior.
 
     ``good`` is 1, 0 or null (not labelled). Columns: host, n, s, mean, sd, bound.
     Hosts are aggregated on the map side first, so one host may hold any share of
     the rows. An empty table gives no rows.
     """
-    hosts = outcomes.groupBy("host").agg(F.count("good").cast("double").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("s"))
+    hosts = outcomes.withColumn("host", site_of(F.col("host"))).groupBy("host").agg(F.count("good").cast("double").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("s"))
     hosts = written(hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host"))}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("everything", F.lit(1))
@@ -110,14 +142,21 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", good: str
     """``pages`` with ``host``, ``path``, ``rule``, ``bound`` and ``verdict`` (``allow`` or ``block``).
 
     A null url, or one without ``://``, has an empty host and path and is judged
-    as the host ``''``. Repeated pages each keep their row and each count as an
-    outcome. Columns named like the added ones are replaced.
+    as the host ``''``. User info and port belong to the host of a rule, but not to
+    that of a reputation. Repeated pages each keep their row and each count as an
+    outcome. Any number of rules is taken; of equally long ones that fit the first
+    in the list decides. Columns named like the added ones are replaced.
     """
-    parsed = pages.withColumns({"host": host_of(F.col(f"`{url}`")), "path": path_of(F.col(f"`{url}`"))}).drop("rule", "bound", "verdict")
-    reputation = host_reputation(parsed.select("host", F.col(f"`{good}`").alias("good")), z).select("host", "bound")
+    names = ["host", "path", "rule", "bound", "verdict"]
+    rest = [F.col(f"`{c}`") for c in pages.columns if c not in names]
+    parsed = pages.select(F.struct(*rest).alias("_row"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"), F.col(f"`{good}`").alias("good"))
+    reputation = host_reputation(parsed.select("host", "good"), z).select(F.col("host").alias("_site"), "bound")
     host, path = F.col("host"), F.col("path")
-    return (
-        parsed.join(reputation, "host", "left")
-        .withColumn("rule", rule_column(host, path, rules, lambda r: F.lit(r.host + r.path)))
-        .withColumn("verdict", F.coalesce(rule_column(host, path, rules, lambda r: F.lit(r.verdict)), F.when(F.col("bound") >= min_rate, "allow").otherwise("block")))
-    )
+    if len(rules) > EXPRESSION_RULES:
+        ruled = _ruled_by_table(parsed, rules)
+    else:
+        hit = rule_column(host, path, rules, lambda r: F.struct(F.lit(r.host + r.path).alias("rule"), F.lit(r.verdict).alias("verdict")))
+        ruled = parsed.withColumn("_hit", hit if rules else F.lit(None).cast("struct<rule:string,verdict:string>"))
+    judged = ruled.withColumn("_site", site_of(host)).join(reputation, "_site", "left")
+    by_bound = F.when(F.col("bound") >= min_rate, "allow").otherwise("block")
+    return judged.select("_row.*", "host", "path", F.col("_hit.rule").alias("rule"), "bound", F.coalesce("_hit.verdict", by_bound).alias("verdict"))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -77,6 +78,43 @@ def test_reputation_shrinks(spark):
     assert out["good.a.com"] > 0.8 > 0.5 > out["bad.b.com"] and out["new.a.com"] > out["new.b.com"] and out["once.b.com"] < 0.5
 
 
+def test_reputation_levels(spark):
+    """Port and user info are no part of a level; domains of a country's second level are apart; an address is its own domain."""
+    hosts = ["a.co.uk", "x.a.co.uk:80", "u@b.co.uk", "b.com", "1.2.3.4:8", "co.uk", "", "[::1]:5", "w.b.com\n"]
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "i int, h string")
+    site = url_filter.site_of(F.col("h"))
+    got = [tuple(r)[1:] for r in rows.select("i", site, url_filter.registered_domain(site), url_filter.suffix(site)).orderBy("i").collect()]
+    assert got == [("a.co.uk", "a.co.uk", "co.uk"), ("x.a.co.uk", "a.co.uk", "co.uk"), ("b.co.uk", "b.co.uk", "co.uk"), ("b.com", "b.com", "com"), ("1.2.3.4", "1.2.3.4", ""), ("co.uk", "co.uk", "co.uk"), ("", "", ""), ("[::1]", "[::1]", "[::1]"), ("w.b.com\n", "b.com\n", "com\n")]
+    good = [("g.a.co.uk", 1)] * 50 + [("h.b.co.uk", 0)] * 50 + [("new.a.co.uk:8080", None), ("new.b.co.uk", None)]
+    bound = {r.host: r.bound for r in url_filter.host_reputation(spark.createDataFrame(good, "host string, good int")).collect()}
+    assert bound["new.a.co.uk"] > bound["new.b.co.uk"]
+
+
+def test_rules_by_brute_force(spark, monkeypatch):
+    """Rules as expressions and as a table against a loop: equal lengths, repeated rules and pages, nulls, many labels, empty rule hosts and paths."""
+    rng = random.Random(3)
+    host = lambda: ".".join(rng.choice(["a", "b", "com", "c"]) for _ in range(rng.randint(1, 4)))
+    path = lambda: "".join(rng.choice(["/", "x", "y"]) for _ in range(rng.randint(0, 4)))
+    rules = [url_filter.Rule(rng.choice(["allow", "block"]), host(), path()) for _ in range(120)]
+    rules += rules[:5] + [url_filter.Rule("block", rules[0].host, rules[0].path), url_filter.Rule("allow", "", "/x")]
+    urls = [f"http://{host()}/{path()}" for _ in range(300)] + [None, "", "http://", "http:///x", "http://" + "a." * 50 + "com/x/"]
+    urls += urls[:20]
+    pages = spark.createDataFrame([(i, u, None, i) for i, u in enumerate(urls)], "page_id long, url string, good int, _hit long")
+
+    def wanted(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        h = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        p = rest[len(h):]
+        fits = [r for r in rules if (h == r.host or h.endswith("." + r.host)) and p.startswith(r.path)]
+        best = max(fits, key=lambda r: len(r.host + r.path), default=None)
+        return (best.host + best.path, best.verdict) if best else (None, "block")
+
+    for most in (10**6, 0):
+        monkeypatch.setattr(url_filter, "EXPRESSION_RULES", most)
+        got = {r.page_id: (r.rule, r.verdict, r._hit) for r in url_filter.judge_urls(pages, rules, min_rate=2.0).collect()}
+        assert got == {i: (*wanted(u), i) for i, u in enumerate(urls)}
+
+
 # ---- 2
 
 def texture(seed, side=96):
