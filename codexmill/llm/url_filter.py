@@ -87,7 +87,8 @@ def _ruled_by_table(parsed: DataFrame, rules: list[Rule]) -> DataFrame:
     lengths = listed.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
     labels = max(r.host.count(".") for r in rules) + 1
     pages = parsed.select("host", "path").distinct()
-    ends = F.transform(F.sequence(F.lit(1), F.least(F.lit(labels), F.size(F.split("host", r"\.")))), lambda i: F.substring_index("host", ".", -i))
+    parts = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.lit(labels), F.size(parts))), lambda i: F.array_join(F.slice(parts, -i, i), "."))
     asked = pages.select("host", "path", F.explode(ends).alias("rule_host")).join(lengths, "rule_host")
     fitting = F.filter("lengths", lambda n: n <= F.length("path"))
     asked = asked.select("host", "path", "rule_host", F.explode(fitting).alias("n")).withColumn("rule_path", F.substring("path", F.lit(1), F.col("n")))
