@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import round_trip
+from .collocations import collocations
 from .common import shared_dir, table
 from .decontaminate import find_contamination
 from .image_copies import copy_groups, rendered
@@ -192,6 +193,35 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM marked GROUP BY rid, doc_id
 """
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language of all documents."""
+    return collocations(table(spark, sf_dir, "documents"), max_words=5, min_count=100, covered_percent=100, top=2000)
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), grams AS (
+  SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*)::hugeint AS f
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k) GROUP BY ALL
+), total AS (
+  SELECT lang, sum(f)::hugeint AS n FROM grams WHERE k = 1 GROUP BY lang
+), cand AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM grams WHERE k > 1 AND f >= 100
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, j, l.f AS l, r.f AS r, n, 1000 * c.a * n // (l.f * r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1 : j], ' ')
+  JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[j + 1 :], ' ') JOIN total ON total.lang = c.lang
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.lang = b.lang AND c.k > b.k AND 100 * c.a >= 100 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::bigint AS a, l::bigint AS l, r::bigint AS r, n::bigint AS n, score::bigint AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op2_image_copies": op2_image_copies,
@@ -203,9 +233,11 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
+    "op11_collocations": op11_collocations,
 }
 ORACLE_SQL = {
     "op1_url_reputation": OP1_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_collocations": OP11_SQL,
 }
