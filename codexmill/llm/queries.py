@@ -20,6 +20,7 @@ from .ppm_score import score
 from .sharding import shard_by_bytes
 from .token_store import read_documents, write_tokens
 from .url_filter import Rule, judge_urls
+from .vector_codes import vector_codes
 
 RULES = [
     Rule("block", "com", "/en/"),
@@ -222,6 +223,41 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM kept QUALIFY rank <= 2000
 """
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings: 4 parts of 256 entries, 4 rounds."""
+    return vector_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+OP12_START = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), numbered AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS rid FROM kept
+), parts AS MATERIALIZED (
+  SELECT rid, p, q, list_inner_product(q, q) AS qq FROM (SELECT rid, p, v[p * 16 + 1 : p * 16 + 16] AS q FROM numbered, (SELECT unnest(range(4)) AS p))
+), c0 AS MATERIALIZED (
+  SELECT p, rid - 1 AS e, q AS c, qq AS cc FROM parts WHERE rid <= 256
+"""
+#: Nearest entries of all parts in round {i}: distance and entry as one number.
+OP12_ASSIGN = """), a{i} AS MATERIALIZED (
+  SELECT rid, parts.p, min((qq - 2 * list_inner_product(q, c) + cc)::bigint * 256 + e) AS best FROM parts JOIN c{i} USING (p) GROUP BY ALL
+"""
+OP12_MEANS = """), m{j} AS (
+  SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS double) ORDER BY d) AS c
+  FROM (SELECT parts.p, best % 256 AS e, d, sum(q[d]::bigint) AS s, count(*) AS n FROM parts JOIN a{i} USING (rid, p), (SELECT unnest(range(1, 17)) AS d) GROUP BY ALL) GROUP BY p, e
+), c{j} AS MATERIALIZED (
+  SELECT p, e, coalesce(m{j}.c, c{i}.c) AS c, list_inner_product(coalesce(m{j}.c, c{i}.c), coalesce(m{j}.c, c{i}.c)) AS cc FROM c{i} LEFT JOIN m{j} USING (p, e)
+"""
+OP12_END = """), coded AS (
+  SELECT rid, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256)::bigint AS error FROM a4 GROUP BY rid
+), book AS (
+  SELECT sha256(string_agg(v::bigint::varchar, ',' ORDER BY p, e, d)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS d FROM c4)
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, codebooks_sha256 FROM coded JOIN numbered USING (rid), book
+"""
+OP12_SQL = OP12_START + "".join(OP12_ASSIGN.format(i=i) + OP12_MEANS.format(i=i, j=i + 1) for i in range(4)) + OP12_ASSIGN.format(i=4) + OP12_END
+
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op2_image_copies": op2_image_copies,
@@ -234,10 +270,12 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
     "op11_collocations": op11_collocations,
+    "op12_vector_codes": op12_vector_codes,
 }
 ORACLE_SQL = {
     "op1_url_reputation": OP1_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
     "op11_collocations": OP11_SQL,
+    "op12_vector_codes": OP12_SQL,
 }
