@@ -17,6 +17,7 @@ from .jaccard_join import jaccard_components
 from .language_id import held_out, predict, train
 from .line_dedup import dedup_lines
 from .ppm_score import score
+from .secret_scan import ADDED, BASE, find_secrets, listed
 from .sharding import shard_by_bytes
 from .token_store import read_documents, write_tokens
 from .url_filter import Rule, judge_urls
@@ -258,6 +259,35 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS la
 """
 OP12_SQL = OP12_START + "".join(OP12_ASSIGN.format(i=i) + OP12_MEANS.format(i=i, j=i + 1) for i in range(4)) + OP12_ASSIGN.format(i=4) + OP12_END
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: three base kinds, and keys and tokens of services."""
+    rules = BASE + ADDED
+    out = find_secrets(table(spark, sf_dir, "documents"), rules)
+    of = lambda n: F.filter("found", lambda r: r["number"] == n)
+    base = F.filter("found", lambda r: r["number"] < len(BASE))
+    return out.select("doc_id", *[F.size(of(n)).cast("long").alias(f"n_{r.kind}") for n, r in enumerate(BASE)], F.sha2(F.encode(listed(base, rules), "UTF-8"), 256).alias("base_sha256"), listed(F.col("found"), rules).alias("spans"))
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+OP13_SQL = "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents), found AS (" + " UNION ALL ".join(
+    f"""
+  SELECT rid, {n} AS number, '{r.kind}' AS kind, start, start + size AS stop FROM (
+    SELECT rid, unnest(list_transform(range(1, len(sizes) + 1), lambda i: list_sum(gaps[:i]) + coalesce(list_sum(sizes[:i - 1]), 0)))::bigint AS start, unnest(sizes) AS size, unnest(parts) AS part
+    FROM (SELECT rid, list_transform(regexp_split_to_array(text, '{_quoted(r.pattern)}'), lambda s: length(s)) AS gaps, list_transform(regexp_extract_all(text, '{_quoted(r.pattern)}'), lambda s: length(s)) AS sizes,
+                 list_transform(regexp_extract_all(text, '{_quoted(r.pattern)}', {r.part}), lambda s: length(s)) AS parts FROM d WHERE regexp_matches(text, '{_quoted(r.pattern)}'))
+  ) WHERE part >= {r.least}"""
+    for n, r in enumerate(BASE + ADDED)
+) + """
+)
+SELECT doc_id, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access, count(*) FILTER (number = 2) AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number) FILTER (number < 3), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number) FILTER (number IS NOT NULL), '') AS spans
+FROM d LEFT JOIN found USING (rid) GROUP BY rid, doc_id
+"""
+
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op2_image_copies": op2_image_copies,
@@ -271,6 +301,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_collocations": op11_collocations,
     "op12_vector_codes": op12_vector_codes,
+    "op13_secret_scan": op13_secret_scan,
 }
 ORACLE_SQL = {
     "op1_url_reputation": OP1_SQL,
@@ -278,4 +309,5 @@ ORACLE_SQL = {
     "op10_line_dedup": OP10_SQL,
     "op11_collocations": OP11_SQL,
     "op12_vector_codes": OP12_SQL,
+    "op13_secret_scan": OP13_SQL,
 }
