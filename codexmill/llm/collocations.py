@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import removed, written
 
 #: Bytes of text of which a task combines equal grams before they become rows. It only bounds memory.
-BUFFER = 8 << 20
+BUFFER = 3 << 20
 #: Bits of the map of frequent pairs: 8 MB at any size of the corpus.
 MAP_BITS = 1 << 26
 #: Characters that end a piece, and those between words.
@@ -93,11 +93,12 @@ def words(text: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), piece, starts, stops
 
 
-def rows(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.repeat(pa.scalar(lang), len(n)), phrases.cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "f"])
+def rows(lang: str, phrases: pa.Array, n: np.ndarray, at_once: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    whole = pa.record_batch([pa.repeat(pa.scalar(lang), len(n)), phrases.cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "f"])
+    return (whole.slice(at, at_once) for at in range(0, len(n), at_once))
 
 
-def counted(lang: str, entries: pa.Array, columns: list[np.ndarray]) -> pa.RecordBatch:
+def counted(lang: str, entries: pa.Array, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Equal grams once: a column of entry numbers for each word of the grams."""
     key, parts = columns[0], [columns[0]]
     for column in columns[1:]:
@@ -116,12 +117,12 @@ def short_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, text, seen in buffers(batches):
         entries, ids, piece, _, _ = words(text)
         if len(ids) > seen:
-            yield rows(lang, pa.array([""]), np.array([len(ids) - seen]))
-            yield counted(lang, entries, [ids[seen:]])
+            yield from rows(lang, pa.array([""]), np.array([len(ids) - seen]))
+            yield from counted(lang, entries, [ids[seen:]])
         first = np.flatnonzero(piece[:-1] == piece[1:]) if len(ids) > 1 else np.zeros(0, np.int64)
         first = first[first + 1 >= seen]
         if len(first):
-            yield counted(lang, entries, [ids[first], ids[first + 1]])
+            yield from counted(lang, entries, [ids[first], ids[first + 1]])
 
 
 def bits_of(lang: str, left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
@@ -184,7 +185,7 @@ def grams(docs: DataFrame, lang: str = "lang", text: str = "text", max_words: in
             for size in range(3, max_words + 1):
                 fresh = at[at + size > seen]
                 if len(fresh):
-                    yield counted(language, entries, [ids[fresh + i] for i in range(size)])
+                    yield from counted(language, entries, [ids[fresh + i] for i in range(size)])
                 at = at[at + size <= len(ok)]
                 at = at[ok[at + size - 1]]
 
