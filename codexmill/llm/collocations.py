@@ -1,9 +1,9 @@
 """Phrases whose words keep together, of each language.
 
 All 1- to ``max_words``-grams become rows of ``(lang, phrase, number)`` and are hash
-aggregated. A gram can only be frequent if all its word pairs are, so words and pairs are counted
-first; a longer gram is made where each of its pairs is frequent, by a bitmap of
-fixed size that may pass a pair too many but never one too few, and its counts
+aggregated. A gram can only be frequent if its parts are, so words and pairs are counted
+first; a longer gram is made where the two grams one word shorter in it are frequent, by a bitmap of
+fixed size that may pass a gram too many but never one too few, and its counts
 decide. Everything else reads only grams that are frequent enough: a candidate's cuts
 join the counts of their first part and rest, scores are integer quotients of decimals, an anti
 join drops what is part of an equally frequent phrase one word longer (counts fall
@@ -15,13 +15,14 @@ empty table gives no rows, and other columns of the table are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,10 @@ from .common import removed, written
 
 #: Bytes of text of which a task combines equal grams before they become rows. It only bounds memory.
 BUFFER = 3 << 20
-#: Bits of the map of frequent pairs: 8 MB at any size of the corpus.
+#: Bits of the map of frequent grams: 8 MB at any size of the corpus.
 MAP_BITS = 1 << 26
+#: Tasks that the phrases of one language are dealt to, at least.
+SALTS = 64
 #: Characters that end a piece, and those between words.
 ENDS, GAPS = ".,;:!?\n\x0b\x0c\r", " \t"
 
@@ -125,71 +128,95 @@ def short_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from counted(lang, entries, [ids[first], ids[first + 1]])
 
 
-def bits_of(lang: str, left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
-    """Two places in the map for each pair of word hashes."""
-    with np.errstate(over="ignore"):
-        h = (left * np.uint64(0x9E3779B97F4A7C15)) ^ (right + pd.util.hash_array(np.array([lang], dtype=object))[0])
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return [h % np.uint64(MAP_BITS), (h >> np.uint64(32)) * np.uint64(2654435761) % np.uint64(MAP_BITS)]
-
-
 def hashes(entries: pa.Array) -> np.ndarray:
     return pd.util.hash_array(np.array(entries.to_pylist(), dtype=object))
 
 
-def pair_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(at, bits)``: parts of the map that frequent pairs set."""
-    for batch in batches:
-        found = [np.zeros(0, np.uint64)]
-        for lang in pc.unique(batch.column(0)).to_pylist():
-            pairs = pc.split_pattern(batch.column(1).filter(pc.equal(batch.column(0), lang)), " ").flatten()
-            coded = pairs.dictionary_encode()
-            h = hashes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
-            found += bits_of(lang, h[::2], h[1::2])
-        bit = np.unique(np.concatenate(found))
-        at, start = np.unique(bit >> np.uint64(6), return_index=True)
-        value = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), start) if len(at) else at
-        yield pa.record_batch([pa.array(at.astype(np.int64)), pa.array(value.view(np.int64))], ["at", "bits"])
-
-
-def frequent_pairs(grams: DataFrame) -> np.ndarray:
-    """The map of all frequent pairs, of ``MAP_BITS`` bits however many they are."""
-    parts = grams.where("phrase like '% %'").select("lang", "phrase").mapInArrow(pair_bits, "at long, bits long")
+def joined(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a gram with one more word."""
+    with np.errstate(over="ignore"):
+        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ word
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def bits_of(lang: str, h: np.ndarray) -> list[np.ndarray]:
+    """Two places in the map for each gram's hash."""
+    h = joined(h, pd.util.hash_array(np.array([lang], dtype=object)))
+    h = h ^ (h >> np.uint64(32))
+    with np.errstate(over="ignore"):
+        return [h % np.uint64(MAP_BITS), (h >> np.uint64(32)) * np.uint64(2654435761) % np.uint64(MAP_BITS)]
+
+
+def gram_bits(size: int) -> Callable:
+    """``(at, bits)``: parts of the map that frequent grams of ``size`` words set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, np.uint64)]
+            for lang in pc.unique(batch.column(0)).to_pylist():
+                grams = pc.split_pattern(batch.column(1).filter(pc.equal(batch.column(0), lang)), " ").flatten()
+                coded = grams.dictionary_encode()
+                word = hashes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)].reshape(-1, size)
+                h = word[:, 0]
+                for k in range(1, size):
+                    h = joined(h, word[:, k])
+                found += bits_of(lang, h)
+            bit = np.unique(np.concatenate(found))
+            at, start = np.unique(bit >> np.uint64(6), return_index=True)
+            value = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), start) if len(at) else at
+            yield pa.record_batch([pa.array(at.astype(np.int64)), pa.array(value.view(np.int64))], ["at", "bits"])
+
+    return run
+
+
+def frequent(grams: DataFrame, size: int) -> np.ndarray:
+    """The map of all frequent grams of ``size`` words, of ``MAP_BITS`` bits however many they are."""
+    mine = grams.where(F.size(F.split("phrase", " ")) == size).where("phrase <> ''")
+    parts = mine.select("lang", "phrase").mapInArrow(gram_bits(size), "at long, bits long")
     found = parts.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most MAP_BITS / 64 rows
     out = np.zeros(MAP_BITS // 64, np.int64)
     out[found["at"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint64)
 
 
-def grams(docs: DataFrame, lang: str = "lang", text: str = "text", max_words: int = 5, min_count: int = 100) -> list[DataFrame]:
-    """``(lang, phrase, f)``: all grams found ``min_count`` times, and with the empty phrase the number of all words; a table of words and pairs and one of longer grams."""
-    chosen = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
-    total = lambda found: found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
-    short = written(total(chosen.mapInArrow(short_grams, ROWS)), "words-and-pairs")
-    if max_words < 3:
-        return [short]
-    pairs = docs.sparkSession.sparkContext.broadcast(frequent_pairs(short))
+def long_grams(size: int, shorter: Broadcast) -> Callable:
+    """Grams of ``size`` words whose first and last ``size - 1`` words are frequent."""
 
-    def long_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pairs.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shorter.value
         has = lambda bit: (known[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-        for language, part, seen in buffers(batches):
-            entries, ids, piece, _, _ = words(part)
-            if len(ids) < 3:
+        for lang, text, seen in buffers(batches):
+            entries, ids, piece, _, _ = words(text)
+            n = len(ids) - size + 1
+            if n < 1:
                 continue
-            h = hashes(entries)[ids]
-            one, two = bits_of(language, h[:-1], h[1:])
-            ok = (piece[:-1] == piece[1:]) & has(one) & has(two)
-            at = np.flatnonzero(ok[:-1] & ok[1:])
-            for size in range(3, max_words + 1):
-                fresh = at[at + size > seen]
-                if len(fresh):
-                    yield from counted(language, entries, [ids[fresh + i] for i in range(size)])
-                at = at[at + size <= len(ok)]
-                at = at[ok[at + size - 1]]
+            word = hashes(entries)[ids]
+            h = word[: n + 1]
+            for k in range(1, size - 1):
+                h = joined(h, word[k : k + n + 1])
+            one, two = bits_of(lang, h)
+            ok = has(one) & has(two)
+            at = np.flatnonzero(ok[:-1] & ok[1:] & (piece[:n] == piece[size - 1 :]))
+            at = at[at + size > seen]
+            if len(at):
+                yield from counted(lang, entries, [ids[at + i] for i in range(size)])
+
+    return run
 
-    return [short, written(total(chosen.mapInArrow(long_grams, ROWS)), "phrases")]
+
+def grams(docs: DataFrame, lang: str = "lang", text: str = "text", max_words: int = 5, min_count: int = 100) -> list[DataFrame]:
+    """``(lang, phrase, f)``: all grams found ``min_count`` times, and with the empty phrase the number of all words; a table of words and pairs and one for each greater length."""
+    chosen = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
+    total = lambda found: found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
+    tables = [written(total(chosen.mapInArrow(short_grams, ROWS)), "words-and-pairs")]
+    for size in range(3, max_words + 1):
+        shorter = frequent(tables[-1], size - 1)
+        if not shorter.any():
+            break
+        shorter = docs.sparkSession.sparkContext.broadcast(shorter)
+        tables.append(written(total(chosen.mapInArrow(long_grams(size, shorter), ROWS)), "phrases"))
+        shorter.unpersist()
+    return tables
 
 
 def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", max_words: int = 5, min_count: int = 100, covered_percent: int = 100, top: int = 2000) -> DataFrame:
@@ -210,7 +237,10 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", max_wo
     cuts = listed.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice("w", 1, F.col("k")), " ").alias("head"), F.array_join(F.slice("w", F.col("k") + 1, F.size("w")), " ").alias("rest"))
     part = lambda name, value: known.select("lang", F.col("phrase").alias(name), F.col("f").alias(value))
-    scored = cuts.join(part("head", "l"), ["lang", "head"]).join(part("rest", "r"), ["lang", "rest"]).join(total, "lang")
+    # A language may hold most rows, so its total is there once for each of a few salts.
+    total = total.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = cuts.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int"))
+    scored = salted.join(part("head", "l"), ["lang", "head"]).join(part("rest", "r"), ["lang", "rest"]).join(total, ["lang", "salt"])
     scored = scored.withColumn("score", F.expr("(1000 * (a * n)) div (l * r)"))
     best = scored.groupBy("lang", "phrase").agg(F.min_by(F.struct("a", "l", "r", "n", "score"), F.struct("score", "k")).alias("b")).select("lang", "phrase", "b.*")
     inner = listed.where(F.size("w") > 2).select("lang", "a", F.explode(F.array(F.expr("array_join(slice(w, 2, size(w)), ' ')"), F.expr("array_join(slice(w, 1, size(w) - 1), ' ')"))).alias("phrase"))

@@ -56,7 +56,7 @@ def test_against_sql(spark, name):
 
 def test_registered():
     names = __spark_entry__.queries().keys()
-    assert "pipeline" in names and {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and set(queries.QUERIES) <= names
+    assert "pipeline" in names and {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} and set(queries.QUERIES) <= names
 
 
 # ---- 1
