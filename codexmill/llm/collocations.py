@@ -15,7 +15,7 @@ empty table gives no rows, and other columns of the table are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -30,6 +30,8 @@ from .common import removed, written
 
 #: Bytes of text of which a task combines equal grams before they become rows. It only bounds memory.
 BUFFER = 3 << 20
+#: Rows of long grams that a task combines before they go on.
+HELD = 1 << 19
 #: Bits of the map of frequent grams: 8 MB at any size of the corpus.
 MAP_BITS = 1 << 26
 #: Tasks that the phrases of one language are dealt to, at least.
@@ -101,6 +103,27 @@ def rows(lang: str, phrases: pa.Array, n: np.ndarray, at_once: int = 1 << 15) ->
     return (whole.slice(at, at_once) for at in range(0, len(n), at_once))
 
 
+def combined(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal grams of a task's buffers as one row, as long as ``HELD`` rows hold them."""
+    held, n = [], 0
+
+    def sums() -> pa.Table:
+        return pa.Table.from_batches(held).group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "f"])
+
+    for part in parts:
+        held.append(part)
+        n += part.num_rows
+        if n >= HELD:
+            whole = sums()
+            if whole.num_rows > HELD // 2:
+                yield from whole.to_batches(max_chunksize=1 << 15)
+                held, n = [], 0
+            else:
+                held, n = whole.to_batches(), whole.num_rows
+    if held:
+        yield from sums().to_batches(max_chunksize=1 << 15)
+
+
 def counted(lang: str, entries: pa.Array, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Equal grams once: a column of entry numbers for each word of the grams."""
     key, parts = columns[0], [columns[0]]
@@ -182,7 +205,7 @@ def frequent(grams: DataFrame, size: int) -> np.ndarray:
 def long_grams(size: int, shorter: Broadcast) -> Callable:
     """Grams of ``size`` words whose first and last ``size - 1`` words are frequent."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shorter.value
         has = lambda bit: (known[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
         for lang, text, seen in buffers(batches):
@@ -201,7 +224,7 @@ def long_grams(size: int, shorter: Broadcast) -> Callable:
             if len(at):
                 yield from counted(lang, entries, [ids[at + i] for i in range(size)])
 
-    return run
+    return lambda batches: combined(found(batches))
 
 
 def grams(docs: DataFrame, lang: str = "lang", text: str = "text", max_words: int = 5, min_count: int = 100) -> list[DataFrame]:
