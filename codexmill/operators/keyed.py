@@ -52,11 +52,37 @@ def first_match(items: DataFrame, rules: DataFrame, matches: Column, item_keys:
     return top_per_key(hits, item_keys, [F.col(c).asc_nulls_last() for c in rank])
 
 
-def within_budget(df: DataFrame, keys: list[str], order: list[Column], text: str, cap: int) -> DataFrame:
-    """Rows in order while the length so far is at most ``cap``; the row that passes it is cut and ends its key."""
-    before = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = df.withColumn("_before", before).where(F.col("_before") <= cap)
-    return kept.withColumn(text, F.expr(f"substring({text}, 1, greatest({cap} - _before, 0))")).drop("_before")
+def running_before(rows: DataFrame, keys: list[str], order: list[str], amount: str, name: str = "before") -> DataFrame:
+    """``rows`` with ``name``: the sum of ``amount`` over the rows of its key that come before, in two levels.
+
+    Rows are dealt by ranges of key and order, so a key with most rows is dealt to
+    many tasks; each range is summed on its own, and a window over the ranges' sums, of which a key has no more
+    than there are ranges, says what came before each range. ``order`` is total in a key.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_range", *keys).agg(F.sum(amount).alias("_sum"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_sum").over(earlier(Window.partitionBy(*keys).orderBy("_range"))), F.lit(0))
+    offsets = sums.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k_{k}") for k in keys], before.alias("_offset"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_range") == F.col("_r"))
+    own = F.coalesce(F.sum(amount).over(earlier(Window.partitionBy("_range", *keys).orderBy(*order))), F.lit(0))
+    return dealt.withColumn("_own", own).join(offsets, same).withColumn(name, F.col("_own") + F.col("_offset")).select(*rows.columns, name)
+
+
+def within_budget(df: DataFrame, keys: list[str], order: list[str], text: str, cap: int) -> DataFrame:
+    """Rows in order while the length so far is at most ``cap``; the row that passes it is cut and ends its key.
+
+    Only keys, order and lengths are dealt and summed; texts are joined to the rows
+    that are kept. ``order`` is total in a key; a null text has no length.
+    """
+    lengths = df.select(*keys, *order, F.coalesce(F.length(text), F.lit(0)).cast("long").alias("_length"))
+    kept = written(running_before(lengths, keys, order, "_length", "_before").where(F.col("_before") <= cap), "kept")
+    names = [*keys, *order]
+    place = kept.select(*[F.col(c).alias(f"_k_{c}") for c in names], "_before")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in names])
+    left = F.greatest(F.lit(cap) - F.col("_before"), F.lit(0)).cast("int")
+    return df.join(place, same).withColumn(text, F.substr(text, F.lit(1), left)).select(df.columns)
 
 
 def tenant_scope(df: DataFrame, column: str, tenant: str | None, is_admin: bool) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .vectors import exact
+
 K1, B = 1.5, 0.75
 RRF_CONSTANT = 60
 LEXICAL_TOP, DENSE_LEAST = 24, 24
@@ -27,11 +29,16 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(STOP_WORDS))
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, term, tf, dl)``: the inverted index, one row a document and term."""
-    own = docs.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("t"))
-    exploded = own.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return exploded.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
+    """``(id, term, tf, dl)`` and columns ``more`` of the document: the inverted index, one row a document and term."""
+    own = docs.select(F.col(id_col).alias("id"), *more, tokens(F.col(text)).alias("t"))
+    exploded = own.select("id", *more, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    return exploded.groupBy("id", *more, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def asked_terms(queries: DataFrame, query_text: str = "text") -> DataFrame:
+    """``(query_id, term, times)``."""
+    return queries.select("query_id", F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text", query_text: str = "text", top: int = LEXICAL_TOP, index: DataFrame | None = None) -> DataFrame:
@@ -44,7 +51,7 @@ def bm25(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str
     """
     p = index if index is not None else postings(docs, id_col, text)
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size(tokens(F.col(text)))), F.lit(1.0)).alias("avgdl"))
-    asked = queries.select("query_id", F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = asked_terms(queries, query_text)
     hits = p.join(asked.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = hits.join(df, "term").join(asked, "term").join(F.broadcast(size))  # one row of totals
@@ -71,13 +78,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, query_vector: str = "vector", top: int = DENSE_LEAST) -> DataFrame:
-    """``(query_id, id, score, rank)`` by exact cosine of a batch of queries against all vectors.
-
-    The batch of queries is small by contract and is broadcast; each vector is read
-    once, and each task keeps only its own best ``top`` before the shuffle.
-    """
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("_v")).join(F.broadcast(queries.select("query_id", F.col(query_vector).alias("_q"))))
-    return ranked(pairs.select("query_id", "id", cosine(F.col("_q"), F.col("_v")).alias("score")), "score", top)
+    """``(query_id, id, score, rank)`` by exact cosine of a batch of queries against all vectors, in blocks of queries."""
+    return exact(queries, vectors, id_col, vector, query_vector, top)
 
 
 def lsh_keys(vector: Column, bits: int, tables: int, width: int) -> Column:

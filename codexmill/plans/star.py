@@ -399,7 +399,7 @@ SELECT lang, doc_id, length(substr(text, 1, greatest(4096 - before, 0)::bigint))
 def budget_running_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each language while a budget of characters lasts; the last is cut."""
     d = load(spark, sf_dir, "documents").select("lang", "doc_id", "text")
-    return keyed.within_budget(d, ["lang"], [F.col("doc_id")], "text", 4096).select("lang", "doc_id", F.length("text").alias("kept_chars"), F.md5("text").alias("kept"))
+    return keyed.within_budget(d, ["lang"], ["doc_id"], "text", 4096).select("lang", "doc_id", F.length("text").alias("kept_chars"), F.md5("text").alias("kept"))
 
 
 @query("""

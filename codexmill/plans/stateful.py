@@ -42,12 +42,25 @@ def rate_limit_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.rate_limit(hits, rules).select("id", "rule", "admitted", "retry_after")
 
 
-@query(None)
+#: Hits of users and the admissions a limiter makes of them, hit by hit: three errors and ten others in three days.
+LIMIT_SQL = """
+WITH RECURSIVE h AS (SELECT event_id AS id, user_id::varchar AS ip, CASE WHEN event_type = 'error' THEN 1 ELSE 2 END AS rule, CASE WHEN event_type = 'error' THEN 3 ELSE 10 END AS most, epoch_us(ts) AS us FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY ip, rule ORDER BY us, id) AS nth FROM h),
+s AS (
+  SELECT id, ip, rule, nth, [us] AS admitted, TRUE AS ok, NULL::bigint AS wait FROM n WHERE nth = 1
+  UNION ALL
+  SELECT id, ip, rule, nth, CASE WHEN len(kept) < most THEN list_append(kept, us) ELSE kept END, len(kept) < most, CASE WHEN len(kept) >= most THEN (kept[1] + 259200000000 - us) // 1000000 + 1 END
+  FROM (SELECT n.*, list_filter(s.admitted, lambda t: t >= n.us - 259200000000) AS kept FROM s JOIN n ON n.ip = s.ip AND n.rule = s.rule AND n.nth = s.nth + 1)
+)
+"""
+LIMITS = "values (1, 'POST', 'error', 3, 259200), (2, 'POST', '', 10, 259200) as t(rule, method, prefix, max_hits, window_s)"
+
+
+@query(LIMIT_SQL + "SELECT id, ip, rule, ok AS admitted, wait::int AS retry_after FROM s")
 def rate_limit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admissions of all events: ten of a type in three days for each user."""
+    """Admissions of all events: three errors and ten other events in three days for each user."""
     e = load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("ip"), F.lit("POST").alias("method"), F.col("event_type").alias("path"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
-    rules = inline(spark, "rule int, method string, prefix string, max_hits int, window_s int", [(1, "POST", "error", 3, 259200), (2, "POST", "", 10, 259200)])
-    return audit.rate_limit(e, rules)
+    return audit.rate_limit(e, spark.sql(LIMITS))
 
 
 CHAIN_SQL = """

@@ -20,9 +20,10 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-def run(stream: DataFrame, out: str, mode: str, sink: Callable | None = None) -> DataFrame:
+def run(stream: DataFrame, out: str, mode: str, sink: Callable | None = None, name: str | None = None) -> DataFrame:
     """Runs a stream to the end of its input and reads what it wrote."""
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}/checkpoint")
+    writer = stream.writeStream.queryName(name) if name else stream.writeStream
+    writer = writer.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}/checkpoint")
     if sink:
         query = writer.foreachBatch(sink).start()
     else:

@@ -34,7 +34,7 @@ def test_rejoin_restores(spark):
 def test_budget_is_never_passed(spark):
     rng = random.Random(4)
     data = [(k, i, "z" * rng.randrange(0, 60)) for k in "ab" for i in range(20)]
-    out = keyed.within_budget(spark.createDataFrame(data, "k string, i int, t string"), ["k"], [F.col("i")], "t", 100).groupBy("k").agg(F.sum(F.length("t")).alias("n")).collect()
+    out = keyed.within_budget(spark.createDataFrame(data, "k string, i int, t string"), ["k"], ["i"], "t", 100).groupBy("k").agg(F.sum(F.length("t")).alias("n")).collect()
     assert all(r.n <= 100 for r in out) and len(out) == 2
 
 
