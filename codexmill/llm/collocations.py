@@ -1,8 +1,8 @@
 """Phrases whose words keep together, of each language.
 
 All 1- to ``max_words``-grams become rows of ``(lang, phrase, number)`` and are hash
-aggregated. A gram can only be frequent if its parts are, so words and pairs are counted
-first; a longer gram is made where the two grams one word shorter in it are frequent, by a bitmap of
+aggregated, length by length. A gram can only be frequent if its parts are: one of more than
+``COUNTED`` words is made only where the two grams one word shorter in it are frequent, by a bitmap of
 fixed size that may pass a gram too many but never one too few, and its counts
 decide. Everything else reads only grams that are frequent enough: a candidate's cuts
 join the counts of their first part and rest, scores are integer quotients of decimals, an anti
@@ -15,7 +15,7 @@ empty table gives no rows, and other columns of the table are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -30,8 +30,9 @@ from .common import removed, written
 
 #: Bytes of text of which a task combines equal grams before they become rows. It only bounds memory.
 BUFFER = 3 << 20
-#: Rows of long grams that a task combines before they go on.
-HELD = 1 << 19
+#: Words of a gram up to which all are counted. How many grams a map of shorter ones leaves out depends on how
+#: many are frequent, so three words, which a map of pairs would prune only in small corpora, cost the same at all sizes.
+COUNTED = 3
 #: Bits of the map of frequent grams: 8 MB at any size of the corpus.
 MAP_BITS = 1 << 26
 #: Tasks that the phrases of one language are dealt to, at least.
@@ -103,27 +104,6 @@ def rows(lang: str, phrases: pa.Array, n: np.ndarray, at_once: int = 1 << 15) ->
     return (whole.slice(at, at_once) for at in range(0, len(n), at_once))
 
 
-def combined(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal grams of a task's buffers as one row, as long as ``HELD`` rows hold them."""
-    held, n = [], 0
-
-    def sums() -> pa.Table:
-        return pa.Table.from_batches(held).group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "f"])
-
-    for part in parts:
-        held.append(part)
-        n += part.num_rows
-        if n >= HELD:
-            whole = sums()
-            if whole.num_rows > HELD // 2:
-                yield from whole.to_batches(max_chunksize=1 << 15)
-                held, n = [], 0
-            else:
-                held, n = whole.to_batches(), whole.num_rows
-    if held:
-        yield from sums().to_batches(max_chunksize=1 << 15)
-
-
 def counted(lang: str, entries: pa.Array, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Equal grams once: a column of entry numbers for each word of the grams."""
     key, parts = columns[0], [columns[0]]
@@ -202,29 +182,32 @@ def frequent(grams: DataFrame, size: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def long_grams(size: int, shorter: Broadcast) -> Callable:
-    """Grams of ``size`` words whose first and last ``size - 1`` words are frequent."""
+def long_grams(size: int, shorter: Broadcast | None) -> Callable:
+    """Grams of ``size`` words, with a map only those whose first and last ``size - 1`` words are frequent."""
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shorter.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shorter.value if shorter else None
         has = lambda bit: (known[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
         for lang, text, seen in buffers(batches):
             entries, ids, piece, _, _ = words(text)
             n = len(ids) - size + 1
             if n < 1:
                 continue
-            word = hashes(entries)[ids]
-            h = word[: n + 1]
-            for k in range(1, size - 1):
-                h = joined(h, word[k : k + n + 1])
-            one, two = bits_of(lang, h)
-            ok = has(one) & has(two)
-            at = np.flatnonzero(ok[:-1] & ok[1:] & (piece[:n] == piece[size - 1 :]))
+            whole = piece[:n] == piece[size - 1 :]
+            if shorter:
+                word = hashes(entries)[ids]
+                h = word[: n + 1]
+                for k in range(1, size - 1):
+                    h = joined(h, word[k : k + n + 1])
+                one, two = bits_of(lang, h)
+                ok = has(one) & has(two)
+                whole &= ok[:-1] & ok[1:]
+            at = np.flatnonzero(whole)
             at = at[at + size > seen]
             if len(at):
                 yield from counted(lang, entries, [ids[at + i] for i in range(size)])
 
-    return lambda batches: combined(found(batches))
+    return run
 
 
 def grams(docs: DataFrame, lang: str = "lang", text: str = "text", max_words: int = 5, min_count: int = 100) -> list[DataFrame]:
@@ -233,12 +216,15 @@ def grams(docs: DataFrame, lang: str = "lang", text: str = "text", max_words: in
     total = lambda found: found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
     tables = [written(total(chosen.mapInArrow(short_grams, ROWS)), "words-and-pairs")]
     for size in range(3, max_words + 1):
-        shorter = frequent(tables[-1], size - 1)
-        if not shorter.any():
-            break
-        shorter = docs.sparkSession.sparkContext.broadcast(shorter)
-        tables.append(written(total(chosen.mapInArrow(long_grams(size, shorter), ROWS)), "phrases"))
-        shorter.unpersist()
+        shorter = None
+        if size > COUNTED:
+            shorter = frequent(tables[-1], size - 1)
+            if not shorter.any():
+                break
+            shorter = docs.sparkSession.sparkContext.broadcast(shorter)
+        tables.append(written(total(chosen.mapInArrow(long_grams(size, shorter), ROWS)).where("phrase <> ''"), "phrases"))
+        if shorter:
+            shorter.unpersist()
     return tables
 
 
