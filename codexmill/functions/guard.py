@@ -1,9 +1,13 @@
-"""Rules for generated code, as expressions: a static scan and the custody rule."""
+"""Rules for generated code: a static scan of its syntax tree and text, and the custody rule."""
 
 from __future__ import annotations
 
+import ast
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Modules that code may import, modules that no import line may name, and what no line may hold.
 ALLOWED_MODULES = """
@@ -15,6 +19,14 @@ pdfplumber pypdf chardet chardet2 python_dateutil dateutil
 NO_IMPORT = "os subprocess socket requests urllib httpx ctypes pickle marshal multiprocessing threading sys".split()
 NO_FROM = "os subprocess socket requests urllib httpx sys ctypes".split()
 BLOCKED_CALLS = "eval exec compile __import__ globals locals getattr setattr delattr input breakpoint".split()
+BLOCKED_DOTTED = """
+shutil.rmtree shutil.move shutil.chown pty.spawn pty.fork signal.signal signal.alarm builtins.eval builtins.exec code.InteractiveConsole
+code.InteractiveInterpreter pickle.loads pickle.load marshal.loads marshal.load webbrowser.open
+""".split()
+BLOCKED_ROOTS = """
+os subprocess socket requests urllib httpx ftplib telnetlib smtplib poplib imaplib paramiko fabric invoke ctypes cffi mmap multiprocessing threading sys
+""".split()
+READ_MODES = ("r", "rb", "rt")
 BLOCKED_METHODS = "write_text write_bytes mkdir unlink rename replace touch rmdir symlink_to hardlink_to chmod chown".split()
 DANGEROUS = {
     "write_mode": r"""open\s*\([^)]*['"][wax]\+?b?['"]""",
@@ -31,32 +43,66 @@ EVIDENCE = r"(?i)bukti|evidence|parse|ekstrak|extract|analisis|analyze|log|dump|
 SCAFFOLD_MARKS = ("def _sha256(", "def _custody_open(")
 
 
-def _names(pattern: str, code: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(code, F.lit(pattern), 1))
+def _mode(call: ast.Call) -> str | None:
+    """What is wrong with the mode of an ``open``: another than for reading, or one that is not written out."""
+    given = call.args[1] if len(call.args) > 1 else next((k.value for k in call.keywords if k.arg == "mode"), None)
+    if given is None:
+        return None
+    written_out = isinstance(given, ast.Constant) and isinstance(given.value, str)
+    return None if written_out and given.value in READ_MODES else f"mode:{given.value if written_out else '?'}"
+
+
+def _labels(node: ast.AST) -> list[str | None]:
+    match node:
+        case ast.Import(names=names):
+            roots = [n.name.split(".")[0] for n in names]
+            return [f"module:{r}" for r in roots if r not in ALLOWED_MODULES]
+        case ast.ImportFrom(module=module):
+            root = (module or "").split(".")[0]
+            return [] if root in ALLOWED_MODULES else [f"module:{root}"]
+        case ast.Call(func=ast.Name(id="open")):
+            return [_mode(node)]
+        case ast.Call(func=ast.Name(id=name)) if name in BLOCKED_CALLS:
+            return [f"call:{name}"]
+        case ast.Call(func=ast.Attribute(attr=method) as f):
+            whole = ast.unparse(f)
+            return [f"call:{whole}"] if whole in BLOCKED_DOTTED else [f"method:{method}"] if method in BLOCKED_METHODS else []
+        case ast.Attribute(value=ast.Name(id=root), attr=name) if root in BLOCKED_ROOTS:
+            return [f"attribute:{root}.{name}"]
+    return []
+
+
+def of_tree(code: str | None) -> list[str]:
+    """What the syntax tree of a piece of code violates; ``syntax`` alone if it has none."""
+    try:
+        tree = ast.parse(code or "")
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return ["syntax"]
+    return sorted({label for node in ast.walk(tree) for label in _labels(node) if label})
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def tree_violations(code: pd.Series) -> pd.Series:
+    return code.map(of_tree, na_action=None)
 
 
-def _labelled(names: Column, prefix: str) -> Column:
-    return F.transform(names, lambda m: F.concat(F.lit(prefix), F.lower(m)))
+def _barred(words: list[str], after: str, code: Column) -> Column:
+    return F.transform(F.array_distinct(F.regexp_extract_all(code, F.lit(rf"(?i){after}\s+({'|'.join(words)})\b"), 1)), lambda m: F.concat(F.lit("import:"), F.lower(m)))
 
 
 def violations(code: Column) -> Column:
-    """Sorted names of what a piece of code violates; an empty one is ``empty``.
+    """Sorted names of what a piece of code violates; an empty one is ``empty``, one that does not parse ``syntax``.
 
-    A line-based scan: imports outside the allowed modules (``module:x``), import
-    lines that name a barred one (``import:x``), barred calls (``call:x``) and
-    methods (``method:x``), and dangerous texts. Syntax is not parsed.
+    By the syntax tree: modules outside the allowed ones (``module:x``), barred calls
+    (``call:x``), methods (``method:x``) and attributes of modules (``attribute:m.x``), and files opened for
+    more than reading (``mode:x``, ``mode:?`` if that can't be told). By the text, as a second layer: import lines that name a
+    barred module (``import:x``), and dangerous texts, wherever they stand.
     """
     body = F.coalesce(code, F.lit(""))
-    lines = F.regexp_extract_all(body, F.lit(r"(?m)^[ \t]*import[ \t]+([\w., \t]+)"), 1)
-    plain = F.transform(F.flatten(F.transform(lines, lambda l: F.split(l, ","))), lambda m: F.regexp_extract(m, r"^\s*(\w+)", 1))
-    roots = F.array_distinct(F.concat(plain, _names(r"(?m)^[ \t]*from[ \t]+(\w+)", body)))
-    unknown = F.filter(roots, lambda m: (m != "") & ~m.isin(ALLOWED_MODULES))
-    barred = F.concat(_names(rf"(?i)import\s+({'|'.join(NO_IMPORT)})\b", body), _names(rf"(?i)from\s+({'|'.join(NO_FROM)})\b", body))
-    named = [(unknown, "module:"), (barred, "import:"), (_names(rf"(?<![\w.])({'|'.join(BLOCKED_CALLS)})\s*\(", body), "call:"), (_names(rf"\.({'|'.join(BLOCKED_METHODS)})\s*\(", body), "method:")]
-    lists = [_labelled(names, prefix) for names, prefix in named]
     texts = F.array_compact(F.array(*[F.when(body.rlike(f"(?i){pattern}"), F.lit(name)) for name, pattern in DANGEROUS.items()]))
-    found = F.array_sort(F.array_distinct(F.concat(*lists, texts)))
-    return F.when(F.trim(F.regexp_replace(body, r"\s+", " ")) == "", F.array(F.lit("empty"))).otherwise(found)
+    tree = tree_violations(body)
+    found = F.array_sort(F.array_distinct(F.concat(tree, _barred(NO_IMPORT, "import", body), _barred(NO_FROM, "from", body), texts)))
+    return F.when(F.trim(F.regexp_replace(body, r"\s+", " ")) == "", F.array(F.lit("empty"))).when(F.array_contains(tree, "syntax"), F.array(F.lit("syntax"))).otherwise(found)
 
 
 def unhashed_open(code: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -108,3 +108,16 @@ def valid_uuid(c: Column) -> Column:
 def cyclic(values: Column, index: Column) -> Column:
     """Element at an index that starts anew at the end of the list."""
     return F.get(values, F.pmod(index, F.size(values)).cast("int"))
+
+
+def markdown_sections(docs: DataFrame, text: str = "text", least: int = 60) -> DataFrame:
+    """``(doc, pos, title, body)``: sections at second and third level headings whose body has ``least`` characters, titles cut at 80; ``doc`` is the first level heading."""
+    heading = r"(?m)^#{2,3}\s+(.+)$"
+    s = docs.select(F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1).alias("doc"), F.regexp_extract_all(text, F.lit(heading), 1).alias("heads"), F.posexplode(F.split(text, r"(?m)^#{2,3}\s+.+$")).alias("pos", "body")).where("pos > 0")
+    return s.select("doc", "pos", F.substring(strip(F.get("heads", F.col("pos") - 1)), 1, 80).alias("title"), strip(F.col("body")).alias("body")).where(F.length("body") >= least)
+
+
+def natural(c: Column) -> list[Column]:
+    """Order of article numbers by their number, then text; those without a number last."""
+    number = F.regexp_extract(c, r"^[0-9]+", 0).try_cast("int")
+    return [number.isNull(), number, c]

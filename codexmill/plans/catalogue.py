@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import engine, legal, retrieval, rules, star, stateful, streams
+from . import engine, legal, retrieval, rules, star, stateful, streams, texts
 
-MODULES = [engine, star, retrieval, stateful, legal, rules, streams]
+MODULES = [engine, star, retrieval, stateful, legal, rules, streams, texts]
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _module in MODULES:

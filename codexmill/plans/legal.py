@@ -83,174 +83,3 @@ def url_host_and_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, trusted = F.col("host"), X.under(F.col("host"), ["example.net"])
     denied = F.exists(F.array(F.lit("ththr"), F.lit("m.")), lambda d: F.contains(h, d))
     return top_per_key(p, ["url"], [F.col("page_id")]).select("page_id", "host", trusted.alias("trusted"), (~denied).alias("allowed"), (F.when(trusted, 2).otherwise(0) + F.when(F.endswith(h, F.lit(".org")), 1).otherwise(0)).alias("preference"))
-
-
-@query("""
-SELECT * FROM (VALUES ('Panduan', 1, 'Awal', 72), ('Panduan', 3, 'Bagian dua', 60)) t(doc, pos, title, chars)
-""")
-def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections at second and third level headings of 60 characters or more, titles cut at 80."""
-    body = "# Panduan\npembuka\n## Awal\n" + "a" * 72 + "\n### Pendek\nkecil\n## Bagian dua\n" + "b" * 60 + "\n"
-    m = inline(spark, "text string", [(body,)])
-    heads = F.regexp_extract_all("text", F.lit(r"(?m)^#{2,3}\s+(.+)$"), 1)
-    parts = F.split("text", r"(?m)^#{2,3}\s+.+$")
-    s = m.select(F.regexp_extract("text", r"(?m)^#\s+(.+)$", 1).alias("doc"), heads.alias("heads"), F.posexplode(parts).alias("pos", "body")).where("pos > 0")
-    s = s.select("doc", "pos", F.substring(X.strip(F.get("heads", F.col("pos") - 1)), 1, 80).alias("title"), X.strip(F.col("body")).alias("body"))
-    return s.where(F.length("body") >= 60).select("doc", "pos", "title", F.length("body").alias("chars"))
-
-
-A1, A2, A3 = "Dalam aturan ini yang dimaksud dengan uji adalah uji.", "Setiap uji dilakukan oleh penguji yang ditunjuk khusus.", "Ketentuan lebih lanjut diatur dengan aturan pelaksana."
-STATUTE = f"UNDANG-UNDANG NOMOR 9 TAHUN 2031 TENTANG UJI\nMenimbang: {'pertimbangan ' * 18}\nBAB I\nKETENTUAN UMUM\nPasal 1\n{A1}\nBAB II\nPENGUJIAN\nBagian Kesatu\nUmum\nPasal 2.\n{A2}\nParagraf 1\nCara\nPasal 3 ..... 7\npendek\nPasal 3\n{A3}\nPasal 2\n{A1} ulang\nBAB III\nPENUTUP\nPasal 4\n{A3}\nPENJELASAN ATAS\nPasal 1\n{A2}\n"
-
-
-@query(f"""
-SELECT * FROM (VALUES (1, 'Konsiderans', 'Konsiderans', NULL), (1, 'Pasal 1', 'BAB I KETENTUAN UMUM', '{A1}'), (1, 'Pasal 2', 'BAB II PENGUJIAN · Bagian Kesatu Umum', '{A2}'),
- (1, 'Pasal 3', 'BAB II PENGUJIAN · Bagian Kesatu Umum · Paragraf 1 Cara', '{A3}'), (1, 'Pasal 4', 'BAB III PENUTUP', '{A3}')) t(id, article_number, hierarchy, body)
-""")
-def article_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A statute split into articles with their chapter, part and paragraph; first lines of the bodies."""
-    a = L.articles(inline(spark, "doc_id int, text string", [(1, STATUTE), (2, "tanpa penanda"), (3, None)]))
-    first = F.substring_index(F.regexp_replace("content", r"^\[[^\]]*\]\n", ""), "\n", 1)
-    return a.select("id", "article_number", "hierarchy", F.when(F.col("article_number") != "Konsiderans", first).alias("body"))
-
-
-@query("SELECT * FROM (VALUES (1, 5::bigint)) t(id, n)")
-def split_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preamble and four articles: short bodies, repeated numbers and the explanation do not count."""
-    return L.articles(inline(spark, "doc_id int, text string", [(1, STATUTE)])).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""
-SELECT * FROM (VALUES (1, 'UNDANG-UNDANG REPUBLIK NOMOR 8 TAHUN 2030', '8', '2030', 'PENGUJIAN MUTU', 2, 'Uji', 'Berlaku', 'https://x/UU%20Nomor%208%20Tahun%202030.pdf'),
- (2, 'PERATURAN DAERAH KOTA', NULL, NULL, NULL, 0, NULL, 'Dicabut', 'https://x/a.pdf'), (3, 'Unknown Law', NULL, NULL, NULL, 0, NULL, NULL, NULL)) t(id, name, number, year, subject, chapters, topic, status, link)
-""")
-def title_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = inline(spark, "id int, text string, page string, links array<string>", [
-        (1, "UNDANG-UNDANG REPUBLIK\nNOMOR 8 TAHUN 2030\nTENTANG\nPENGUJIAN MUTU\nDENGAN RAHMAT X\nMengingat: UU Nomor 1 Tahun 1999\nBAB I\nSubjek: Uji\nBAB II\nStatus\n Berlaku\n", "https://x/uu-no-8-tahun-2030", ["https://x/UU%20Nomor%207%20Tahun%202030.pdf", "https://x/UU%20Nomor%208%20Tahun%202030.pdf"]),
-        (2, "PERATURAN DAERAH KOTA\nmenimbang\nStatus: Dicabut", "https://x/lain", ["https://x/a.pdf", "https://x/b.pdf"]), (3, "catatan bebas", "https://x", [])])
-    return d.select("id", L.title(F.col("text")).alias("t"), L.labelled(F.col("text"), "Subjek").alias("topic"), L.labelled(F.col("text"), "Status").alias("status"), L.best_link(F.col("page"), F.col("links")).alias("link")).select("id", "t.*", "topic", "status", "link")
-
-
-OFFENCES = [
-    (1, "Pasal 7 (1) Setiap Orang dengan sengaja dan tanpa hak mengakses sistem milik orang lain dipidana dengan pidana penjara paling singkat 2 (dua) tahun dan paling lama 8 (delapan) tahun dan/atau denda paling banyak Rp800.000.000,00."),
-    (2, "Barang siapa mengambil barang milik orang lain diancam dengan pidana penjara paling lama lima tahun atau pidana kurungan paling lama 6 bulan"),
-    (3, "Setiap Orang yang melakukan perbuatan itu dipidana dengan pidana penjara seumur hidup atau pidana penjara paling singkat 18 bulan, pidana ditambah sepertiga"),
-    (4, "Ketentuan umum tentang uji."),
-    (5, None),
-    (6, "Perbuatan terlarang dipidana dengan pidana mati atau denda sebesar Rp 5.000"),
-]
-
-
-@query("""
-SELECT * FROM (VALUES (1, 'Setiap Orang', 'mengakses sistem milik orang lain', 'dengan sengaja,tanpa hak', 2.0::double, 8.0::double, FALSE, FALSE, NULL::double, 800000000.0::double, FALSE, 'dipidana'),
- (2, 'Barang siapa', 'mengambil barang milik orang lain', '', NULL, 5.0, FALSE, FALSE, 0.5, NULL, FALSE, 'diancam'),
- (3, 'Setiap Orang', 'melakukan perbuatan itu', '', 1.5, NULL, TRUE, FALSE, NULL, NULL, TRUE, 'dipidana'),
- (6, 'subjek tidak eksplisit', 'Perbuatan terlarang', '', NULL, NULL, FALSE, TRUE, NULL, 5000.0, FALSE, 'dipidana')) t(id, pelaku, perbuatan, sikap_batin, penjara_min, penjara_maks, seumur_hidup, pidana_mati, kurungan_maks, denda_rp, pemberatan, dipidana_di)
-""")
-def offence_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = inline(spark, "id int, content string", OFFENCES).select("id", L.elements(F.col("content")).alias("e")).where("e is not null").select("id", "e.*")
-    return e.withColumn("sikap_batin", F.array_join("sikap_batin", ","))
-
-
-R1, R2 = "terdakwa hadir di persidangan dan mengakui perbuatannya", "barang bukti telah disita secara sah menurut ketentuan"
-DECISIONS = [
-    ("a", 1, "Kepala", "x"), ("a", 2, "pertimbangan hukum", f"Pembuka. Menimbang, bahwa {R1}; Menimbang bahwa pendek; Menimbang, {R2} Pasal 112 ayat (1) UU No. 35 Tahun 2009"), ("a", 3, "amar putusan", "Menyatakan terdakwa terbukti secara sah dan meyakinkan bersalah melakukan uji; Menjatuhkan pidana penjara selama 4 tahun; melanggar Pasal 112"),
-    ("b", 1, "amar", "Membebaskan terdakwa dari dakwaan"), ("c", 1, "amar", "Menolak permohonan"), ("d", 1, "Kepala", "y"),
-]
-
-
-@query(f"""
-SELECT * FROM (VALUES ('a', '{R1};|{R2} Pasal 112 ayat (1) UU No. 35 Tahun 2009', 'Pasal 112 ayat (1) UU No. 35 Tahun 2009', TRUE, 'terbukti secara sah dan meyakinkan bersalah melakukan', 'Pasal 112', '4 tahun', 'menjatuhkan,menyatakan'),
- ('b', '', NULL, FALSE, 'membebaskan', '', NULL, 'membebaskan'), ('c', '', NULL, NULL, NULL, '', NULL, 'menolak'), ('d', '', NULL, NULL, NULL, NULL, NULL, NULL)) t(decision_id, ratio, pasal_pertimbangan, terbukti, status, pasal_amar, hukuman, diksi)
-""")
-def decision_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = L.holdings(inline(spark, "decision_id string, pos int, title string, content string", DECISIONS))
-    return h.withColumns({"ratio": F.array_join("ratio", "|")} | {c: F.array_join(c, ",") for c in ("pasal_pertimbangan", "pasal_amar", "diksi")})
-
-
-@query("SELECT * FROM (VALUES ('UU X', 'Pasal 1', 'KUHP', 'Pasal 55'), ('UU X', 'Pasal 1', 'UU Nomor 7', 'Pasal 3A'), ('UU X', 'Pasal 2', 'Undang-Undang No. 9/2001', 'Pasal 4')) t(law_name, article_number, to_law, to_article)")
-def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("UU X", "Pasal 1", "lihat Pasal 55 ayat (1) KUHP dan Pasal 55 KUHP serta Pasal 3A UU Nomor 7, juga Pasal 1 KUHP"), ("UU X", "Pasal 2", "Pasal 4 Undang-Undang No. 9/2001"), ("UU X", "Pasal 3", None)]
-    return L.cross_references(inline(spark, "law_name string, article_number string, content string", rows))
-
-
-@query("""
-SELECT * FROM (VALUES ('s1', 'Narkotika', 'Pasal 112'), ('s1', 'KUHP lama', 'Pasal 55'), ('s2', 'Narkotika', 'Pasal 1'), ('s2', 'Kepolisian', 'Pasal 3')) t(article_number, to_law, to_article)
-""")
-def decision_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("s1", "Pasal 112 ayat (1) UU RI Nomor 35 Tahun 2009 dan UU Nomor 35 Tahun 2009, Pasal 55 KUHP, Pasal 9 UU No. 4 Tahun 1900"), ("s2", "Mengingat UU No. 035 Tahun 2009 dan Pasal 3 Undang-Undang Nomor 2 Tahun 2002; UU Nomor 2 Tahun 2002"), ("s3", None)]
-    laws = [("35", "2009", "Narkotika"), ("1", "1946", "KUHP lama"), ("2", "2002", "Kepolisian")]
-    return L.decision_citations(inline(spark, "article_number string, content string", rows), inline(spark, "number string, year string, law_name string", laws))
-
-
-@query("""
-SELECT * FROM (VALUES (1, 'revokes', 'UU Nomor 5 Tahun 1999'), (1, 'revokes', 'UU Nomor 6 Tahun 2000'), (2, 'amends', 'UU Nomor 7 Tahun 2001'), (3, 'amended_by', 'UU Nomor 8 Tahun 2002'), (4, 'amends', 'UU Nomor 9 Tahun 2003')) t(id, relation, target)
-""")
-def amend_revoke(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [
-        (1, "Undang-undang ini mencabut UU Nomor 05 Tahun 1999. Undang-Undang Nomor 6 Tahun 2000 dinyatakan tidak berlaku.", "10", "2020"),
-        (2, "Mengubah beberapa ketentuan UU Nomor 7 Tahun 2001. Lihat pula UU Nomor 70 Tahun 2001.", "10", "2020"),
-        (3, "sebagaimana telah diubah dengan UU Nomor 8 Tahun 2002", "10", "2020"),
-        (4, "UU No. 9 Tahun 2003 diubah dengan undang-undang ini. Mencabut. UU Nomor 10 Tahun 2020 mengatur.", "10", "2020"),
-    ]
-    return L.relations(inline(spark, "id int, text string, own_number string, own_year string", rows))
-
-
-@query("SELECT * FROM (VALUES (1, ''), (2, '2015'), (3, '1998,2020'), (4, ''), (5, '')) t(id, years)")
-def event_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = inline(spark, "id int, q string", [(1, "isi UU Nomor 8 Tahun 1981"), (2, "uji pada 2015 menurut UU 19/2016"), (3, "dari 2020 kembali ke 1998, lalu 1900"), (4, "tidak ada"), (5, None)])
-    return q.select("id", F.array_join(F.transform(L.event_years(F.col("q")), lambda y: y.cast("string")), ",").alias("years"))
-
-
-@query("SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, FALSE), (4, FALSE)) t(id, matches)")
-def subject_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three of five words and all discriminating ones; two of five; a discriminating word missing; no subject."""
-    rows = [(1, ["alpha", "betas", "gamma", "delta", "epsil"], ["gamma"], "ALPHA betas GAMMA"), (2, ["alpha", "betas", "gamma", "delta", "epsil"], [], "alpha betas"), (3, ["alpha"], ["gamma"], "alpha"), (4, ["alpha"], [], None)]
-    return inline(spark, "id int, words array<string>, must array<string>, subject string", rows).select("id", L.subject_match(F.col("words"), F.col("must"), F.col("subject")).alias("matches"))
-
-
-@query("""
-SELECT * FROM (VALUES (1, NULL, 'materiil'), (2, 'too_few_articles', 'regulasi'), (3, 'identity', 'formil'), (4, 'subject', 'regulasi'), (5, 'obsolete', 'regulasi'), (6, 'duplicate', 'materiil'), (7, 'registered', 'regulasi')) t(id, reject_reason, category)
-""")
-def verify_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates pass checks in order; the first of an identity wins; known identities are rejected."""
-    rows = [(1, 9, "7", "2017", True, "Berlaku", "UU Narkotika"), (2, 4, "8", "2017", True, None, "UU X"), (3, 9, None, "2017", True, None, "Hukum Acara"), (4, 9, "9", "2017", False, None, "UU X"), (5, 9, "10", "2017", True, "Tidak Berlaku / Dicabut", "UU X"), (6, 9, "07", "2017", True, None, "UU Pidana"), (7, 9, "11", "2017", True, None, "UU X")]
-    c = inline(spark, "id int, n_articles int, number string, year string, subject boolean, status string, name string", rows)
-    known = inline(spark, "number string, year string", [("11", "2017")]).withColumn("known", F.lit(True))
-    c = c.withColumn("number", X.no_zeros(F.col("number"))).withColumn("nth", F.row_number().over(Window.partitionBy("number", "year").orderBy("id"))).join(known, ["number", "year"], "left")
-    reason = L.reject_reason(F.col("n_articles"), F.col("number").isNotNull() & F.col("year").isNotNull(), F.col("subject"), F.col("status"), F.col("nth") > 1, F.coalesce("known", F.lit(False)))
-    return c.select("id", reason.alias("reject_reason"), L.category(F.col("name")).alias("category"))
-
-
-@query("""
-SELECT * FROM (VALUES (1, 2::bigint, 1::bigint, 'Pasal 99', '', ''), (2, 1, 1, '', 'Pasal 5', 'Pasal 5 (UU 2020 > 2015)'), (3, 0, 0, '', '', '')) t(id, cited, verified, unverified, low_fidelity, anachronisms)
-""")
-def citation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = inline(spark, "id int, query string, summary string", [(1, "apa", "Menurut Pasal 005 pencurian barang dilarang. Juga Pasal 99 berlaku."), (2, "kejadian 2015", "Pasal 5 mengatur perkawinan campuran internasional."), (3, None, None)])
-    sources = inline(spark, "id int, law_name string, article_number string, content string", [(1, "UU Nomor 1 Tahun 1946", "Pasal 5", "Pencurian barang dilarang keras"), (2, "UU Nomor 3 Tahun 2020", "Pasal 5", "pencurian")])
-    return L.citation_audit(answers, sources)
-
-
-@query(r"""
-SELECT * FROM (VALUES (1, '7', 'a b', 'halo-dunia-2', 'x.org', 'a/b c', 'a.; b!', 0.8::double, 'ZWFz', 'c.txt', 1::bigint, 'uu nomor 7', '{"k": 1}'),
- (2, '0', '', '', '', NULL, '', 0.0, '', '', 0, 'abc', NULL)) t(id, zeros, collapsed, slug, host, decoded, sents, clamped, b64, base, tok, hint, json)
-""")
-def scalar_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One column a scalar function."""
-    r = inline(spark, "id int, n string, s string, t string, url string, enc string, sents string, score string, b string, path string, q string, j string", [
-        (1, "007", " a \t b ", "Halo, Dunia 2!", "https://www.x.org:80/p", "a%2Fb%20c", "a.; b!", "nilai 0.8", "eas", "a/b/c.txt", "isi UU Nomor 7 itu", 'x {"k": 1} y'), (2, "000", "", "--", "tanpa", None, "", "kosong", "", "", "abc", "none")])
-    return r.select(
-        "id",
-        X.no_zeros(F.col("n")).alias("zeros"),
-        X.collapse(F.col("s")).alias("collapsed"),
-        X.slug(F.col("t")).alias("slug"),
-        X.host(F.col("url")).alias("host"),
-        F.try_url_decode("enc").alias("decoded"),
-        F.array_join(X.sentences(F.col("sents")), " ").alias("sents"),
-        F.expr(r"greatest(0, least(1, coalesce(try_cast(nullif(regexp_extract(score, '[0-9]+(?:\\.[0-9]+)?', 0), '') as double), 0)))").cast("double").alias("clamped"),
-        F.base64(F.col("b").cast("binary")).alias("b64"),
-        F.element_at(F.split("path", "/"), -1).alias("base"),
-        F.ceil(F.length("b") / 4).alias("tok"),
-        F.coalesce(F.nullif(F.lower(F.regexp_extract("q", r"(?i)uu nomor \d+", 0)), F.lit("")), F.substring("q", 1, 60)).alias("hint"),
-        F.nullif(F.regexp_extract("j", r"(?s)\{.*\}", 0), F.lit("")).alias("json"),
-    )

@@ -59,12 +59,6 @@ def reranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reranked(c, "overlap", top=12).select("query_id", "id", "pos")
 
 
-@query("SELECT * FROM (VALUES (1, TRUE), (2, TRUE), (3, FALSE), (4, FALSE), (5, TRUE)) t(id, asks)")
-def case_law_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "Putusan MA soal bukti elektronik"), (2, "apakah ada YURISPRUDENSI"), (3, "isi pasal 12"), (4, None), (5, "doktrin  putusan")]
-    return inline(spark, "id int, q string", rows).select("id", R.asks_case_law(F.col("q")).alias("asks"))
-
-
 @query(f"""
 WITH {LEX_SQL}
 SELECT query_id, source AS law, doc_id % 7 AS article, doc_id % 7 = query_id // 50 % 7 AS cited FROM lex JOIN documents ON doc_id = id
@@ -103,26 +97,8 @@ def ranked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.select("request", F.row_number().over(w).alias("pos"), "page_id", "host").where("pos <= 5")
 
 
-@query("SELECT * FROM (VALUES (1, '2031-02-03T04:05'), (2, '2030-01-01'), (3, NULL), (4, NULL)) t(id, published)")
-def page_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, '<meta property="article:published_time" content="2031-02-03T04:05"><meta name="publishdate" content="x">'), (2, '<META name="publishdate" content="2030-01-01">'), (3, '<meta name="publishdate" content="">'), (4, None)]
-    return inline(spark, "id int, html string", rows).select("id", X.page_date(F.col("html")).alias("published"))
-
-
 # ---- laws and their relations
 
-@query("""
-SELECT * FROM (VALUES ('edge', 'A', 'REVOKES', 'B'), ('edge', 'A', 'AMENDS', 'C'), ('edge', 'D', 'AMENDS', 'A'), ('edge', 'E', 'AMENDS', 'A'),
- ('vertex', 'A', NULL, NULL), ('vertex', 'B', NULL, NULL), ('vertex', 'C', NULL, NULL), ('vertex', 'D', NULL, NULL), ('vertex', 'E', NULL, NULL)) t(kind, src, rel, dst)
-""")
-def relation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Law A revokes B, amends C and is amended by D; E amends it too; F has no relation."""
-    laws = inline(spark, "name string, revokes array<string>, amends array<string>, amended_by array<string>", [("A", ["B", "B"], ["C"], ["D"]), ("E", [], ["A"], None), ("F", [], [], [])])
-    e, v = graph.document_relations(laws)
-    none = F.lit(None).cast("string")
-    return e.select(F.lit("edge").alias("kind"), "src", "rel", "dst").unionByName(v.select(F.lit("vertex").alias("kind"), F.col("id").alias("src"), none.alias("rel"), none.alias("dst")))
-
-
 @query("""
 SELECT DISTINCT o_custkey::varchar AS src, (o_orderkey % 1500)::varchar AS dst FROM orders
 WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND o_orderkey % 1500 IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
@@ -154,21 +130,6 @@ def newer_than(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.newer_than(p)
 
 
-@query("""
-SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, TRUE), (4, TRUE), (5, TRUE), (6, FALSE), (7, TRUE), (8, FALSE)) t(id, matches)
-""")
-def node_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical with its own word and without; an alternative; the synonym; the plan's title; nothing; the source's subject where the law has none; an empty topic."""
-    rows = [
-        (1, "uu uji", "Undang-Undang tentang Pemberantasan Pengujian Barang", ["pengujian"], "x", "PEMBERANTASAN PENGUJIAN", None, None),
-        (2, "uu uji", "Undang-Undang tentang Pemberantasan Pengujian Barang", ["pengujian"], "x", "Pemberantasan Barang", None, None),
-        (3, "perikanan/kehutanan", None, None, "x", "Pengelolaan Kehutanan", None, None), (4, "Perkap/Perja", None, None, "x", "Peraturan Kepolisian Negara", None, None),
-        (5, "lainnya", None, None, "Hukum Pelayaran", "hukum pelayaran niaga", None, None), (6, "perikanan", None, None, "x", "kehutanan", "perikanan", None),
-        (7, "perikanan", None, None, "x", "", "Perikanan", "UU X"), (8, "", None, None, "", "perikanan", None, None)]
-    r = inline(spark, "id int, topic string, canonical string, must array<string>, title string, subject string, source string, name string", rows)
-    return r.select("id", L.node_match(*[F.col(c) for c in r.columns[1:]]).alias("matches"))
-
-
 @query(f"""
 SELECT p_partkey, array_to_string(list_filter(regexp_extract_all(lower(p_name), '[a-z]{{5,}}'), lambda w: w NOT IN {listed(L.TOPIC_STOPS)}), ',') AS words FROM part
 """)
@@ -176,13 +137,6 @@ def topic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", F.array_join(L.topic_words(F.col("p_name")), ",").alias("words"))
 
 
-@query("SELECT * FROM (VALUES (1, 'pengujian,barang', 'formil'), (2, 'mineral', 'yurisprudensi'), (3, '', 'regulasi'), (4, 'pelayaran', 'materiil'), (5, '', 'formil')) t(id, words, category)")
-def law_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of a law's subject and its category by code."""
-    rows = [(1, "Peraturan tentang tentang Pengujian Barang atas pengujian", "KUHAP2025"), (2, "Mineral", "PUTUSAN1"), (3, None, "KPK"), (4, "UU tentang X tentang Pelayaran Negara", "ITE"), (5, "tentang", "MILITER")]
-    return inline(spark, "id int, name string, code string", rows).select("id", F.array_join(L.subject_words(F.col("name")), ",").alias("words"), L.code_category(F.col("code")).alias("category"))
-
-
 @query("""
 WITH chunks AS (SELECT doc_id AS id, source AS law, doc_id % 7 AS article FROM documents), gold AS (SELECT item_id AS gold_id, 'SRC' || item_id % 5 AS kw, item_id % 7 AS article FROM benchmark)
 SELECT gold_id, min(id) AS id FROM gold JOIN chunks ON chunks.article = gold.article AND contains(lower(law), lower(kw)) GROUP BY gold_id
@@ -193,13 +147,6 @@ def gold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.gold_lookup(c, g)
 
 
-@query("SELECT * FROM (VALUES ('kuhp', 1.0::double), ('ite', 0.3), ('kdrt', 0.0), ('acara', 0.8), ('lain', 0.0)) t(node, score)")
-def node_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = inline(spark, "node string, canonical boolean", [("kuhp", True), ("ite", True), ("kdrt", True), ("acara", False), ("lain", False)])
-    expected = inline(spark, "node string, number string, year string", [("kuhp", "1", "2023"), ("ite", "11", "2008"), ("ite", "1", "2024"), ("kdrt", "23", "2004")])
-    return evaluation.node_scores(nodes, expected, inline(spark, "node string, number string, year string", [("kuhp", "1", "2023"), ("kuhp", "9", "1999"), ("ite", "1", "2023"), ("acara", "5", "2001")]))
-
-
 # ---- logs
 
 LOG_SQL = """
@@ -280,48 +227,3 @@ def merged_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, own = F.array(F.lit("BUILDING"), F.lit("MACHINERY")), F.array("c_mktsegment")
     colours = F.array(*[F.lit(c) for c in ("red", "green", "blue")])
     return load(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.array_distinct(F.concat(base, own)), ",").alias("domains"), F.array_join(F.concat(base, own), ",").alias("steps"), X.cyclic(colours, F.col("c_custkey")).alias("colour"))
-
-
-@query("SELECT * FROM (VALUES (1, 'a,b', 'x = 1'), (2, NULL, 'cut' || chr(10) || 'here'), (3, NULL, NULL), (4, '', 'k'), (5, NULL, NULL)) t(id, categories, code)")
-def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An array and an object in free text; an object cut off; text without any; an array without categories; null."""
-    rows = [(1, 'so [{"category": "a"}, {"x": 1}, {"category": "b"}] ', 'out {"code": "x = 1", "n": 2} end'), (2, "[1, 2", '{"n": 1, "code": "cut\\nhere'), (3, "none", "none"), (4, '[{"category": ""}]', '{"code": "k"}'), (5, None, None)]
-    r = inline(spark, "id int, a string, o string", rows)
-    return r.select("id", F.array_join(F.transform(X.json_objects(F.col("a"), "category string", "category"), lambda o: o["category"]), ",").alias("categories"), X.json_field(F.col("o"), "code").alias("code"))
-
-
-@query("SELECT * FROM (VALUES (1, TRUE), (2, TRUE), (3, TRUE), (4, FALSE), (5, FALSE), (6, TRUE)) t(id, valid)")
-def uuid_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forms of UUIDs, a short one, null, and one made here."""
-    rows = [(1, "12345678-1234-5678-1234-567812345678"), (2, "{12345678123456781234567812345678}"), (3, "urn:uuid:12345678-1234-5678-1234-56781234567F"), (4, "1234"), (5, None), (6, "new")]
-    value = F.when(F.col("v") == "new", F.uuid()).otherwise(F.col("v"))
-    return inline(spark, "id int, v string", rows).select("id", X.valid_uuid(value).alias("valid"))
-
-
-CODE = [
-    (1, "import csv, json\nfrom re import sub\nprint(1)", "hitung"),
-    (2, "import os, numpy\nos.environ['A']\neval('1')", "x"),
-    (3, "open('a.txt', 'w')", "baca bukti"),
-    (4, "  ", "x"),
-    (5, "from subprocess import run\nimport yaml\np.write_text('a')\nx = '../b'", "x"),
-    (6, "def _sha256(f): pass\nopen('/etc/x')  # sha256", "x"),
-    (7, None, None),
-]
-
-
-@query("""
-SELECT * FROM (VALUES (1, '', TRUE, FALSE), (2, 'call:eval,environment,import:os,module:os', FALSE, FALSE), (3, 'write_mode', FALSE, TRUE), (4, 'empty', FALSE, FALSE),
-  (5, 'import:subprocess,method:write_text,module:subprocess,module:yaml,path_traversal', FALSE, FALSE), (6, 'system_path', FALSE, FALSE), (7, 'empty', FALSE, FALSE)) t(id, violations, allowed, unhashed)
-""")
-def code_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = inline(spark, "id int, code string, description string", CODE).withColumn("v", guard.violations(F.col("code")))
-    return c.select("id", F.array_join("v", ",").alias("violations"), (F.size("v") == 0).alias("allowed"), guard.unhashed_open(F.col("code")).alias("unhashed"))
-
-
-@query("SELECT * FROM (VALUES (1, FALSE, FALSE), (2, FALSE, FALSE), (3, TRUE, TRUE), (4, FALSE, FALSE), (5, FALSE, FALSE), (6, FALSE, FALSE), (7, FALSE, FALSE)) t(id, needs, injected)")
-def custody_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the third speaks of evidence without a scaffold of its own."""
-    c = inline(spark, "id int, code string, description string", CODE)
-    code, description = F.col("code"), F.col("description")
-    led = guard.with_custody(code, description, F.lit("# custody"))
-    return c.select("id", guard.needs_custody(code, description).alias("needs"), F.coalesce(F.startswith(led, F.lit("# custody")), F.lit(False)).alias("injected"))

@@ -371,16 +371,6 @@ def pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").orderBy(F.col("p_retailprice").desc(), "p_partkey").offset(100).limit(50).select("p_partkey", "p_name")
 
 
-@query("""
-SELECT * FROM (VALUES ('1', 1), ('2', 2), ('2A', 3), ('10', 4), ('10B', 5), ('Konsiderans', 6), ('Penutup', 7)) t(article, pos)
-""")
-def natural_sort_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Article numbers by their number, then text; those without a number last."""
-    a = inline(spark, "article string", [("10B",), ("2",), ("Penutup",), ("10",), ("2A",), ("Konsiderans",), ("1",)])
-    number = F.expr("try_cast(regexp_extract(article, '^[0-9]+', 0) as int)")
-    return a.select("article", F.row_number().over(Window.orderBy(number.isNull(), number, "article")).alias("pos"))
-
-
 @query("""
 WITH p AS (SELECT c_custkey AS a, c_acctbal AS x, c_nationkey * 400.0 AS y FROM customer),
 near AS (SELECT p.a, q.a AS b, row_number() OVER (PARTITION BY p.a ORDER BY (p.x - q.x) ** 2 + (p.y - q.y) ** 2, q.a) AS r FROM p JOIN p q ON p.a <> q.a)

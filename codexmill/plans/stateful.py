@@ -29,19 +29,6 @@ def sliding_window_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.demand(load(spark, sf_dir, "events"), "user_id", "ts", 86400).select("event_id", "demand")
 
 
-HITS = [(1, "a", "POST", "/auth/login", 0.0), (2, "a", "POST", "/auth/login", 10.0), (3, "a", "POST", "/auth/login", 20.0), (4, "a", "POST", "/auth/login", 61.0), (5, "a", "POST", "/auth/login", 65.0), (6, "b", "POST", "/auth/login", 20.0), (7, "a", "GET", "/auth/login", 21.0), (8, "a", "POST", "/analyse", 22.0), (9, "a", "POST", "/analyse", 22.5), (10, "c", "POST", "/analyse", 0.0), (11, "c", "POST", "/analyse", 60.0), (12, "c", "POST", "/analyse", 60.5)]
-
-
-@query("""
-SELECT * FROM (VALUES (1::bigint, 1, TRUE, NULL::int), (2, 1, TRUE, NULL), (3, 1, FALSE, 41), (4, 1, TRUE, NULL), (5, 1, FALSE, 6), (6, 1, TRUE, NULL), (7, NULL, TRUE, NULL), (8, 2, TRUE, NULL), (9, 2, FALSE, 60), (10, 2, TRUE, NULL), (11, 2, FALSE, 1), (12, 2, TRUE, NULL)) t(id, rule, admitted, retry_after)
-""")
-def rate_limit_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two logins or one analysis a minute. Worked by hand: the rejected hit at 20 s is not recorded, so 61 s sees one hit (10 s); a hit exactly 60 s old still counts."""
-    hits = inline(spark, "id long, ip string, method string, path string, ts double", HITS)
-    rules = inline(spark, "rule int, method string, prefix string, max_hits int, window_s int", [(1, "POST", "/auth/login", 2, 60), (2, "POST", "/analyse", 1, 60), (3, "POST", "/", 100, 60)])
-    return audit.rate_limit(hits, rules).select("id", "rule", "admitted", "retry_after")
-
-
 #: Hits of users and the admissions a limiter makes of them, hit by hit: three errors and ten others in three days.
 LIMIT_SQL = """
 WITH RECURSIVE h AS (SELECT event_id AS id, user_id::varchar AS ip, CASE WHEN event_type = 'error' THEN 1 ELSE 2 END AS rule, CASE WHEN event_type = 'error' THEN 3 ELSE 10 END AS most, epoch_us(ts) AS us FROM events),
@@ -159,97 +146,4 @@ def bounded_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hops(e, inline(spark, "src long", [(10,), (20,), (30,)]), 5)
 
 
-EDGES = [("UU A", "CITES", "UU B"), ("UU A", "CITES", "UU B"), ("Putusan 1", "CITES", "UU B"), ("PP C", "CITES", "UU A"), ("PP C", "CITES", "PP C"), ("PP D", "CITES", "UU X")]
-
-
-@query("SELECT * FROM (VALUES ('UU B', 'SUPERIOR_TO', 'UU A'), ('UU A', 'SUPERIOR_TO', 'PP C'), ('UU X', 'SUPERIOR_TO', 'PP D')) t(src, rel, dst)")
-def hierarchy_superior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.superior(inline(spark, "src string, rel string, dst string", EDGES), lambda c: c.startswith("Putusan"))
-
-
-@query("""
-SELECT * FROM (VALUES ('edge', 'UU A', 'UU B'), ('edge', 'PP C', 'UU A'), ('edge', 'PP C', 'PP C'), ('vertex', 'UU A', NULL), ('vertex', 'PP C', NULL), ('vertex', 'UU B', NULL)) t(kind, src, dst)
-""")
-def merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of known sources; a missing target becomes a vertex."""
-    e, v = graph.merge_edges(inline(spark, "src string, rel string, dst string", EDGES), inline(spark, "id string", [("UU A",), ("PP C",)]), True)
-    return e.select(F.lit("edge").alias("kind"), "src", "dst").unionByName(v.select(F.lit("vertex").alias("kind"), F.col("id").alias("src"), F.lit(None).cast("string").alias("dst")))
-
-
 # ---- rules and metrics
-
-@query("""
-SELECT * FROM (VALUES ('free', 2048, 512, 'starter'), ('level1', 4096, 512, 'growth'), ('level2', 4096, 2048, 'full'), ('gold', 2048, 512, 'growth')) t(tier, num_ctx, num_predict, feature)
-""")
-def tier_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lesser of a tier's and the hardware's budget; an unknown tier is free. Features by score thresholds."""
-    # Context and generation lengths of the tiers.
-    tiers = inline(spark, "tier string, ctx int, predict int", [("free", 2048, 512), ("level1", 8192, 2048), ("level2", 16384, 4096)])
-    asked = inline(spark, "tier string, hw_ctx int, hw_predict int, score double", [("free", 4096, 2048, 0.2), ("level1", 4096, 512, 0.3), ("level2", 4096, 2048, 0.71), ("gold", 8192, 2048, 0.7)])
-    free = tiers.where("tier = 'free'").select(F.col("ctx").alias("free_ctx"), F.col("predict").alias("free_predict"))
-    j = asked.join(F.broadcast(tiers), "tier", "left").join(F.broadcast(free))
-    feature = F.when(F.col("score") < 0.3, "starter").when(F.col("score") <= 0.7, "growth").otherwise("full")
-    return j.select("tier", F.least("hw_ctx", F.coalesce("ctx", "free_ctx")).alias("num_ctx"), F.least("hw_predict", F.coalesce("predict", "free_predict")).alias("num_predict"), feature.alias("feature"))
-
-
-@query("SELECT * FROM (VALUES (1, 'no_evidence'), (2, 'weak_evidence'), (3, 'ungrounded_citations'), (4, NULL), (5, NULL)) t(question_id, abstained)")
-def abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No article; best score below 0.55; two citations or more and none verified."""
-    a = inline(spark, "question_id int, scores array<double>, cited int, verified int", [(1, [], 3, 0), (2, [0.2, 0.54], 3, 0), (3, [0.8], 2, 0), (4, [0.55, 0.1], 1, 0), (5, [0.9], 4, 1)])
-    best = F.coalesce(F.array_max("scores"), F.lit(0.0))
-    reason = F.when(F.size("scores") == 0, "no_evidence").when(best < 0.55, "weak_evidence").when((F.col("cited") >= 2) & (F.col("verified") == 0), "ungrounded_citations")
-    return a.select("question_id", reason.alias("abstained"))
-
-
-@query("SELECT 4::bigint AS n, 0.5::double AS hit_rate, 0.3333::double AS mrr, 0.6667::double AS covered_hit_rate, 0.75::double AS coverage")
-def gold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Worked by hand: ranks 1, 3, none and a hit beyond ten; three of four laws are registered; (1 + 1/3) / 4."""
-    gold = inline(spark, "question_id int, question string, law_number string, law_year string, pasal string", [(1, "x", "07", "2017", "12"), (2, "apa isi Nomor 9 Tahun 2001, yaitu Pasal 03B?", None, None, None), (3, "x", "5", "1999", "1"), (4, "x", "6", "2000", "8")])
-    results = inline(spark, "question_id int, rank int, law_name string, article_number string", [(1, 1, "UU Nomor 7 Tahun 2017", "Pasal 012"), (1, 2, "UU Nomor 7 Tahun 2017", "Pasal 12"), (2, 1, "UU Nomor 9 Tahun 2002", "Pasal 3"), (2, 3, "UU Nomor 9 Tahun 2001", "Pasal 3"), (3, 1, "UU Nomor 5 Tahun 1999", ""), (4, 11, "UU Nomor 6 Tahun 2000", "Pasal 8")])
-    registry = inline(spark, "number string, year string", [("7", "2017"), ("009", "2001"), ("6", "2000"), ("7", "2017")])
-    return evaluation.metrics(evaluation.first_hits(results, evaluation.gold_keys(gold)), registry, 10)
-
-
-@query("""
-SELECT * FROM (VALUES (1, TRUE, 0.5::double, 1.0::double, TRUE, TRUE, 'sikap'), (2, FALSE, 1.0, 0.5, FALSE, FALSE, 'pelaku,penjara,denda'), (3, FALSE, 0.0, 0.0, FALSE, FALSE, 'no_elements')) t(id, pelaku, recall, prec, penjara, denda, status)
-""")
-def element_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected against extracted elements: shares of the mens-rea phrases, equal bounds, fine at least as expected."""
-    g = inline(spark, "id int, want_pelaku string, want_sikap array<string>, want_max double, want_denda double, pelaku string, sikap array<string>, got_max double, got_denda double", [
-        (1, "orang", ["a", "b"], 8.0, 100.0, "setiap orang", ["a"], 8.0, 150.0), (2, "badan", ["a"], 8.0, 100.0, "setiap orang", ["a", "c"], 7.0, 50.0), (3, "orang", ["a"], 1.0, 1.0, None, None, None, None)])
-    common = F.size(F.array_intersect("want_sikap", F.coalesce("sikap", F.array().cast("array<string>"))))
-    got = F.coalesce(F.size(F.col("sikap")), F.lit(0))
-    s = g.select(
-        "id",
-        F.coalesce(F.contains("pelaku", F.col("want_pelaku")), F.lit(False)).alias("pelaku"),
-        F.when(F.size("want_sikap") == 0, 1.0).otherwise(common / F.size("want_sikap")).alias("recall"),
-        F.when(F.col("sikap").isNull(), 0.0).otherwise(common / F.greatest(got, F.lit(1))).alias("prec"),
-        F.coalesce(F.col("want_max") == F.col("got_max"), F.lit(False)).alias("penjara"),
-        F.coalesce(F.col("got_denda") >= F.col("want_denda"), F.lit(False)).alias("denda"),
-        F.col("sikap").isNull().alias("none"),
-    )
-    failing = F.array_compact(F.array(F.when(~F.col("pelaku"), "pelaku"), F.when(F.col("recall") < 1, "sikap"), F.when(~F.col("penjara"), "penjara"), F.when(~F.col("denda"), "denda")))
-    return s.withColumn("status", F.when(F.col("none"), "no_elements").when(F.size(failing) == 0, "ok").otherwise(F.array_join(failing, ","))).drop("none")
-
-
-@query("SELECT * FROM (VALUES (1, 'example.org', 1.0::double, 255), (2, NULL, 0.5, 3), (3, 'a.b', 0.5, 4)) t(id, source_domain, verification_score, name_chars)")
-def registry_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registry rows: third slash token of the url, score by verification, name cut at 255."""
-    r = inline(spark, "id int, url string, verified boolean, law_name string", [(1, "https://example.org/x/y", True, "n" * 300), (2, "nothing", False, "abc"), (3, "http://a.b", None, "abcd")])
-    return r.select("id", F.get(F.split("url", "/"), F.lit(2)).alias("source_domain"), F.when(F.col("verified"), 1.0).otherwise(0.5).alias("verification_score"), F.length(F.substring("law_name", 1, 255)).alias("name_chars"))
-
-
-@query("SELECT * FROM (VALUES ('x', 2::bigint, 0.55::double, 1::bigint, 'gap_detected'), ('y', 1, 0.9, 0, 'completed')) t(node, n, mean, gaps, status)")
-def self_eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quiz scores read from free text, clamped; the mean decides, and low answers are gaps."""
-    q = inline(spark, "node string, answer string", [("x", "score: 0.9 of 1"), ("x", "about 0.2"), ("y", "0.9")])
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.expr(r"coalesce(try_cast(nullif(regexp_extract(answer, '[0-9]+(?:\\.[0-9]+)?', 0), '') as double), 0.0)")))
-    g = q.withColumn("score", score).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 3).alias("mean"), F.count_if(F.col("score") < 0.7).alias("gaps"))
-    return g.withColumn("status", F.when(F.col("mean") >= 0.7, "completed").otherwise("gap_detected"))
-
-
-@query("SELECT * FROM (VALUES (1, 30::bigint), (2, NULL), (3, NULL), (4, NULL)) t(id, eta_s)")
-def eta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seconds left at the pace so far; null unless 0 < done < total."""
-    j = inline(spark, "id int, elapsed double, done int, total int", [(1, 10.0, 1, 4), (2, 10.0, 0, 4), (3, 10.0, 4, 4), (4, 10.0, None, 4)])
-    return j.select("id", F.when((F.col("done") > 0) & (F.col("done") < F.col("total")), F.round(F.try_divide("elapsed", "done") * (F.col("total") - F.col("done"))).cast("long")).alias("eta_s"))
