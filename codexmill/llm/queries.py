@@ -50,7 +50,7 @@ WITH lab AS (
          try_cast(regexp_extract(url, '/([0-9]+)', 1) AS bigint) AS doc_id
   FROM pages
 ), sites AS (
-  SELECT p.*, l.good, regexp_replace(regexp_replace(host, '(?s)\A.*@', ''), ':[0-9]*\z', '') AS site FROM parsed p LEFT JOIN lab l USING (doc_id)
+  SELECT p.*, l.good, regexp_replace(regexp_replace(host, '(?s)\A.*@', ''), '\.?(:[0-9]*)?\z', '') AS site FROM parsed p LEFT JOIN lab l USING (doc_id)
 ), seen AS (
   SELECT *, CASE WHEN regexp_matches(site, '\A[0-9]+(\.[0-9]+){3}\z') THEN site WHEN regexp_matches(site, '(^|\.)(ac|co|com|edu|go|gob|gouv|gov|mil|ne|net|nom|or|org|sch)\.[a-z]{2}\z') THEN regexp_extract(site, '([^.]*\.)?[^.]*\.[^.]*\z', 0)
               ELSE regexp_extract(site, '([^.]*\.)?[^.]*\z', 0) END AS domain,

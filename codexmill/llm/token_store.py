@@ -318,19 +318,27 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = True) -> Dat
     return wanted.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
+#: Positions of a segment that are looked up in one row.
+AT_ONCE = 4096
+
+
 def tokens_at(spark: SparkSession, path: str, positions: DataFrame, position: str = "position") -> DataFrame:
     """``positions`` with ``token_id``: random access, by one rank a level; null outside of the store.
 
     A position joins its segment by the segment's number in the sorted list of
     starts, which has one row a segment (about one for a quarter million tokens).
+    Distinct positions of a segment go to Python ``AT_ONCE`` at most in a row, so a
+    segment that is asked often is dealt to many rows. Other columns are kept as
+    they are, whatever their names; one named ``token_id`` is replaced.
     """
-    rows = segments(spark, path).withColumn("end", F.col("start") + F.col("n_tokens"))
+    asked = positions.select(F.struct("*").alias("_row"), F.col(f"`{position}`").cast("long").alias("_p"))
+    rows = segments(spark, path).withColumn("_end", F.col("start") + F.col("n_tokens"))
     width = SEGMENT_TOKENS
-    spans = rows.select("start", "end", "levels", "continues", "ranks", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("_slot"))
-    asked = positions.withColumn("_slot", F.floor(F.col(position) / width))
-    near = F.broadcast(spans.select("start", "end", "_slot")) if rows.count() < 100_000 else spans.select("start", "end", "_slot")
-    found = asked.join(near, (asked["_slot"] == near["_slot"]) & (F.col(position) >= F.col("start")) & (F.col(position) < F.col("end")), "left").drop("_slot", "end")
-    by_segment = found.groupBy("start").agg(F.collect_set(position).alias("_at")).where("start is not null")
+    spans = rows.select("start", "_end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("_end") - 1) / width))).alias("_slot"))
+    near = F.broadcast(spans) if rows.count() < 100_000 else spans
+    once = asked.select("_p").where("_p is not null").distinct().withColumn("_slot", F.floor(F.col("_p") / width))
+    found = once.join(near, "_slot").where("_p >= start and _p < _end")
+    lists = found.groupBy("start", F.floor(F.col("_p") / AT_ONCE)).agg(F.collect_list("_p").alias("_at")).select("start", "_at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,5 +346,5 @@ def tokens_at(spark: SparkSession, path: str, positions: DataFrame, position: st
                 ids = [token(r["levels"], r["continues"], r["ranks"], p - r["start"]) for p in r["_at"]]
                 yield pa.RecordBatch.from_arrays([pa.array(r["_at"], pa.int64()), pa.array(ids, pa.int64())], names=["_p", "token_id"])
 
-    got = by_segment.join(rows.select("start", "levels", "continues", "ranks"), "start").mapInArrow(run, "_p long, token_id long")
-    return positions.join(got, positions[position] == got["_p"], "left").drop("_p")
+    got = lists.join(rows.select("start", "levels", "continues", "ranks"), "start").mapInArrow(run, "_p long, token_id long")
+    return asked.join(got, "_p", "left").select(*[F.col("_row")[c].alias(c) for c in positions.columns if c != "token_id"], "token_id")

@@ -48,8 +48,8 @@ def path_of(url: Column) -> Column:
 
 
 def site_of(host: Column) -> Column:
-    """The host without user info and port."""
-    return F.regexp_replace(F.regexp_replace(host, r"(?s)\A.*@", ""), r":[0-9]*\z", "")
+    """The host without user info, port and the final dot of a full name."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)\A.*@", ""), r"\.?(:[0-9]*)?\z", "")
 
 
 def suffix(site: Column) -> Column:

@@ -80,6 +80,8 @@ def test_reputation_shrinks(spark):
 
 def test_reputation_levels(spark):
     """Port and user info are no part of a level; domains of a country's second level are apart; an address is its own domain."""
+    dots = [tuple(r) for r in spark.createDataFrame([("a.example.com.",), ("b.other.com.:80",), (".",)], "h string").select(url_filter.registered_domain(url_filter.site_of(F.col("h"))), url_filter.suffix(url_filter.site_of(F.col("h")))).collect()]
+    assert dots == [("example.com", "com"), ("other.com", "com"), ("", "")]
     hosts = ["a.co.uk", "x.a.co.uk:80", "u@b.co.uk", "b.com", "1.2.3.4:8", "co.uk", "", "[::1]:5", "w.b.com\n"]
     rows = spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "i int, h string")
     site = url_filter.site_of(F.col("h"))
@@ -243,6 +245,9 @@ def test_store(spark, tmp_path):
     asked = [0, 1, len(ids) - 1, len(ids), -1, len(ids) // 2, len(ids) // 3]
     found = token_store.tokens_at(spark, f"{tmp_path}/s", spark.createDataFrame([(p,) for p in asked], "position long")).collect()
     assert {r.position: r.token_id for r in found} == {p: ids[p] if 0 <= p < len(ids) else None for p in asked}
+    clashing = spark.createDataFrame([(p, 1, 2, "l", -5, 7, 8) for p in [*range(len(ids)), 3, None]], "at long, start long, `end` long, levels string, _p long, token_id long, position long")
+    found = token_store.tokens_at(spark, f"{tmp_path}/s", clashing, "at").collect()
+    assert Counter((r["at"], r.token_id) for r in found) == Counter([*enumerate(ids), (3, ids[3]), (None, None)]) and {(r.start, r.end, r.levels, r._p, r.position) for r in found} == {(1, 2, "l", -5, 8)}
 
 
 def test_ids_by_word_on_random_texts():
