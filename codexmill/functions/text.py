@@ -50,13 +50,20 @@ def chunks(c: Column, size: int = 500, step: int = 450, limit: int | None = None
 
 
 def rejoin(pieces: Column, overlap: int = 200) -> Column:
-    """Pieces joined where the longest end, up to ``overlap``, equals the next one's start."""
-    def add(text: Column, nxt: Column) -> Column:
-        most = F.least(F.lit(overlap), F.length(nxt), F.length(text))
-        k = F.array_max(F.filter(F.sequence(F.lit(0), most), lambda i: F.endswith(text, F.substr(nxt, F.lit(1), i))))
-        return F.concat(text, F.substr(nxt, k + 1, F.length(nxt)))
+    """Pieces joined where the longest end of the text so far, up to ``overlap``, equals the next one's start.
 
-    return F.aggregate(pieces, F.lit(""), add)
+    Of the text so far only its last ``overlap`` characters go from piece to piece, and
+    what each piece adds is joined once at the end.
+    """
+    none = F.array().cast("array<int>")
+
+    def step(state: Column, piece: Column) -> Column:
+        most = F.least(F.lit(overlap), F.length(piece), F.length(state["tail"]))
+        k = F.array_max(F.filter(F.sequence(F.lit(0), most), lambda i: F.endswith(state["tail"], F.substr(piece, F.lit(1), i))))
+        return F.struct(F.right(F.concat(state["tail"], F.substr(piece, k + 1, F.length(piece))), F.lit(overlap)).alias("tail"), F.array_append(state["cuts"], k).alias("cuts"))
+
+    cuts = F.aggregate(pieces, F.struct(F.lit("").alias("tail"), none.alias("cuts")), step)["cuts"]
+    return F.array_join(F.zip_with(pieces, cuts, lambda p, k: F.substr(p, k + 1, F.length(p))), "")
 
 
 def chunk_id(law: Column, article: Column, index: Column) -> Column:

@@ -105,7 +105,7 @@ def rate_limit(hits: DataFrame, rules: DataFrame) -> DataFrame:
     from .keyed import top_per_key
 
     fits = (F.col("method") == F.col("_method")) & F.startswith("path", "prefix")
-    ruled = top_per_key(hits.join(F.broadcast(rules.withColumnRenamed("method", "_method")), fits, "left"), ["id"], [F.col("rule").asc_nulls_last()])
+    ruled = top_per_key(hits.join(rules.withColumnRenamed("method", "_method"), fits, "left"), ["id"], [F.col("rule").asc_nulls_last()])
     schema = "id long, ip string, rule int, admitted boolean, retry_after int"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -16,19 +16,23 @@ def grams(text: Column, q: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1))
 
 
-def contained(patterns: DataFrame, pattern: str, texts: DataFrame, text: str, q: int = 3) -> DataFrame:
-    """Distinct ``(pattern, text)`` of which the text holds the pattern, whatever the case.
+def contained(patterns: DataFrame, pattern: str, texts: DataFrame, key: str, text: str, q: int = 3) -> DataFrame:
+    """Distinct ``(pattern, key)`` of which the text of ``key`` holds the pattern, whatever the case.
 
-    Patterns shorter than ``q`` are filed by their own length, so there are at most ``q`` passes
-    over a text; an empty pattern is in every text that is not null, and nulls are in none.
+    Patterns shorter than ``q`` are filed by their own length, so a text is walked at most ``q``
+    times; an empty pattern is in every text that is not null, and nulls are in none. Only
+    keys and grams are dealt; texts join the pairs that met.
     """
-    p = patterns.select(pattern).where(F.col(pattern).isNotNull()).distinct().withColumn("_low", F.lower(pattern)).withColumn("_q", F.least(F.lit(q), F.length("_low")))
-    t = texts.select(text).where(F.col(text).isNotNull()).distinct().withColumn("_text", F.lower(text))
-    seeds = p.where("_q > 0").withColumn("_gram", F.explode(F.array_distinct(F.filter(F.flatten(F.array(*[F.when(F.col("_q") == n, grams(F.col("_low"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, q + 1)])), lambda g: g != ""))))
+    p = patterns.select(F.col(pattern).alias("_pattern")).where("_pattern is not null").distinct().withColumn("_low", F.lower("_pattern")).withColumn("_q", F.least(F.lit(q), F.length("_low")))
+    t = texts.select(F.col(key).alias("_key"), F.lower(text).alias("_text")).where("_text is not null")
+    none = F.array().cast("array<string>")
+    own = F.coalesce(*[F.when(F.col("_q") == n, grams(F.col("_low"), n)) for n in range(1, q + 1)], none)
+    seeds = p.withColumn("_gram", F.explode(F.array_distinct(own)))
     usual = seeds.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = F.row_number().over(Window.partitionBy(pattern).orderBy("_n", "_gram"))
-    seeds = seeds.join(usual, "_gram").withColumn("_nth", rarest).where("_nth = 1").select(pattern, "_low", "_gram")
-    held = t.select(text, "_text", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("_text"), n) for n in range(1, q + 1)])))).alias("_gram"))
-    pairs = held.join(seeds, "_gram").where(F.contains("_text", F.col("_low"))).select(pattern, text)
-    everywhere = p.where("_q = 0").select(pattern).limit(1).join(t.select(text))
-    return pairs.unionByName(everywhere.select(pattern, text))
+    rarest = F.row_number().over(Window.partitionBy("_pattern").orderBy("_n", "_gram"))
+    seeds = seeds.join(usual, "_gram").withColumn("_nth", rarest).where("_nth = 1").select("_pattern", "_low", "_gram")
+    held = t.select("_key", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("_text"), n) for n in range(1, q + 1)])))).alias("_gram"))
+    met = held.join(seeds, "_gram").select("_key", "_pattern", "_low").distinct()
+    pairs = met.join(t, "_key").where(F.contains("_text", F.col("_low"))).select("_pattern", "_key")
+    everywhere = p.where("_q = 0").select("_pattern").limit(1).join(t.select("_key"))
+    return pairs.unionByName(everywhere).distinct().select(F.col("_pattern").alias(pattern), F.col("_key").alias(key))

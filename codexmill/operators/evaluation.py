@@ -74,7 +74,7 @@ def gold_lookup(chunks: DataFrame, gold: DataFrame) -> DataFrame:
     """
     first = chunks.groupBy("law_name", "article_number").agg(F.min("id").alias("id"))
     names, words = first.select("law_name").distinct(), gold.select("law_keyword").distinct()
-    meant = contained(words, "law_keyword", names, "law_name")
+    meant = contained(words, "law_keyword", names, "law_name", "law_name")
     return gold.join(meant, "law_keyword").join(first, ["law_name", "article_number"]).groupBy("gold_id").agg(F.min("id").alias("id"))
 
 

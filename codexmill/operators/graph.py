@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from .keyed import insert_if_absent, symmetric
 
 
@@ -28,20 +31,22 @@ def isolated(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return nodes.join(ends, key, "left_anti").join(ends.limit(1).select(F.lit(1).alias("_any")), how="left_semi")
 
 
-def hops(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
+def hops(edges: DataFrame, sources: DataFrame, depth: int, tenant: str | None = None) -> DataFrame:
     """``(src, node, hops)``: fewest undirected hops, up to ``depth``, from each source.
 
     A frontier join a hop; nodes reached before are left out, so a step costs the
-    frontier's edges, not all paths.
+    frontier's edges, not all paths. Each frontier is written, so the plan of a step is
+    one join. With ``tenant``, a column of both tables, a source walks only its tenant's edges.
     """
-    both = symmetric(edges, "a", "b")
-    seen = sources.select("src", F.col("src").alias("node"), F.lit(0).alias("hops"))
-    frontier = seen
+    scope = [tenant] if tenant else []
+    both = edges.select("a", "b", *scope).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *scope)).distinct()
+    frontiers = [written(sources.select("src", *scope, F.col("src").alias("node"), F.lit(0).alias("hops")), "frontier")]
     for step in range(1, depth + 1):
-        reached = frontier.join(both, F.col("node") == F.col("a")).select("src", F.col("b").alias("node")).distinct()
-        frontier = reached.join(seen.select("src", "node"), ["src", "node"], "left_anti").withColumn("hops", F.lit(step))
-        seen = seen.unionByName(frontier)
-    return seen
+        seen = reduce(DataFrame.unionByName, frontiers)
+        reached = frontiers[-1].withColumnRenamed("node", "a").join(both, ["a", *scope]).select("src", *scope, F.col("b").alias("node")).distinct()
+        new = reached.join(seen.select("src", "node"), ["src", "node"], "left_anti").withColumn("hops", F.lit(step))
+        frontiers.append(written(new.select(frontiers[0].columns), "frontier"))
+    return reduce(DataFrame.unionByName, frontiers).select("src", "node", "hops")
 
 
 def document_relations(laws: DataFrame) -> tuple[DataFrame, DataFrame]:

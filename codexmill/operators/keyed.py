@@ -45,10 +45,9 @@ def insert_if_absent(base: DataFrame, delta: DataFrame, keys: list[str]) -> Data
 def first_match(items: DataFrame, rules: DataFrame, matches: Column, item_keys: list[str], rank: list[str]) -> DataFrame:
     """Each item with the first rule that matches, by ``rank``; items that none matches have nulls.
 
-    ``rules`` is a small curated table and is broadcast; an item meets a rule by
-    any predicate.
+    An item meets a rule by any predicate; Spark broadcasts the side that it finds small.
     """
-    hits = items.select(*item_keys, *[c for c in items.columns if c not in item_keys]).join(F.broadcast(rules), matches, "left")
+    hits = items.select(*item_keys, *[c for c in items.columns if c not in item_keys]).join(rules, matches, "left")
     return top_per_key(hits, item_keys, [F.col(c).asc_nulls_last() for c in rank])
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.semi import optional as optional_field
 from .vectors import exact
 
 K1, B = 1.5, 0.75
@@ -99,7 +100,7 @@ def dense_lsh(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str,
     """
     v = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("_v"), F.explode(lsh_keys(F.col(vector), bits, tables, width)).alias("bucket"))
     q = queries.select("query_id", F.col("vector").alias("_q"), F.explode(lsh_keys(F.col("vector"), bits, tables, width)).alias("bucket"))
-    near = v.join(F.broadcast(q), "bucket").dropDuplicates(["query_id", "id"])
+    near = v.join(q, "bucket").dropDuplicates(["query_id", "id"])
     found = ranked(near.select("query_id", "id", cosine(F.col("_q"), F.col("_v")).alias("score")), "score", top)
     full = found.where(F.col("rank") == top - 1).select("query_id")
     short = queries.join(full, "query_id", "left_anti")
@@ -197,8 +198,8 @@ def embed(rows: DataFrame, kind: str, embedder: str = "hash", id_col: str = "id"
     return chosen.mapInPandas(run, f"`{id_col}` {chosen.schema[id_col].dataType.simpleString()}, vector array<double>")
 
 
-def hybrid(lexical: DataFrame, near: DataFrame, meta: DataFrame, boosts: DataFrame, case_law_queries: DataFrame, n: int = 12, floor: float = 0.72, admitted: int = 10, pin_at: float = 0.08, rerank=identity_rerank, rerank_top: int = 48) -> DataFrame:
-    """The assembled result of each query: ``(query_id, pos, id, law, article, score)``.
+def hybrid(lexical: DataFrame, near: DataFrame, meta: DataFrame, boosts: DataFrame, case_law_queries: DataFrame, n: int = 12, floor: float = 0.72, admitted: int = 10, pin_at: float = 0.08, rerank=identity_rerank, rerank_top: int = 48, optional: dict[str, str] | None = None) -> DataFrame:
+    """The assembled result of each query: ``(query_id, pos, id, law, article, score)`` and the ``optional`` fields.
 
     Fused candidates in order of score; the best ``rerank_top`` are ordered anew by
     ``rerank``; case law goes last unless the query asks for it; ids whose mention
@@ -206,7 +207,9 @@ def hybrid(lexical: DataFrame, near: DataFrame, meta: DataFrame, boosts: DataFra
     left out; a purely lexical one needs a pin or a lexical rank below ``admitted``
     and reports ``floor``. Of each (law, article) the first stays; the first ``n``.
 
-    ``meta``: id, law, article, case_law (boolean) and what ``rerank`` needs.
+    ``meta``: id, law, article, case_law (boolean) and what ``rerank`` needs; with
+    ``optional``, names and types of fields, also ``extra``, a JSON text that may hold them: what is absent,
+    malformed or of another type is null.
     ``boosts``: query_id, id, boost, mention (boolean). ``case_law_queries``: query_id.
     """
     fused = fuse([lexical, near], boosts)
@@ -222,4 +225,5 @@ def hybrid(lexical: DataFrame, near: DataFrame, meta: DataFrame, boosts: DataFra
     order = [~F.col("pinned"), last, F.col("_again")]
     kept = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("query_id", "law", "article").orderBy(*order))).where("_nth = 1")
     kept = kept.withColumn("pos", F.row_number().over(by_query(*order))).where(F.col("pos") <= n)
-    return kept.select("query_id", "pos", "id", "law", "article", F.round(F.greatest(F.coalesce("cos", F.lit(floor)), F.lit(floor)), 3).alias("score"))
+    more = [optional_field(F.col("extra"), field, kind).alias(field) for field, kind in (optional or {}).items()]
+    return kept.select("query_id", "pos", "id", "law", "article", F.round(F.greatest(F.coalesce("cos", F.lit(floor)), F.lit(floor)), 3).alias("score"), *more)

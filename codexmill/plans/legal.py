@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import inline, load
-from ..functions import legal as L
+from ..catalog import load
 from ..functions import text as X
 from ..operators.keyed import top_per_key
 
@@ -37,22 +36,17 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (
-  SELECT doc_id, text FROM documents WHERE length(text) > 0 AND NOT regexp_matches(text, '^\\s|\\s$') AND length(text) % 450 > 60
-  AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(0, length(text) // 450 + 1)) AS i) WHERE regexp_matches(substr(text, i * 450 + 1, 1), '^\\s$') OR regexp_matches(substr(text, i * 450 + 500, 1), '^\\s$'))
-), p AS (
-  SELECT doc_id, text, list_transform(range(0, ceil(length(text) / 450)::bigint), lambda i: substr(text, i * 450 + 1, 500)) AS pieces FROM d
+WITH p AS (
+  SELECT doc_id, text, list_filter(list_transform(range(0, ceil(length(text) / 450)::bigint), lambda i: regexp_replace(substr(text, i * 450 + 1, 500), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS pieces FROM documents WHERE length(text) > 0
 ), j AS (
-  SELECT doc_id, text, list_reduce(pieces, lambda x, y: x || substr(y, list_max(list_filter(range(0, least(200, length(x), length(y)) + 1), lambda k: suffix(x, left(y, k)))) + 1)) AS again FROM p
+  SELECT doc_id, text, list_reduce(pieces, lambda x, y: x || substr(y, list_max(list_filter(range(0, least(200, length(x), length(y)) + 1), lambda k: suffix(x, left(y, k)))) + 1), '') AS again FROM p
 )
-SELECT doc_id, length(text)::int AS chars, regexp_replace(text, '\\s', '', 'g') = regexp_replace(again, '\\s', '', 'g') AS same FROM j
+SELECT doc_id, length(text)::int AS chars, md5(again) AS again, regexp_replace(text, '\\s', '', 'g') = regexp_replace(again, '\\s', '', 'g') AS same FROM j
 """)
 def rejoin_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether chunks joined again give the text, where no chunk edge is white space; a text that repeats itself at an edge may not."""
-    d = load(spark, sf_dir, "documents").where("length(text) > 0").where(r"not text rlike '^\\s|\\s$' and length(text) % 450 > 60")
-    edge = F.exists(F.sequence(F.lit(0), F.floor(F.length("text") / 450).cast("int")), lambda i: F.substr("text", i * 450 + 1, F.lit(1)).rlike(r"^\s$") | F.substr("text", i * 450 + 500, F.lit(1)).rlike(r"^\s$"))
-    whole = d.where(~edge).select("doc_id", "text", X.rejoin(X.chunks(F.col("text"))).alias("again"))
-    return whole.select("doc_id", F.length("text").alias("chars"), (F.regexp_replace("text", r"\s", "") == F.regexp_replace("again", r"\s", "")).alias("same"))
+    """Chunks of all texts joined again, and whether that gives the text but for white space: not where a text repeats itself, or has white space, at a chunk's edge."""
+    d = load(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", "text", X.rejoin(X.chunks(F.col("text"))).alias("again"))
+    return d.select("doc_id", F.length("text").alias("chars"), F.md5("again").alias("again"), (F.regexp_replace("text", r"\s", "") == F.regexp_replace("again", r"\s", "")).alias("same"))
 
 
 @query(r"""

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..catalog import inline, load
-from ..functions import guard
+from ..catalog import load
 from ..functions import legal as L
 from ..functions import text as X
-from ..operators import audit, evaluation, graph
+from ..operators import audit, containment, evaluation, graph
 from ..operators import retrieval as R
 from ..operators.keyed import top_per_key
 from .retrieval import LEX_SQL, STOPS_SQL, lexical, questions
@@ -137,6 +136,18 @@ def topic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", F.array_join(L.topic_words(F.col("p_name")), ",").alias("words"))
 
 
+@query("""
+WITH p AS (SELECT DISTINCT pattern FROM (SELECT lower(left(text, 24)) AS pattern FROM benchmark UNION ALL SELECT unnest(string_split(p_name, ' ')) FROM part UNION ALL SELECT left(text, 16) FROM conversations) WHERE pattern <> '')
+SELECT pattern, doc_id FROM p JOIN documents ON contains(lower(text), lower(pattern))
+""")
+def contained_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold the beginnings of benchmark items and conversations, or words of parts' names, in either case."""
+    words = load(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("pattern"))
+    starts = load(spark, sf_dir, "benchmark").select(F.lower(F.substring("text", 1, 24)).alias("pattern")).union(load(spark, sf_dir, "conversations").select(F.substring("text", 1, 16)))
+    patterns, docs = words.union(starts).where("pattern <> ''"), load(spark, sf_dir, "documents").select("doc_id", "text")
+    return containment.contained(patterns, "pattern", docs, "doc_id", "text")
+
+
 @query("""
 WITH chunks AS (SELECT doc_id AS id, source AS law, doc_id % 7 AS article FROM documents), gold AS (SELECT item_id AS gold_id, 'SRC' || item_id % 5 AS kw, item_id % 7 AS article FROM benchmark)
 SELECT gold_id, min(id) AS id FROM gold JOIN chunks ON chunks.article = gold.article AND contains(lower(law), lower(kw)) GROUP BY gold_id
@@ -211,9 +222,9 @@ SELECT count(*) AS regions, sum(laws)::bigint AS laws FROM r WHERE nth > 20
 """)
 def overflow_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laws of the regions beyond the twenty that are drawn."""
-    r = load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_set("c_custkey").alias("laws"))
-    drawn = r.orderBy(F.size("laws").desc(), "c_nationkey").limit(20)
-    return r.join(drawn, "c_nationkey", "left_anti").agg(F.count(F.lit(1)).alias("regions"), F.sum(F.size("laws")).alias("laws"))
+    r = load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.countDistinct("c_custkey").alias("laws"))
+    drawn = r.orderBy(F.col("laws").desc(), "c_nationkey").limit(20)
+    return r.join(drawn, "c_nationkey", "left_anti").agg(F.count(F.lit(1)).alias("regions"), F.sum("laws").alias("laws"))
 
 
 # ---- values

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import inline, load
-from ..operators import audit, evaluation, graph
+from ..catalog import load
+from ..operators import audit, graph
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -134,16 +134,13 @@ def graph_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, (o_orderkey * 7) % 1500 AS b FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 2 = 0),
-ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-walk AS (SELECT s AS src, s AS node, 0 AS hops FROM (VALUES (10), (20), (30)) t(s) UNION SELECT w.src, ways.b, w.hops + 1 FROM walk w JOIN ways ON ways.a = w.node WHERE w.hops < 5)
-SELECT src::bigint AS src, node::bigint AS node, min(hops) AS hops FROM walk GROUP BY ALL
+WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS tenant, o_custkey AS a, o_orderkey * 7 % 1500 AS b FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F'),
+ways AS (SELECT tenant, a, b FROM e UNION SELECT tenant, b, a FROM e),
+walk AS (SELECT c_custkey AS src, c_nationkey AS tenant, c_custkey AS node, 0 AS hops FROM customer WHERE c_custkey % 50 = 0 UNION SELECT w.src, w.tenant, ways.b, w.hops + 1 FROM walk w JOIN ways ON ways.a = w.node AND ways.tenant = w.tenant WHERE w.hops < 5)
+SELECT src, node, min(hops) AS hops FROM walk GROUP BY ALL
 """)
 def bounded_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fewest hops, up to five, from three accounts over tenant-scoped edges."""
-    o = load(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_custkey % 2 = 0")
-    e = o.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") * 7 % 1500).alias("b"))
-    return graph.hops(e, inline(spark, "src long", [(10,), (20,), (30,)]), 5)
-
-
-# ---- rules and metrics
+    """Fewest hops, up to five, from every fiftieth account over the edges of its tenant, which is the account's nation."""
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("tenant"))
+    o = load(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") * 7 % 1500).alias("b"))
+    return graph.hops(o.join(c, "a"), c.where("a % 50 = 0").withColumnRenamed("a", "src"), 5, "tenant")

@@ -205,3 +205,47 @@ def test_limiter_state_expires(spark):
         spark.streams.removeListener(log)
     assert out.count() == load(spark, SF, "events").count()
     assert max(r.state_rows for r in rows) > 20 and rows[-1].state_rows <= 2
+
+
+def test_contained_by_nested_loop(spark):
+    """10,000 patterns against texts, short and empty ones, either case, and no nested loop in the plan."""
+    from codexmill.operators.containment import contained
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcDE é") for _ in range(n))
+    texts = [(i, word(rng.choice([0, 2, 40, 200]))) for i in range(120)] + [(500, None), (3, "abc"), (501, "ABC")]
+    patterns = [word(rng.randint(1, 9)) for _ in range(10000)] + [None, "", "e", "AB", "\u00c9"]
+    p, t = spark.createDataFrame([(x,) for x in patterns], "p string"), spark.createDataFrame(texts, "k int, t string")
+    out = contained(p, "p", t, "k", "t")
+    want = {(x, k) for x in patterns if x is not None for k, text in texts if text is not None and x.lower() in text.lower()}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    few = contained(p.where("p <> ''"), "p", t, "k", "t")
+    assert "length(_low" in plan_of(few) and plan_of(few).count("BroadcastNestedLoopJoin") <= 1
+
+
+def test_hops_by_search(spark):
+    from codexmill.operators import graph
+
+    rng = random.Random(9)
+    edges = [(rng.randrange(40), rng.randrange(40), rng.randrange(2)) for _ in range(60)]
+    out = graph.hops(spark.createDataFrame(edges, "a int, b int, tenant int"), spark.createDataFrame([(0, 0), (0, 1), (7, 1)], "src int, tenant int").where("tenant = 1 or src = 0"), 4, "tenant")
+    want = set()
+    for src, tenant in [(0, 1), (7, 1)]:
+        seen, front = {src: 0}, {src}
+        for step in range(1, 5):
+            front = {y for a, b, t in edges if t == tenant for x, y in ((a, b), (b, a)) if x in front} - seen.keys()
+            seen |= dict.fromkeys(front, step)
+        want |= {(src, n, h) for n, h in seen.items()}
+    own = graph.hops(spark.createDataFrame(edges, "a int, b int, tenant int"), spark.createDataFrame([(0, 1), (7, 1)], "src int, tenant int"), 4, "tenant")
+    assert {tuple(r) for r in own.collect()} == want and out.count() >= len(want)
+
+
+def test_long_texts_rejoin(spark):
+    """A text of many thousand pieces is joined again without a copy at each."""
+    from codexmill.functions import text as X
+
+    rng = random.Random(10)
+    whole = "".join(rng.choice("abcdefghij") for _ in range(400_000))
+    row = spark.createDataFrame([(whole,)], "t string").select(X.rejoin(X.chunks(F.col("t"))).alias("again")).first()
+    assert row.again == whole

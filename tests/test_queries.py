@@ -18,7 +18,7 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
-    assert df.columns == ["query_id", "pos", "id", "law", "article", "score"] and df.count() > 0
+    assert df.columns == ["query_id", "pos", "id", "law", "article", "score", "lang", "n_chars"] and df.count() > 0
 
 
 def test_rate_limit_by_loop(spark):
