@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import inline, load
-from ..operators import keyed
+from ..operators import keyed, plane
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -382,6 +382,17 @@ def knn_2d_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.symmetric(keyed.nearest_in_plane(c, "a", "x", "y", 3, 400.0).withColumnRenamed("other", "b"), "a", "b")
 
 
+@query("""
+WITH p AS (SELECT c_custkey AS a, c_acctbal * c_acctbal * c_acctbal / 1e6 AS x, c_nationkey * c_nationkey * 40.0 AS y FROM customer),
+near AS (SELECT p.a, q.a AS b, row_number() OVER (PARTITION BY p.a ORDER BY (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y), q.a) AS r FROM p JOIN p q ON p.a <> q.a)
+SELECT a, b, r AS rank FROM near WHERE r <= 3
+""")
+def knn_quadtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest customers by cubed balance and squared nation: places that are dense at one end and far apart at the other."""
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_acctbal") * F.col("c_acctbal") * F.col("c_acctbal") / 1e6).alias("x"), (F.col("c_nationkey") * F.col("c_nationkey") * 40.0).alias("y"))
+    return plane.nearest(c, "a", "x", "y", 3).select("a", F.col("other").alias("b"), "rank")
+
+
 @query("""
 WITH o AS (SELECT lang, doc_id, text, coalesce(sum(length(text)) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
 SELECT lang, doc_id, length(substr(text, 1, greatest(4096 - before, 0)::bigint))::int AS kept_chars, md5(substr(text, 1, greatest(4096 - before, 0)::bigint)) AS kept FROM o WHERE before <= 4096

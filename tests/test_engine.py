@@ -249,3 +249,20 @@ def test_long_texts_rejoin(spark):
     whole = "".join(rng.choice("abcdefghij") for _ in range(400_000))
     row = spark.createDataFrame([(whole,)], "t string").select(X.rejoin(X.chunks(F.col("t"))).alias("again")).first()
     assert row.again == whole
+
+
+def test_neighbours_of_clusters_and_outliers(spark):
+    """Equal to brute force on dense clusters with outliers, equal places and ties; the pairs of points and cells stay few."""
+    from codexmill.operators import plane
+
+    rng = random.Random(11)
+    pts = [(i, 500 + rng.gauss(0, 1), 500 + rng.gauss(0, 1)) for i in range(700)] + [(1000 + i, rng.uniform(0, 1e5), rng.uniform(0, 1e5)) for i in range(8)] + [(2000 + i, 7.0, float(i % 3)) for i in range(60)]
+    table = spark.createDataFrame([*pts, (9999, None, 1.0)], "k int, x double, y double")
+    got = {(r.k, r.other, r["rank"]) for r in plane.nearest(table, "k", "x", "y", 3, most=16).collect()}
+    want = set()
+    for a, x, y in pts:
+        best = sorted(((p[1] - x) ** 2 + (p[2] - y) ** 2, p[0]) for p in pts if p[0] != a)[:3]
+        want |= {(a, b, n + 1) for n, (_, b) in enumerate(best)}
+    assert got == want
+    assert plane.nearest(table.limit(0), "k", "x", "y", 3).count() == 0
+    assert {(r.k, r.other) for r in plane.nearest(table.where("k in (1, 2)"), "k", "x", "y", 3).collect()} == {(1, 2), (2, 1)}
