@@ -169,33 +169,24 @@ def feedback_rows(results: DataFrame, cited: DataFrame) -> DataFrame:
 PREFIXES = {"query": "query: ", "passage": "passage: "}
 
 
-def hash_embedder(texts: list[str], width: int = 64) -> list[list[float]]:
-    """A stand-in for a model: counts of tokens by hash, at length 1."""
-    import zlib
+def hash_embedding(text: Column, width: int = 64) -> Column:
+    """A stand-in for a model: counts of words by a hash of the word, at length 1; no words give zeros."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  a value that a lambda reads often is worked out once
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[^ \t\n\r]+"), F.lit(0))
+    places = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"), F.lit(width)))
+    counts = once(places, lambda found: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda d: F.size(F.filter(found, lambda p: p == d)).cast("double")))
+    norm = lambda c: F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda total, n: total + n * n)), F.lit(1e-12))
+    return once(counts, lambda c: once(norm(c), lambda length: F.transform(c, lambda n: n / length)))
 
-    import numpy as np
 
-    out = np.zeros((len(texts), width))
-    for row, text in zip(out, texts, strict=True):
-        for word in text.lower().split():
-            row[zlib.crc32(word.encode()) % width] += 1
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
-
-
-#: Embedders by name: lists of texts to lists of vectors.
-EMBEDDERS = {"hash": hash_embedder}
+#: Embedders by name: a column of texts to a column of vectors; a model is added as a Pandas function of this form.
+EMBEDDERS = {"hash": hash_embedding}
 
 
 def embed(rows: DataFrame, kind: str, embedder: str = "hash", id_col: str = "id", text: str = "text") -> DataFrame:
-    """``(id, vector)`` of texts as ``query`` or ``passage``, by the named embedder in Arrow batches; a null text is empty."""
-    prefix, model = PREFIXES[kind], EMBEDDERS[embedder]
-
-    def run(parts):
-        for part in parts:
-            yield part[[id_col]].assign(vector=model([prefix + (t or "") for t in part[text]]))
-
-    chosen = rows.select(id_col, text)
-    return chosen.mapInPandas(run, f"`{id_col}` {chosen.schema[id_col].dataType.simpleString()}, vector array<double>")
+    """``(id, vector)`` of texts as ``query`` or ``passage``, by the named embedder; a null text is empty."""
+    whole = F.concat(F.lit(PREFIXES[kind]), F.coalesce(F.col(text), F.lit("")))
+    return rows.select(id_col, EMBEDDERS[embedder](whole).alias("vector"))
 
 
 def hybrid(lexical: DataFrame, near: DataFrame, meta: DataFrame, boosts: DataFrame, case_law_queries: DataFrame, n: int = 12, floor: float = 0.72, admitted: int = 10, pin_at: float = 0.08, rerank=identity_rerank, rerank_top: int = 48, optional: dict[str, str] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import audit, containment, evaluation, graph
 from ..operators import retrieval as R
 from ..operators.keyed import top_per_key
+from ..sources import readers
 from .retrieval import LEX_SQL, STOPS_SQL, lexical, questions
 
 QUERIES: dict = {}
@@ -69,10 +70,15 @@ def feedback_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.feedback_rows(lexical(spark, sf_dir).select("query_id", "id").join(d, "id"), cited)
 
 
-@query(None)
+@query(r"""
+WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower('passage: ' || coalesce(text, '')), '[^ \t\n\r]+')) AS word FROM documents),
+c AS (SELECT id, ('0x' || left(md5(word), 4))::int % 64 AS dim, count(*) AS n FROM w GROUP BY ALL)
+SELECT id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS value FROM c
+""")
 def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All benchmark items as queries, by the stand-in embedder."""
-    return R.embed(load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), "query")
+    """All documents as passages, by the stand-in embedder; components that are not zero."""
+    v = R.embed(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "passage")
+    return v.select("id", F.posexplode("vector").alias("dim", "value")).where("value > 0").select("id", "dim", F.round("value", 6).alias("value"))
 
 
 # ---- pages
@@ -148,6 +154,25 @@ def contained_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained(patterns, "pattern", docs, "doc_id", "text")
 
 
+@query("""
+WITH p AS (SELECT page_id, page_id % 50 AS request, url, CASE WHEN page_id % 4 = 0 THEN 'api' WHEN page_id % 4 = 1 THEN 'engine' ELSE 'feed' END AS source FROM pages WHERE url <> ''),
+up AS (SELECT * FROM p WHERE NOT (source = 'api' AND request % 3 = 0) AND NOT (source = 'engine' AND request >= 20)),
+r AS (SELECT *, row_number() OVER (PARTITION BY request, source ORDER BY page_id) AS nth FROM up),
+f AS (SELECT request, min(source) AS source FROM up GROUP BY request)
+SELECT request, nth::int AS pos, page_id, url FROM r JOIN f USING (request, source) WHERE nth <= 5
+""")
+def search_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of each request from the first source that gives any: an interface that a third of the requests may not use, an engine that failed at the twentieth and stays off, and feeds."""
+    source = F.when(F.col("page_id") % 4 == 0, "api").when(F.col("page_id") % 4 == 1, "engine").otherwise("feed")
+    p = load(spark, sf_dir, "pages").where("url <> ''").select("page_id", (F.col("page_id") % 50).alias("request"), "url", source.alias("source"))
+    up = p.where("not (source = 'api' and request % 3 = 0) and not (source = 'engine' and request >= 20)")
+    five = top_per_key(up, ["request", "source"], [F.col("page_id")], 5)
+    of = lambda name: F.array_sort(F.collect_list(F.when(F.col("source") == name, F.struct("page_id", "url"))))
+    lists = five.groupBy("request").agg(of("api").alias("api"), of("engine").alias("engine"), of("feed").alias("feed"))
+    found = lists.select("request", F.posexplode(readers.first_source(F.col("api"), F.col("engine"), F.col("feed"))).alias("pos", "r"))
+    return found.select("request", (F.col("pos") + 1).alias("pos"), "r.page_id", "r.url")
+
+
 @query("""
 WITH chunks AS (SELECT doc_id AS id, source AS law, doc_id % 7 AS article FROM documents), gold AS (SELECT item_id AS gold_id, 'SRC' || item_id % 5 AS kw, item_id % 7 AS article FROM benchmark)
 SELECT gold_id, min(id) AS id FROM gold JOIN chunks ON chunks.article = gold.article AND contains(lower(law), lower(kw)) GROUP BY gold_id
