@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
-from .keyed import insert_if_absent, symmetric
+from .keyed import insert_if_absent, sharing, symmetric
 
 
 def merge_edges(edges: DataFrame, vertices: DataFrame, create_targets: bool) -> tuple[DataFrame, DataFrame]:
@@ -65,10 +65,13 @@ def document_relations(laws: DataFrame) -> tuple[DataFrame, DataFrame]:
 def newer_than(members: DataFrame) -> DataFrame:
     """``(src, rel, dst)``: of two laws of a region that share a word, the one of the later year stands before the other.
 
-    ``members(region, name, year, words)``. Joined on region and word, so only laws
-    that share one meet.
+    ``members(region, name, year, words)``. Pairs are made once, so only those of a name with several
+    rows are compared with each other.
     """
-    one = members.select("region", "name", "year", F.explode(F.array_distinct("words")).alias("word"))
-    other = one.select("region", "word", F.col("name").alias("older"), F.col("year").alias("older_year"))
-    pairs = one.join(other, ["region", "word"]).where("year > older_year")
-    return pairs.select(F.col("name").alias("src"), F.lit("NEWER_THAN").alias("rel"), F.col("older").alias("dst")).distinct()
+    rows = members.select("region", "name", "year", F.array_sort(F.array_distinct("words")).alias("words")).distinct()
+    many = rows.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("many"))
+    rows = rows.join(many, "name")
+    pairs = sharing(rows, "region", "words").where("a.year > b.year")
+    named = lambda found: found.select(F.col("a.name").alias("src"), F.lit("NEWER_THAN").alias("rel"), F.col("b.name").alias("dst"))
+    once, again = pairs.where("not a.many and not b.many"), pairs.where("a.many").unionByName(pairs.where("not a.many and b.many"))
+    return named(once).unionByName(named(again).distinct())

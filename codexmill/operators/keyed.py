@@ -96,6 +96,22 @@ def symmetric(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(a, b).unionByName(edges.select(F.col(b).alias(a), F.col(a).alias(b))).distinct()
 
 
+def sharing(rows: DataFrame, by: str, words: str) -> DataFrame:
+    """``(a, b)``: all ordered pairs of rows with equal ``by`` that share a word, each once; structs of the rows' other columns.
+
+    Rows with the same words are a class. Classes meet on their words, two of them only under
+    the first word they share, and rows join the pairs of their classes: pairs of rows are
+    made once, where they are joined, and never dealt or compared with each other.
+    """
+    own = rows.where(F.col(by).isNotNull()).select(F.col(by).alias("_by"), F.array_sort(F.array_distinct(words)).alias("_words"), F.struct(*[c for c in rows.columns if c not in (by, words)]).alias("row"))
+    one = own.select("_by", "_words").distinct().withColumn("_word", F.explode("_words"))
+    met = one.join(one.withColumnRenamed("_words", "_other"), ["_by", "_word"]).where(F.get(F.array_intersect("_words", "_other"), F.lit(0)) == F.col("_word"))
+    asked = own.withColumnRenamed("row", "a").join(met.drop("_word"), ["_by", "_words"]).select("_by", F.col("_other").alias("_words"), "a")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.repartition(n, "_by", "_words")  # a stated number is not made smaller: few bytes go in, many rows come out
+    return asked.join(own.withColumnRenamed("row", "b"), ["_by", "_words"]).select("a", "b")
+
+
 def nearest_in_plane(points: DataFrame, key: str, x: str, y: str, k: int, cell: float) -> DataFrame:
     """``(key, other, rank)``: the ``k`` nearest other points, ties by key.
 
