@@ -39,3 +39,42 @@ def test_pairs_of_parts_without_brand_and_of_repeated_rows(spark, tmp_path):
 
 def test_pairs_are_not_dealt_once_made(spark):
     assert "Aggregate" not in top_of_plan(QUERIES["theta_pair_join"](spark, SF), "Join")
+
+
+def test_mentions_deal_places_not_pairs(spark):
+    plan = QUERIES["mention_boost"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "Inner" in next(line for line in plan.splitlines() if "Join" in line)
+    from codexmill.plans.retrieval import aliases, mentions
+
+    q = spark.createDataFrame([(1, "Pasal 5 UU Nomor 35 Tahun 2009"), (2, "narkotika"), (3, "pasal 5"), (4, None)], "query_id int, query string")
+    c = spark.createDataFrame([(i, "UU Nomor 35 Tahun 2009", "Pasal 5") for i in range(3)] + [(3, None, "Pasal 5"), (4, "UU Nomor 35 Tahun 2009", None), (5, None, None)], "id int, law_name string, article_number string")
+    got = {(r.query_id, r.id): round(r.boost, 3) for r in mentions(q, c, aliases(spark)).collect()}
+    whole = {(1, i): 0.08 for i in range(3)} | {(2, i): 0.04 for i in range(3)} | {(3, i): 0.01 for i in range(4)}
+    assert got == whole | {(1, 3): 0.01, (1, 4): 0.04, (2, 4): 0.04}
+
+
+def test_neighbours_of_points_at_one_place(spark):
+    from codexmill.operators import keyed, plane
+
+    pts = [(i, float(i % 3), 0.0) for i in range(300)] + [(300, 50.0, 50.0), (301, None, 1.0)]
+    whole = [p for p in pts if p[1] is not None]
+    want = set()
+    for key, x, y in whole:
+        best = sorted((((x - u) ** 2 + (y - v) ** 2), o) for o, u, v in whole if o != key)[:3]
+        want |= {(key, o, rank + 1) for rank, (_, o) in enumerate(best)}
+    table = spark.createDataFrame(pts, "k int, x double, y double")
+    for found in (plane.nearest(table, "k", "x", "y", 3, most=8), keyed.nearest_in_plane(table, "k", "x", "y", 3, 400.0)):
+        assert {(r.k, r.other, r["rank"]) for r in found.collect()} == want
+
+
+def test_neighbours_deal_places_not_points(spark):
+    """A place of many points is searched once: before, each of them met all others."""
+    from codexmill.operators import plane
+
+    table = spark.range(20000).select(F.col("id").alias("k"), F.lit(1.0).alias("x"), (F.col("id") % 2).cast("double").alias("y"))
+    assert plane.nearest(table, "k", "x", "y", 3).count() == 60000
+
+
+def test_lsh_deals_no_vectors(spark):
+    plan = QUERIES["dense_lsh"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "bucket" not in plan and "zip_with" not in plan
