@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import removed, written
+from ..scratch import written
 
 NIL_TENANT = "00000000-0000-0000-0000-000000000000"
 
@@ -113,31 +113,11 @@ def sharing(rows: DataFrame, by: str, words: str) -> DataFrame:
 
 
 def nearest_in_plane(points: DataFrame, key: str, x: str, y: str, k: int, cell: float) -> DataFrame:
-    """``(key, other, rank)``: the ``k`` nearest other points, ties by key.
-
-    Points join those of the 9 grid cells around theirs. A point is done when its
-    k-th neighbour lies within ``cell``, as all nearer ones are then in these cells;
-    the others are tried again with cells twice as wide. Ends when none is left or a
-    cell holds everything. Each round is written, so a plan holds one round. The
-    last points to be done see ever more of the table: for data with many outliers
-    begin with a wider ``cell``.
+    """``(key, other, rank)``: the ``k`` nearest other points, ties by key, by the quadtree.
+
+    A grid of one ``cell`` puts as many points into a cell as the table is large; the
+    tree needs no width, and ``cell`` stays only for callers that give one.
     """
-    asked, width, done = points.select(key, x, y), cell, []
-    span = points.agg(F.max(x) - F.min(x), F.max(y) - F.min(y)).first()
-    farthest = max([v or 0 for v in span])
-    while True:
-        at = lambda c: F.floor(F.col(c) / width).cast("long")  # noqa: B023, E731
-        mine = asked.withColumns({"_cx": F.explode(F.array(*[at(x) + d for d in (-1, 0, 1)]))}).withColumn("_cy", F.explode(F.array(*[at(y) + d for d in (-1, 0, 1)])))
-        other = points.select(F.col(key).alias("other"), F.col(x).alias("_x"), F.col(y).alias("_y"), at(x).alias("_cx"), at(y).alias("_cy"))
-        near = mine.join(other, ["_cx", "_cy"]).where(F.col(key) != F.col("other")).withColumn("d2", (F.col(x) - F.col("_x")) ** 2 + (F.col(y) - F.col("_y")) ** 2)
-        best = top_per_key(near.select(key, "other", "d2"), [key], [F.col("d2"), F.col("other")], k, "rank")
-        last = width > farthest
-        settled = best.withColumn("_kth", F.max(F.when(F.col("rank") == k, F.col("d2"))).over(Window.partitionBy(key)))
-        done.append(written(settled.where(F.lit(last) | (F.col("_kth") <= width**2)).select(key, "other", "rank"), "neighbours"))
-        before, asked = asked, written(asked.join(done[-1].select(key).distinct(), key, "left_anti"), "asked")
-        if len(done) > 1:
-            removed(before)
-        if last or asked.isEmpty():
-            removed(asked)
-            return reduce(DataFrame.unionByName, done)
-        width *= 2
+    from . import plane
+
+    return plane.nearest(points, key, x, y, k)
