@@ -31,22 +31,38 @@ def isolated(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return nodes.join(ends, key, "left_anti").join(ends.limit(1).select(F.lit(1).alias("_any")), how="left_semi")
 
 
+#: Sources in a row of a walk: as many bits in each of so many numbers.
+WORDS, BITS = 8, 64
+
+
 def hops(edges: DataFrame, sources: DataFrame, depth: int, tenant: str | None = None) -> DataFrame:
     """``(src, node, hops)``: fewest undirected hops, up to ``depth``, from each source.
 
     A frontier join a hop; nodes reached before are left out, so a step costs the
-    frontier's edges, not all paths. Each frontier is written, so the plan of a step is
-    one join. With ``tenant``, a column of both tables, a source walks only its tenant's edges.
+    frontier's edges, not all paths. Sources walk in blocks: a row is a node and a block, with a bit
+    for each source that is there, so an edge is walked once for a block. Each frontier is written, so
+    the plan of a step is one join. With ``tenant``, a column of both tables, a source walks only its tenant's edges.
     """
     scope = [tenant] if tenant else []
-    both = edges.select("a", "b", *scope).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *scope)).distinct()
-    frontiers = [written(sources.select("src", *scope, F.col("src").alias("node"), F.lit(0).alias("hops")), "frontier")]
-    for step in range(1, depth + 1):
-        seen = reduce(DataFrame.unionByName, frontiers)
-        reached = frontiers[-1].withColumnRenamed("node", "a").join(both, ["a", *scope]).select("src", *scope, F.col("b").alias("node")).distinct()
-        new = reached.join(seen.select("src", "node"), ["src", "node"], "left_anti").withColumn("hops", F.lit(step))
-        frontiers.append(written(new.select(frontiers[0].columns), "frontier"))
-    return reduce(DataFrame.unionByName, frontiers).select("src", "node", "hops")
+    both = written(edges.select("a", "b", *scope).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *scope)).distinct(), "edges")
+    known = sources.select("src", *scope).distinct()
+    known = written((known.repartition(*scope).sortWithinPartitions(*scope) if scope else known).withColumn("_n", F.monotonically_increasing_id()), "sources")
+    known = known.withColumns({"_block": F.floor(F.col("_n") / (WORDS * BITS)), "_word": (F.col("_n") % (WORDS * BITS) / BITS).cast("int"), "_bit": (F.col("_n") % BITS).cast("int")})
+    masks, place = [f"_m{i}" for i in range(WORDS)], [*scope, "node", "_block"]
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))
+    start = known.withColumn("node", F.col("src")).groupBy(*place).agg(*[F.bit_or(F.when(F.col("_word") == i, one).otherwise(F.lit(0).cast("long"))).alias(m) for i, m in enumerate(masks)])
+    frontiers = [written(start, "frontier")]
+    for _ in range(depth):
+        walked = frontiers[-1].withColumnRenamed("node", "a").join(both, ["a", *scope]).withColumnRenamed("b", "node").select(*place, *masks, F.lit(True).alias("_new"))
+        rows = walked.unionByName(reduce(DataFrame.unionByName, frontiers).select(*place, *masks, F.lit(False).alias("_new")))
+        bits = lambda m, new: F.coalesce(F.bit_or(F.when(F.col("_new") == new, F.col(m))), F.lit(0).cast("long"))
+        left = rows.groupBy(*place).agg(*[bits(m, True).bitwiseAND(F.bitwise_not(bits(m, False))).alias(m) for m in masks])
+        frontiers.append(written(left.where(reduce(lambda x, y: x | y, [F.col(m) != 0 for m in masks])), "frontier"))
+    every = reduce(DataFrame.unionByName, [f.withColumn("hops", F.lit(step)) for step, f in enumerate(frontiers)])
+    held = F.filter(F.sequence(F.lit(0), F.lit(WORDS * BITS - 1)), lambda i: F.call_function("getbit", F.get(F.array(*masks), (i / BITS).cast("int")), i % BITS) == 1)
+    named = known.select("src", "_block", (F.col("_word") * BITS + F.col("_bit")).alias("_at"))
+    found = every.select("node", "hops", "_block", F.explode(held).alias("_at")).join(named, ["_block", "_at"])
+    return found.select("src", "node", "hops")
 
 
 def document_relations(laws: DataFrame) -> tuple[DataFrame, DataFrame]:

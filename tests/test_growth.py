@@ -78,3 +78,34 @@ def test_neighbours_deal_places_not_points(spark):
 def test_lsh_deals_no_vectors(spark):
     plan = QUERIES["dense_lsh"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "bucket" not in plan and "zip_with" not in plan
+
+
+def test_walks_of_many_sources_by_brute_force(spark):
+    from codexmill.operators import graph
+
+    edges = [(i, 10000 + i % 7) for i in range(1200)] + [(10000, 10001)]
+    found = graph.hops(spark.createDataFrame(edges, "a int, b int"), spark.range(1200).select(F.col("id").cast("int").alias("src")), 3)
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = set()
+    for src in range(1200):
+        seen = level = {src}
+        want.add((src, src, 0))
+        for step in (1, 2, 3):
+            level = {o for v in level for o in near[v]} - seen
+            seen = seen | level
+            want |= {(src, v, step) for v in level}
+    assert {(r.src, r.node, r.hops) for r in found.collect()} == want
+    assert "getbit" in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_database_is_not_of_one_process(spark):
+    plan = QUERIES["database_scan"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "JDBC" not in plan
+    from codexmill.sources import embedded
+
+    table = spark.createDataFrame([(1, "a'b"), (2, None), (None, "c")], "k long, v string")
+    back = embedded.scan(embedded.write(table, "t", "k"), "t", "k bigint, v string")
+    assert {tuple(r) for r in back.collect()} == {(1, "a'b"), (2, None), (None, "c")}
