@@ -11,7 +11,7 @@ from ..catalog import load
 from ..functions import semi
 from ..functions.sections import sections
 from ..scratch import new_path, setting, written
-from ..sources import jdbc, readers
+from ..sources import embedded, readers
 from ..streaming import limiter, progress, streams
 from .stateful import LIMIT_SQL, LIMITS
 
@@ -121,12 +121,11 @@ SELECT o_orderkey, o_orderstatus, c_name FROM orders LEFT JOIN customer ON c_cus
 """)
 def database_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of one status and their customers' names out of a database: ranged scans with the filter pushed down and one join, not a query a row."""
-    url = f"jdbc:derby:memory:codexmill-{uuid.uuid4().hex};create=true"
-    jdbc.write(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), url, "orders", "o_orderstatus VARCHAR(1)")
-    jdbc.write(load(spark, sf_dir, "customer").select("c_custkey", "c_name"), url, "customer", "c_name VARCHAR(64)")
-    o = jdbc.scan(spark, url, "orders", by="o_orderkey").where("o_orderstatus = 'F'")
-    c = jdbc.scan(spark, url, "customer")
-    return written(o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_orderstatus", "c_name"), "database")
+    orders = embedded.write(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "orders", "o_orderkey")
+    customers = embedded.write(load(spark, sf_dir, "customer").select("c_custkey", "c_name"), "customer", "c_custkey")
+    o = embedded.scan(orders, "orders", "o_orderkey bigint, o_custkey bigint, o_orderstatus string", "o_orderstatus = 'F'")
+    c = embedded.scan(customers, "customer", "c_custkey bigint, c_name string")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_orderstatus", "c_name")
 
 
 # ---- streams and progress
