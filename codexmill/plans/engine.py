@@ -151,7 +151,7 @@ def limited_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Of the rules that fit the first holds: it has the longer prefix here, and a stream has no window over rows.
     first = hits.join(F.broadcast(rules), fits).where("rule = 1 or path not like 'error%'")
     rows = first.select(F.concat_ws("|", "ip", "rule").alias("key"), "id", "ts", F.col("max_hits").alias("most"), "window_s")
-    with setting(spark, *limiter.PROVIDER), setting(spark, "spark.sql.shuffle.partitions", "4"):
+    with setting(spark, *limiter.PROVIDER), setting(spark, "spark.sql.shuffle.partitions", str(max(4, spark.sparkContext.defaultParallelism))):
         return streams.run(limiter.limited(rows, "25 days"), out, "append", name=name).where("id >= 0")
 
 
