@@ -109,3 +109,17 @@ def test_database_is_not_of_one_process(spark):
     table = spark.createDataFrame([(1, "a'b"), (2, None), (None, "c")], "k long, v string")
     back = embedded.scan(embedded.write(table, "t", "k"), "t", "k bigint, v string")
     assert {tuple(r) for r in back.collect()} == {(1, "a'b"), (2, None), (None, "c")}
+
+
+def test_contained_patterns_make_no_row_for_each_character(spark):
+    """Texts of several parts, patterns longer than their seed that end in another way, and no row for each run of a text."""
+    from codexmill.operators import containment
+
+    n = containment.AT_ONCE
+    texts = [(1, "x" * (n - 9) + "Straße Nummer zwölf und mehr"), (2, "straße nummer zwölf und weniger"), (3, "ab" * n), (4, "é"), (5, "stra"), (6, None), (7, "ße nummer")]
+    patterns = ["STRASSE", "Straße", "straße nummer zwölf und m", "straße nummer zwölf und w", "straße nu", "ß", "É", "babab", "ababababababababa", "mehr", "", None]
+    p, t = spark.createDataFrame([(x,) for x in patterns], "p string"), spark.createDataFrame(texts, "k int, t string")
+    found = containment.contained(p, "p", t, "k", "t")
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(got) == sorted((x, k) for x in patterns if x is not None for k, text in texts if text is not None and x.lower() in text.lower())
+    assert "Generate" not in found._jdf.queryExecution().sparkPlan().toString()
