@@ -123,3 +123,26 @@ def test_contained_patterns_make_no_row_for_each_character(spark):
     got = [tuple(r) for r in found.collect()]
     assert sorted(got) == sorted((x, k) for x in patterns if x is not None for k, text in texts if text is not None and x.lower() in text.lower())
     assert "Generate" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_index_deals_documents_not_postings(spark, tmp_path, monkeypatch):
+    """Blocks of a few postings at a time, ranges over several batches, empty and null texts, ids that are there twice; the same rows as a full search."""
+    from codexmill.operators import lexical
+    from codexmill.operators import retrieval as R
+
+    monkeypatch.setattr(lexical, "AT_ONCE", 50)
+    monkeypatch.setattr(lexical, "ARROW_ROWS", "7")
+    words = [f"kata{i}" for i in range(30)] + ["yang"]
+    rows = [(i, " ".join(words[(i * j * j + j) % 31] for j in range(i % 23)), "ab"[i % 2] if i % 5 else None) for i in range(300)] + [(300, None, "a"), (301, "", "b")]
+    asked = spark.createDataFrame([(1, "kata1 kata2"), (2, "kata7 yang kata7"), (3, "kata29")], "query_id int, text string")
+    deep = lambda found: sorted((r.query_id, r.id, r["rank"], round(r.score, 9)) for r in found.collect())
+    for name, more in (("once", []), ("twice", [(7, "kata1 kata2 kata3", "a"), (8, "kata7", "b")])):
+        docs = spark.createDataFrame(rows + more, "doc_id int, text string, kind string").repartition(3)
+        want = deep(R.bm25(asked, docs))
+        built = [lexical.build(R.postings(docs, "doc_id", "text", "kind"), len(rows + more), f"{tmp_path}/{name}", width=64, cluster="kind")]
+        if not more:
+            built.append(lexical.build_counted(R.counted(docs, "doc_id", "text", "kind"), len(rows), f"{tmp_path}/whole", width=64, cluster="kind"))
+        for index in built:
+            assert deep(lexical.search(index, R.asked_terms(asked), 24).found) == want and len(want) > 60
+    plan = R.counted(docs.coalesce(1), "doc_id", "text", "kind")._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and "Exchange hashpartitioning" not in plan
