@@ -16,6 +16,15 @@ from ..scratch import written
 NIL_TENANT = "00000000-0000-0000-0000-000000000000"
 
 
+def spread(rows: DataFrame, by: str, each: int) -> DataFrame:
+    """``rows`` dealt by ``by`` to as many tasks as hold about ``each`` of them, and no fewer than the session's number.
+
+    For steps that make much of few bytes: a stated number is not made smaller, and what a task holds does not grow with the table.
+    """
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
+    return rows.repartition(n, by)
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int = 1, rank: str | None = None) -> DataFrame:
     """The first ``k`` rows of each key (Spark limits each group before the shuffle)."""
     name = rank or "_rank"
