@@ -16,6 +16,7 @@ from ..functions import legal as L
 from ..functions import text as X
 from ..operators import audit, evaluation, graph
 from ..operators import retrieval as R
+from ..operators.keyed import spread
 from ..streaming import progress
 from .retrieval import aliases, mentions
 from .stateful import LIMIT_SQL, LIMITS
@@ -57,7 +58,7 @@ NUMERALS = ", ".join(f"'{roman(n)}'" for n in range(1, 61))
 
 def statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A law for each customer, an article for each of their orders: three articles a chapter, a part in each; every eleventh body is too short to count."""
-    o = orders(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("c").orderBy("k")).cast("int"))
+    o = spread(orders(spark, sf_dir), "c", 50_000).withColumn("n", F.row_number().over(Window.partitionBy("c").orderBy("k")).cast("int"))
     o = o.selectExpr(
         "c", "n",
         f"case n % 3 when 1 then concat('BAB ', array({NUMERALS})[int((n - 1) / 3)], '\\nKETENTUAN KELOMPOK ', s, '\\n') when 2 then 'Bagian Kesatu\\nUmum\\n' else '' end as marks",
@@ -140,7 +141,7 @@ def offence_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         when 2 then concat(' dengan pidana penjara seumur hidup atau pidana penjara paling singkat ', c % 3 + 1, ' tahun, pidana ditambah sepertiga')
         when 3 then concat(' dengan pidana mati atau denda sebesar Rp ', replace(format_number(p, 0), ',', '.'))
         else concat(' dengan pidana penjara paling lama ', c % 3 + 1 + k % 9, ' bulan') end)"""
-    rows = orders(spark, sf_dir).selectExpr("k as id", f"case when k % 6 = 5 then concat('Ketentuan umum tentang barang nomor ', k) else {text} end as content")
+    rows = spread(orders(spark, sf_dir), "k", 50_000).selectExpr("k as id", f"case when k % 6 = 5 then concat('Ketentuan umum tentang barang nomor ', k) else {text} end as content")
     e = rows.select("id", L.elements(F.col("content")).alias("e")).where("e is not null").select("id", "e.*")
     return e.withColumn("sikap_batin", F.array_join("sikap_batin", ","))
 
@@ -199,7 +200,7 @@ def amend_revoke(spark: SparkSession, sf_dir: str) -> DataFrame:
       when 1 then concat('Mengubah beberapa ketentuan UU Nomor ', {law}, '. Lihat pula UU Nomor 70 Tahun 2001.')
       when 2 then concat('sebagaimana telah diubah dengan UU Nomor ', {law})
       else concat('UU No. ', {law}, ' diubah dengan undang-undang ini. Mencabut. UU Nomor ', k % 97 + 100, ' Tahun 2020 mengatur.') end as text"""
-    return L.relations(orders(spark, sf_dir).selectExpr("k as id", text, "cast(k % 97 + 100 as string) as own_number", "'2020' as own_year"))
+    return L.relations(spread(orders(spark, sf_dir), "k", 50_000).selectExpr("k as id", text, "cast(k % 97 + 100 as string) as own_number", "'2020' as own_year"))
 
 
 @query(f"""

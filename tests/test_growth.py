@@ -146,3 +146,12 @@ def test_index_deals_documents_not_postings(spark, tmp_path, monkeypatch):
             assert deep(lexical.search(index, R.asked_terms(asked), 24).found) == want and len(want) > 60
     plan = R.counted(docs.coalesce(1), "doc_id", "text", "kind")._jdf.queryExecution().sparkPlan().toString()
     assert "Generate" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_tasks_grow_with_rows(spark):
+    """Steps that make much of few bytes state their number of tasks by rows; before, few tasks held all of a small shuffle or file."""
+    from codexmill.operators import keyed
+
+    assert keyed.spread(spark.range(1000), "id", 10).rdd.getNumPartitions() == 100
+    for name in ("article_hierarchy", "cocitation_pairs", "offence_elements", "amend_revoke"):
+        assert "REPARTITION_BY_NUM" in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString(), name
