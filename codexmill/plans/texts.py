@@ -142,7 +142,8 @@ def offence_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         when 3 then concat(' dengan pidana mati atau denda sebesar Rp ', replace(format_number(p, 0), ',', '.'))
         else concat(' dengan pidana penjara paling lama ', c % 3 + 1 + k % 9, ' bulan') end)"""
     rows = spread(orders(spark, sf_dir), "k", 50_000).selectExpr("k as id", f"case when k % 6 = 5 then concat('Ketentuan umum tentang barang nomor ', k) else {text} end as content")
-    e = rows.select("id", L.elements(F.col("content")).alias("e")).where("e is not null").select("id", "e.*")
+    worded = rows.where(F.col("content").rlike(L.OFFENCE))  # a filter on the elements would be worked out where rows are read
+    e = worded.select("id", L.elements(F.col("content")).alias("e")).select("id", "e.*")
     return e.withColumn("sikap_batin", F.array_join("sikap_batin", ","))
 
 
