@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import written
@@ -82,12 +82,13 @@ def newer_than(members: DataFrame) -> DataFrame:
     """``(src, rel, dst)``: of two laws of a region that share a word, the one of the later year stands before the other.
 
     ``members(region, name, year, words)``. Pairs are made once, so only those of a name with several
-    rows are compared with each other.
+    rows are compared with each other; rows are worked out once, and where no name has several, pairs are joined once.
     """
     rows = members.select("region", "name", "year", F.array_sort(F.array_distinct("words")).alias("words")).distinct()
-    many = rows.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("many"))
-    rows = rows.join(many, "name")
+    rows = written(rows.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("name")) > 1), "laws")
     pairs = sharing(rows, "region", "words").where("a.year > b.year")
     named = lambda found: found.select(F.col("a.name").alias("src"), F.lit("NEWER_THAN").alias("rel"), F.col("b.name").alias("dst"))
+    if rows.where("many").isEmpty():
+        return named(pairs)
     once, again = pairs.where("not a.many and not b.many"), pairs.where("a.many").unionByName(pairs.where("not a.many and b.many"))
     return named(once).unionByName(named(again).distinct())

@@ -37,6 +37,14 @@ def test_pairs_of_parts_without_brand_and_of_repeated_rows(spark, tmp_path):
         same(spark, QUERIES[name], ORACLE_SQL[name], sf)
 
 
+def test_newer_parts_without_key_or_with_unique_keys(spark, tmp_path):
+    """A part without key is a law as others are; where keys are unique, pairs are joined once, not in three arms."""
+    odd = [(None, "red ring", "B", "LARGE", 9, 1.0), (None, "ring", "B", "LARGE", 8, 1.0), (None, "red", "B", "LARGE", 0, 1.0)]
+    sf = folder(tmp_path, part=parts(spark).unionByName(spark.createDataFrame(odd, parts(spark).schema)))
+    same(spark, QUERIES["newer_than"], ORACLE_SQL["newer_than"], sf)
+    assert "Union" not in QUERIES["newer_than"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_pairs_are_not_dealt_once_made(spark):
     assert "Aggregate" not in top_of_plan(QUERIES["theta_pair_join"](spark, SF), "Join")
 
