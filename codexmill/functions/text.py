@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: White space of any kind, as Unicode has it.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """White space of any kind off both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """White space of any kind off both ends; only the ends are read, not every character by a regular expression."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def collapse(c: Column) -> Column:
@@ -41,11 +45,24 @@ def under(host_: Column, domains: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(d) for d in domains]), lambda d: (host_ == d) | F.endswith(host_, F.concat(F.lit("."), d)))
 
 
+def once(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: Pieces of a block of text, which are cut from the block: a cut reads all of what it is cut from.
+BLOCK = 16
+#: Characters of a piece's start that are looked for before every length is tried.
+START = 16
+
+
 def chunks(c: Column, size: int = 500, step: int = 450, limit: int | None = None) -> Column:
     """Overlapping pieces, stripped, blank ones left out, at most ``limit`` if given."""
-    n = F.ceil(F.length(c) / step).cast("int")
-    starts = F.when(F.length(c) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    pieces = F.filter(F.transform(starts, lambda i: strip(F.substr(c, i * step + 1, F.lit(size)))), lambda x: x != "")
+    last = F.ceil(F.length(c) / step).cast("int") - 1
+    starts = F.when(F.length(c) > 0, F.sequence(F.lit(0), last, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    block = lambda i: F.substr(c, i * step + 1, F.lit((BLOCK - 1) * step + size))
+    cut = lambda i: once(block(i), lambda b: F.transform(F.sequence(F.lit(0), F.least(F.lit(BLOCK - 1), last - i)), lambda j: strip(F.substr(b, j * step + 1, F.lit(size)))))
+    pieces = F.filter(F.flatten(F.transform(starts, cut)), lambda x: x != "")
     return pieces if limit is None else F.slice(pieces, 1, limit)
 
 
@@ -53,17 +70,29 @@ def rejoin(pieces: Column, overlap: int = 200) -> Column:
     """Pieces joined where the longest end of the text so far, up to ``overlap``, equals the next one's start.
 
     Of the text so far only its last ``overlap`` characters go from piece to piece, and
-    what each piece adds is joined once at the end.
+    what each piece adds is joined once at the end. An end of ``START`` characters or more begins where
+    the piece's first ones stand; all lengths are tried only where the first such place is not one.
     """
     none = F.array().cast("array<int>")
 
+    def longest(tail: Column, piece: Column, most: Column) -> Column:
+        return F.array_max(F.filter(F.sequence(F.lit(0), most), lambda i: F.endswith(tail, F.substr(piece, F.lit(1), i))))
+
+    def shared(tail: Column, piece: Column) -> Column:
+        most = F.least(F.lit(overlap), F.length(piece), F.length(tail))
+        found = lambda at: F.startswith(piece, F.substr(tail, at))
+        short = longest(tail, piece, F.least(most, F.lit(START - 1)))
+        return once(F.position(F.substr(piece, F.lit(1), F.lit(START)), tail), lambda at: F.when(at == 0, short).when(found(at), F.length(tail) - at + 1).otherwise(longest(tail, piece, most)))
+
     def step(state: Column, piece: Column) -> Column:
-        most = F.least(F.lit(overlap), F.length(piece), F.length(state["tail"]))
-        k = F.array_max(F.filter(F.sequence(F.lit(0), most), lambda i: F.endswith(state["tail"], F.substr(piece, F.lit(1), i))))
-        return F.struct(F.right(F.concat(state["tail"], F.substr(piece, k + 1, F.length(piece))), F.lit(overlap)).alias("tail"), F.array_append(state["cuts"], k).alias("cuts"))
+        more = lambda k: F.right(F.concat(state["tail"], F.substr(piece, k + 1, F.length(piece))), F.lit(overlap))
+        return once(shared(state["tail"], piece), lambda k: F.struct(more(k).alias("tail"), F.array_append(state["cuts"], k).alias("cuts")))
+
+    def joined(all_: Column) -> Column:
+        cuts = F.aggregate(all_, F.struct(F.lit("").alias("tail"), none.alias("cuts")), step)["cuts"]
+        return F.array_join(F.zip_with(all_, cuts, lambda p, k: F.substr(p, k + 1, F.length(p))), "")
 
-    cuts = F.aggregate(pieces, F.struct(F.lit("").alias("tail"), none.alias("cuts")), step)["cuts"]
-    return F.array_join(F.zip_with(pieces, cuts, lambda p, k: F.substr(p, k + 1, F.length(p))), "")
+    return once(pieces, joined)
 
 
 def chunk_id(law: Column, article: Column, index: Column) -> Column:

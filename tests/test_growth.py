@@ -179,3 +179,30 @@ def test_tasks_grow_with_rows(spark):
     assert keyed.spread(spark.range(1000), "id", 10).rdd.getNumPartitions() == 100
     for name in ("article_hierarchy", "cocitation_pairs", "offence_elements", "amend_revoke"):
         assert "REPARTITION_BY_NUM" in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_strip_and_rejoin_by_plain_rules(spark):
+    """Every character at both ends; ends that begin more than once where the next piece does; pieces shorter than a start; nothing tries all lengths first."""
+    from codexmill.functions import text as X
+
+    c = F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c")
+    chars = spark.range(0x10000).where("id < 55296 or id > 57343").select(c).select(F.concat("c", F.lit("a"), "c", F.lit("b"), "c").alias("t"))
+    assert chars.where(X.strip(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
+    start = "abcdefghijklmnop"
+    lists = [["x" + start + "q" + start + "r", start + "r and on"], ["x" + start + "q" + start, start + "q" + start + "z"], ["aaaa" * 80, "aa" * 150], ["ab", "b", "bc"], [start, start, "op"], ["é" * 30, "é" * 10 + "e"], [], None]
+    cut = ["é ab" * 3000 + " end", "  " + "x" * 450 * 16, "y" * 450 * 17 + " \u2003", " " * 9000, "", None]
+
+    def joined(pieces):
+        done = ""
+        for x in pieces:
+            k = max(i for i in range(min(200, len(x), len(done)) + 1) if done.endswith(x[:i]))
+            done += x[k:]
+        return done
+
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, p array<string>").select("i", X.rejoin(F.col("p")).alias("r"))
+    assert {r.i: r.r for r in got.collect()} == {i: None if x is None else joined(x) for i, x in enumerate(lists)}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cut)], "i int, t string").select("i", X.chunks(F.col("t")).alias("c"))
+    want = {i: [x for x in (t[k : k + 500].strip() for k in range(0, len(t), 450)) if x] if t else [] for i, t in enumerate(cut)}
+    assert {r.i: r.c or [] for r in df.collect()} == want
+    plan = QUERIES["rejoin_chunks"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert "position(" in plan.lower() or "locate(" in plan.lower()
