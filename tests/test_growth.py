@@ -206,3 +206,16 @@ def test_strip_and_rejoin_by_plain_rules(spark):
     assert {r.i: r.c or [] for r in df.collect()} == want
     plan = QUERIES["rejoin_chunks"](spark, SF)._jdf.queryExecution().analyzed().toString()
     assert "position(" in plan.lower() or "locate(" in plan.lower()
+
+
+def test_all_items_are_asked(spark, tmp_path):
+    """Every benchmark item is a query, not each fiftieth; items without number, with one below 0, with one number twice and without text too."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    odd = spark.createDataFrame([(None, "hukum data model"), (-1, "data"), (-120, "model"), (3, "hukum"), (7, None)], "item_id long, text string")
+    more = items.select("item_id", "text").where("item_id <> 7").limit(12).unionByName(odd).unionByName(items.where("item_id in (11, 12)").selectExpr("cast(null as long)", "text").toDF("item_id", "text"))
+    sf = folder(tmp_path, benchmark=more.localCheckpoint())
+    for name in ("answer_context",):
+        same(spark, QUERIES[name], ORACLE_SQL[name], sf)
+        whole = {r.query_id for r in QUERIES[name](spark, SF).select("query_id").distinct().collect()}
+        assert whole >= set(range(40)), name
+        assert None in {r.query_id for r in QUERIES[name](spark, sf).select("query_id").distinct().collect()}, name
