@@ -214,7 +214,7 @@ def test_all_items_are_asked(spark, tmp_path):
     odd = spark.createDataFrame([(None, "hukum data model"), (-1, "data"), (-120, "model"), (3, "hukum"), (7, None)], "item_id long, text string")
     more = items.select("item_id", "text").where("item_id <> 7").limit(12).unionByName(odd).unionByName(items.where("item_id in (11, 12)").selectExpr("cast(null as long)", "text").toDF("item_id", "text"))
     sf = folder(tmp_path, benchmark=more.localCheckpoint())
-    for name in ("answer_context", "feedback_append"):
+    for name in ("answer_context", "feedback_append", "rrf_fuse"):
         same(spark, QUERIES[name], ORACLE_SQL[name], sf)
         whole = {r.query_id for r in QUERIES[name](spark, SF).select("query_id").distinct().collect()}
         assert whole >= set(range(40)), name
