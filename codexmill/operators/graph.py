@@ -41,7 +41,9 @@ def hops(edges: DataFrame, sources: DataFrame, depth: int, tenant: str | None =
     A frontier join a hop; nodes reached before are left out, so a step costs the
     frontier's edges, not all paths. Sources walk in blocks: a row is a node and a block, with a bit
     for each source that is there, so an edge is walked once for a block. Each frontier is written, so
-    the plan of a step is one join. With ``tenant``, a column of both tables, a source walks only its tenant's edges.
+    the plan of a step is one join. With ``tenant``, a column of both tables, a source walks only its tenant's edges;
+    of one with several tenants the fewest hops in any of them count. Bits become rows without a join: a block meets the list of
+    its sources, of which words without any bit are left out.
     """
     scope = [tenant] if tenant else []
     both = written(edges.select("a", "b", *scope).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *scope)).distinct(), "edges")
@@ -59,10 +61,16 @@ def hops(edges: DataFrame, sources: DataFrame, depth: int, tenant: str | None =
         left = rows.groupBy(*place).agg(*[bits(m, True).bitwiseAND(F.bitwise_not(bits(m, False))).alias(m) for m in masks])
         frontiers.append(written(left.where(reduce(lambda x, y: x | y, [F.col(m) != 0 for m in masks])), "frontier"))
     every = reduce(DataFrame.unionByName, [f.withColumn("hops", F.lit(step)) for step, f in enumerate(frontiers)])
-    held = F.filter(F.sequence(F.lit(0), F.lit(WORDS * BITS - 1)), lambda i: F.call_function("getbit", F.get(F.array(*masks), (i / BITS).cast("int")), i % BITS) == 1)
-    named = known.select("src", "_block", (F.col("_word") * BITS + F.col("_bit")).alias("_at"))
-    found = every.select("node", "hops", "_block", F.explode(held).alias("_at")).join(named, ["_block", "_at"])
-    return found.select("src", "node", "hops")
+    listed = lambda at, value: F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value])  # noqa: E731  places are gapless from 0
+    held = known.groupBy("_block", "_word").agg(listed("_bit", "src").alias("held")).groupBy("_block").agg(listed("_word", "held").alias("words"))
+    found = every.join(held, "_block").select("node", "hops", F.array(*masks).alias("_masks"), F.posexplode("words").alias("_word", "held"))
+    found = found.select("node", "hops", F.get("_masks", F.col("_word")).alias("_mask"), "held").where("_mask <> 0")
+    found = found.select("node", "hops", "_mask", F.posexplode("held").alias("_bit", "src")).where(F.call_function("getbit", "_mask", F.col("_bit")) == 1)
+    found = found.select("src", "node", "hops")
+    several = written(known.groupBy("src").count().where("count > 1").select("src"), "several")
+    if several.isEmpty():
+        return found
+    return found.join(several, "src", "left_anti").unionByName(found.join(several, "src", "left_semi").groupBy("src", "node").agg(F.min("hops").alias("hops")))
 
 
 def document_relations(laws: DataFrame) -> tuple[DataFrame, DataFrame]:

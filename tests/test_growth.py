@@ -219,3 +219,13 @@ def test_all_items_are_asked(spark, tmp_path):
         whole = {r.query_id for r in QUERIES[name](spark, SF).select("query_id").distinct().collect()}
         assert whole >= set(range(40)), name
         assert None in {r.query_id for r in QUERIES[name](spark, sf).select("query_id").distinct().collect()}, name
+
+
+def test_sources_of_walks_are_spelled_out_of_lists(spark, tmp_path):
+    """No row found meets the table of sources, nor are all bits of a row tried one by one; accounts of several nations walk in each and keep the fewest hops."""
+    plan = QUERIES["bounded_path"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan and "lambdafunction" not in plan.split("posexplode")[0]
+    c = spark.read.parquet(f"{SF}/customer.parquet")
+    twice = c.where("c_custkey % 50 = 0 or c_custkey < 20").withColumn("c_nationkey", (F.col("c_nationkey") + 1) % 25)
+    sf = folder(tmp_path, customer=c.unionByName(twice).withColumn("c_nationkey", (F.col("c_nationkey") % 3).cast("int")).localCheckpoint())
+    same(spark, QUERIES["bounded_path"], ORACLE_SQL["bounded_path"], sf)
