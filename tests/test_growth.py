@@ -229,3 +229,28 @@ def test_sources_of_walks_are_spelled_out_of_lists(spark, tmp_path):
     twice = c.where("c_custkey % 50 = 0 or c_custkey < 20").withColumn("c_nationkey", (F.col("c_nationkey") + 1) % 25)
     sf = folder(tmp_path, customer=c.unionByName(twice).withColumn("c_nationkey", (F.col("c_nationkey") % 3).cast("int")).localCheckpoint())
     same(spark, QUERIES["bounded_path"], ORACLE_SQL["bounded_path"], sf)
+
+
+def test_mentions_deal_lists_of_ids(spark, monkeypatch):
+    """Pairs are made of lists after the last join; before, a join made them row by row of each id. Lists of a few, ids that are null or there twice, a query of two texts."""
+    from codexmill.plans import retrieval as P
+
+    plan = QUERIES["mention_boost"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[: plan.index("Join")].count("Generate explode") == 3
+    for name, n in (("AT_ONCE", 5), ("PIECE", 3)):
+        monkeypatch.setattr(P, name, n, raising=False)
+    texts = ["Pasal 5 UU Nomor 35 Tahun 2009", "narkotika", "pasal 5", "cuaca", None, "uu 35/2009 dan pasal 7"]
+    asked = [(i, texts[i % 6]) for i in range(60)] + [(61, "pasal 5"), (61, "narkotika"), (1, "narkotika")]
+    named = [("UU Nomor 35 Tahun 2009", "Pasal 5"), ("UU Nomor 35 Tahun 2009", "Pasal 7"), ("UU Nomor 1 Tahun 2000", "Pasal 5"), (None, "Pasal 5"), ("UU Nomor 35 Tahun 2009", None), (None, None)]
+    held = [(i, *named[i % 6]) for i in range(90)] + [(0, *named[0]), (None, *named[0]), (None, *named[3])]
+    of = {0: (True, "5"), 1: (True, None), 2: (False, "5"), 5: (True, "7")}
+    want = []
+    for query in {q for q, _ in asked}:
+        names = [(True, "5")] if query == 61 else [of[query % 6]] if query % 6 in of else []
+        for law, art in names:
+            for id_, chunk_law, chunk_art in held:
+                by_law, by_art = law and "35" in (chunk_law or ""), art is not None and chunk_art == f"Pasal {art}"
+                if by_law or by_art:
+                    want.append((query, str(id_), (0.08 if by_art else 0.04) if by_law else 0.01))
+    q, c = spark.createDataFrame(asked, "query_id int, query string"), spark.createDataFrame(held, "id int, law_name string, article_number string")
+    assert sorted((r.query_id, str(r.id), r.boost) for r in P.mentions(q, c, P.aliases(spark)).collect()) == sorted(want)
